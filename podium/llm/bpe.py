@@ -25,14 +25,13 @@ import regex
 import unicodedata
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from podium.llm.common import map_arrow
+from podium.llm.common import map_arrow, sliced
 
 #: Fixed value: marks the last symbol of a word in the vocabulary.
 WORD_END = "</w>"
-#: Word results kept by a Python worker; all are dropped when so many are there.
-CACHED_WORDS = 400_000
+#: Word results kept by a Python worker; all are dropped when so many are there; so with pairs.
+CACHED_WORDS, CACHED_PAIRS = 200_000, 300_000
 _FINAL = 0x2000
 _NEVER = 1 << 60
 
@@ -149,7 +148,7 @@ class WordBpe:
         """Table entry for (a, b), computed when first asked for."""
         got = self.fits.get((a, b))
         if got is None:
-            if len(self.fits) > 2_000_000:
+            if len(self.fits) >= CACHED_PAIRS:
                 self.fits.clear()
             got = self.fits[a, b] = not self._crossed(a, b)
         return got
@@ -196,8 +195,11 @@ class WordBpe:
                 token = self._shorter(token)
 
     def encode_word(self, word: str) -> tuple[int, ...]:
-        s = word.encode("utf-8", "replace").decode("latin-1").translate(self.to_symbols)
-        return tuple(self.encode_symbols(s[:-1] + chr(_FINAL + ord(s[-1]))))
+        plain = word.isascii() and word.isprintable()
+        s = word if plain else word.encode("utf-8", "replace").decode("latin-1").translate(self.to_symbols)
+        s = s[:-1] + chr(_FINAL + ord(s[-1]))
+        whole = self.symbols.get(s)
+        return (whole,) if whole is not None else tuple(self.encode_symbols(s))
 
     def split_words(self, text: str) -> list[str]:
         if text.isascii() or max(text) < "԰":
@@ -246,9 +248,44 @@ class _Words(dict):
         return got
 
 
-def _with(fields: Sequence[T.StructField], *more: T.StructField) -> T.StructType:
-    names = {f.name for f in more}
-    return T.StructType([*(f for f in fields if f.name not in names), *more])
+def _replaced(docs: DataFrame, **added: str) -> tuple[DataFrame, str]:
+    """The rows without the columns to be added, and the schema with them."""
+    kept = docs.drop(*added)
+    return kept, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields), *(f"`{k}` {v}" for k, v in added.items())])
+
+
+def _encoded(bpe: WordBpe, texts: pa.Array) -> pa.ListArray:
+    ends, flat, total = [0], [], 0
+    for text in texts:
+        ids = bpe.encode(text.as_py() or "")
+        total += len(ids)
+        flat.append(np.array(ids, np.int32))
+        ends.append(total)
+    return pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int32)))
+
+
+#: Tokens decoded at a time; bounds a worker's memory for long texts.
+DECODE_STEP = 1 << 18
+
+
+def _decoded(bpe: WordBpe, lists: pa.ListArray) -> pa.Array:
+    lists = lists.fill_null([])
+    ends = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+    ids = lists.flatten().to_numpy(zero_copy_only=False)
+    texts: list[bytes] = []
+    row, n = 0, len(lists)
+    while row < n:
+        upto = max(row + 1, int(np.searchsorted(ends, ends[row] + DECODE_STEP, "right")) - 1)
+        parts, stops, base = [], [np.zeros(1, np.int64)], 0
+        for at in range(ends[row], ends[upto], DECODE_STEP):
+            data, found = bpe.decode_flat(ids[at : min(at + DECODE_STEP, ends[upto])].astype(np.int64))
+            parts.append(data)
+            stops.append(found + base)
+            base += len(data)
+        data, bounds = b"".join(parts), np.concatenate(stops)[ends[row : upto + 1] - ends[row]]
+        texts += [data[a + 1 : b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        row = upto
+    return pa.array(texts, pa.binary()).cast(pa.string())
 
 
 def encode(docs: DataFrame, tokenizer_path: str, text_col: str = "text", out_col: str = "tokens") -> DataFrame:
@@ -256,26 +293,14 @@ def encode(docs: DataFrame, tokenizer_path: str, text_col: str = "text", out_col
 
     A column of that name is replaced.  Works row by row, so nothing is shuffled.
     """
-    schema = _with(docs.schema.fields, T.StructField(out_col, T.ArrayType(T.IntegerType(), False), False))
+    kept, schema = _replaced(docs, **{out_col: "array<int>"})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = WordBpe.load(tokenizer_path)
-        for batch in batches:
-            ends, flat, total = [0], [], 0
-            for text in batch.column(text_col):
-                ids = bpe.encode(text.as_py() or "")
-                total += len(ids)
-                flat.append(np.array(ids, np.int32))
-                ends.append(total)
-            tokens = pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int32)))
-            names = [f.name for f in schema.fields]
-            yield pa.RecordBatch.from_arrays([tokens if n == out_col else batch.column(n) for n in names], names)
-
-    return map_arrow(docs, run, schema)
+        for batch in sliced(batches, text_col):
+            yield pa.RecordBatch.from_arrays([*batch.columns, _encoded(bpe, batch.column(text_col))], [*batch.schema.names, out_col])
 
-
-#: Tokens decoded at a time; bounds a worker's memory for long texts.
-DECODE_STEP = 1 << 20
+    return map_arrow(kept, run, schema)
 
 
 def decode(docs: DataFrame, tokenizer_path: str, tokens_col: str = "tokens", out_col: str = "decoded") -> DataFrame:
@@ -283,32 +308,34 @@ def decode(docs: DataFrame, tokenizer_path: str, tokens_col: str = "tokens", out
 
     Special tokens are shown; a null list counts as empty.
     """
-    schema = _with(docs.schema.fields, T.StructField(out_col, T.StringType(), False))
+    kept, schema = _replaced(docs, **{out_col: "string"})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = WordBpe.load(tokenizer_path)
-        for batch in batches:
-            lists = batch.column(tokens_col).fill_null([])
-            ends = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
-            ids = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            texts: list[bytes] = []
-            row, n = 0, len(lists)
-            while row < n:
-                upto = max(row + 1, int(np.searchsorted(ends, ends[row] + DECODE_STEP, "right")) - 1)
-                data, stops = bpe.decode_flat(ids[ends[row] : ends[upto]])
-                bounds = np.concatenate([[0], stops])[ends[row : upto + 1] - ends[row]]
-                texts += [data[a + 1 : b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-                row = upto
-            out = pa.array(texts, pa.binary()).cast(pa.string())
-            names = [f.name for f in schema.fields]
-            yield pa.RecordBatch.from_arrays([out if x == out_col else batch.column(x) for x in names], names)
-
-    return map_arrow(docs, run, schema)
+        for batch in sliced(batches, tokens_col):
+            yield pa.RecordBatch.from_arrays([*batch.columns, _decoded(bpe, batch.column(tokens_col))], [*batch.schema.names, out_col])
+
+    return map_arrow(kept, run, schema)
+
+
+def round_trip(docs: DataFrame, tokenizer_path: str, text_col: str = "text", tokens_col: str = "tokens", decoded_col: str = "decoded") -> DataFrame:
+    """``encode`` and then ``decode`` in one pass and one worker process a task; the text column goes."""
+    kept, _ = _replaced(docs, **{tokens_col: "array<int>", decoded_col: "string"})
+    _, schema = _replaced(kept.drop(text_col), **{tokens_col: "array<int>", decoded_col: "string"})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = WordBpe.load(tokenizer_path)
+        for batch in sliced(batches, text_col):
+            names = [n for n in batch.schema.names if n != text_col]
+            tokens = _encoded(bpe, batch.column(text_col))
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), tokens, _decoded(bpe, tokens)], [*names, tokens_col, decoded_col])
+
+    return map_arrow(kept, run, schema)
 
 
 def digest(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_tokens, and SHA-256 of the ids and of the decoded text."""
-    both = decode(encode(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), tokenizer_path).drop("text"), tokenizer_path)
+    both = round_trip(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), tokenizer_path)
     return both.select(
         "doc_id",
         F.size("tokens").cast("long").alias("n_tokens"),

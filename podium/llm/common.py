@@ -69,6 +69,16 @@ def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[
     return df.mapInArrow(run, schema)
 
 
+def sliced(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches whose ``column`` holds about ``limit`` bytes, so that workers stay small."""
+    for batch in batches:
+        at, n = 0, batch.num_rows
+        step = max(1, int(n * limit / max(1, batch.column(column).get_total_buffer_size())))
+        while at < n:
+            yield batch.slice(at, step)
+            at += step
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package's modules to the executors, once a context."""
     context = spark.sparkContext

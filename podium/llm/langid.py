@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from podium.llm.common import map_arrow
+from podium.llm.common import map_arrow, sliced
 
 UNKNOWN = "und"
 ORDERS = (1, 2, 3)
@@ -119,7 +119,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", pred_col: str
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields), f"`{pred_col}` string", f"`{score_col}` double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, text_col):
             found = [score(x.as_py(), sent.value) for x in batch.column(text_col)]
             columns = [*batch.columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, pred_col, score_col])

@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from podium.llm.common import map_arrow
+from podium.llm.common import map_arrow, sliced
 
 # The patterns and lengths asked for.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -122,7 +122,7 @@ def scan(docs: DataFrame, text_col: str = "text", out_col: str = "secrets") -> D
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields), f"`{out_col}` {SPANS}"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, text_col):
             found = [[dict(zip(("kind", "start", "end", "novelty"), x, strict=True)) for x in find(t.as_py())] for t in batch.column(text_col)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, _ARROW)], [*batch.schema.names, out_col])
 
@@ -139,7 +139,7 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[REDACTED]") ->
     schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, text_col):
             texts = []
             for t in batch.column(text_col):
                 text = t.as_py()
