@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from podium.llm import bpe, chat, decontam, fingerprint, langid, secrets
+from podium.llm import bpe, chat, decontam, fingerprint, langid, minhash, secrets, token_rollup, warc
+from podium.llm.common import Scratch
 
 
 def tokenizer_path() -> str:
@@ -25,6 +26,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(_read(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digest(_read(spark, sf_dir, "pages"), least_bytes=0)
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(_read(spark, sf_dir, "documents"))
 
@@ -42,6 +47,10 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(rows.unionByName(spark.createDataFrame(HOSTILE, "conv_id long, turn long, role string, text string")))
 
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_read(spark, sf_dir, "documents"), words=4)
+
+
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     model = langid.train(docs.where(~langid.in_fold("doc_id", 4, 2)))
@@ -49,20 +58,29 @@ def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.in_fold("doc_id", 4, 2).alias("held_out"), "lang_pred", "score")
 
 
+def op9_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_rollup.replay(_read(spark, sf_dir, "documents"), Scratch(spark, "rollup").path("totals"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_warc": op2_warc,
     "op3_secrets": op3_secrets,
     "op4_fingerprints": op4_fingerprints,
     "op5_chat": op5_chat,
+    "op7_minhash": op7_minhash,
     "op8_langid": op8_langid,
+    "op9_token_rollup": op9_token_rollup,
     "op10_decontamination": op10_decontamination,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op5_chat": chat.SQL,
+    "op7_minhash": minhash.SQL,
+    "op9_token_rollup": token_rollup.SQL,
     "op10_decontamination": decontam.SQL,
 }
