@@ -1,0 +1 @@
+"""Podium: sports-meet analytics as functions from DataFrames to DataFrames."""
