@@ -192,9 +192,11 @@ def digest(pages: DataFrame, **columns) -> DataFrame:
     path = scratch.path("archives")
     write_archives(pages, path, **columns)
     answer = F.col("response")
-    light = captures(read_records(spark, path)).select(
+    # payloads stay where they were read: only their lengths are shuffled
+    records = read_records(spark, path).withColumn("n_bytes", F.octet_length("payload")).drop("payload")
+    light = captures(records).select(
         answer["record_id"].alias("record_id"), answer["type"].alias("record_type"), answer["refers_to"].alias("_to"), answer["digest"].alias("payload_digest"),
-        F.octet_length(answer["payload"]).cast("long").alias("_bytes"), F.get("metadata", F.lit(0))["pageId"].cast("long").alias("page_id"),
+        answer["n_bytes"].cast("long").alias("_bytes"), F.get("metadata", F.lit(0))["pageId"].cast("long").alias("page_id"),
     )
     light = scratch.keep(light, "captures")
     stored = light.where("record_type = 'response'").select(F.col("record_id").alias("_to"), F.col("page_id").alias("_to_page"), F.col("_bytes").alias("_to_bytes"))

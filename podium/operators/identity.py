@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from podium.functions.exprs import division_category, is_blank
 from podium.operators import facts
 from podium.operators.mutate import find_or_create, map_entries
-from podium.tables import Catalog
+from podium.tables import Catalog, keep
 
 
 def categories(t: Catalog) -> DataFrame:
@@ -158,13 +158,13 @@ def bulk_register(t: Catalog, comp_id: int) -> tuple[Catalog, DataFrame]:
     names = rows.where("wanted").select("athlete_name", "gender").distinct()
     fields = ["entry_id", "athlete_id", "athlete_name", "gender", "region", "team_name", F.coalesce("team_name", F.lit("")).alias("team"), "categories", "wanted", F.coalesce("masters", F.array().cast("array<long>")).alias("masters")]
     met = rows.where("wanted OR athlete_id IS NOT NULL").join(names, ["athlete_name", "gender"], "left_semi").join(masters, ["athlete_name", "gender"], "left").select(*fields)
-    decided = met.groupBy("athlete_name", "gender").applyInPandas(_register, _REGISTERED)
+    decided = keep(met.groupBy("athlete_name", "gender").applyInPandas(_register, _REGISTERED), "registered")
 
     from podium.operators.mutate import allocate
     from podium.schema import conform
 
     made = decided.where("created_key IS NOT NULL").groupBy("created_key", "name", "gender").agg(F.max("notes").alias("notes"))
-    new = allocate(made, t["athlete"], ["created_key", "name", "gender"])
+    new = keep(allocate(made, t["athlete"], ["created_key", "name", "gender"]), "athlete")
     mapping = decided.join(new.select("created_key", F.col("id").alias("new_id")), "created_key", "left").select("entry_id", F.coalesce("athlete_id", "new_id").alias("value"))
     counts = decided.agg(F.count_distinct("created_key").alias("athletes_created"), F.count("*").alias("athletes_mapped")).crossJoin(teams_created.agg(F.count("*").alias("teams_created")))
     out = map_entries({**t, "athlete": t["athlete"].unionByName(conform(new, "athlete"))}, mapping)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from podium import schema
-from podium.tables import Catalog
+from podium.tables import Catalog, keep
 
 #: (child, its column, parent): what a cascade follows.
 CHILDREN = (
@@ -50,13 +50,13 @@ def _match(a: str, b: str, keys: list[str], literal: bool) -> Column:
 
 
 def find_or_create(existing: DataFrame, rows: DataFrame, table: str, order: str | None = None, literal: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(table with what was missing, the created rows).  The first row of a key in ``order`` gives its values."""
+    """(table with what was missing, the created rows, which are stored at once).  The first row of a key in ``order`` gives its values."""
     keys = KEYS[table]
     norm = [F.coalesce(k, F.lit("")) if k == "team_name" and not literal else F.col(k) for k in keys]
     first = Window.partitionBy(*norm).orderBy(*([order] if order else [F.asc_nulls_first(c) for c in rows.columns]))
     once = rows.withColumn("_k", F.row_number().over(first)).where("_k = 1").drop("_k")
     missing = once.alias("n").join(existing.alias("o"), _match("n", "o", keys, literal), "left_anti")
-    created = schema.conform(allocate(missing.drop("id"), existing, keys), table)
+    created = keep(schema.conform(allocate(missing.drop("id"), existing, keys), table), table)
     return existing.unionByName(created), created
 
 

@@ -14,7 +14,7 @@ from podium.functions.exprs import affiliation, affiliation_note, is_team_event,
 from podium.operators.mutate import find_or_create, with_ids
 from podium.schema import FINAL
 from podium.sources.text import group, lines, so_far
-from podium.tables import Catalog
+from podium.tables import Catalog, keep
 
 # The line formats.
 DAY = r"^제(\d)일차.*$"
@@ -79,7 +79,7 @@ def apply_roster(t: Catalog, roster: DataFrame) -> tuple[Catalog, DataFrame]:
 
 def apply_start_list(t: Catalog, parsed: DataFrame, comp_id: int) -> Catalog:
     """Events, rounds, heats, entries and starts found or created; a second import changes nothing."""
-    rows = parsed.withColumn("competition_id", F.lit(comp_id).cast("long")).withColumn("line_at", F.struct("doc", "pos"))
+    rows = keep(parsed.withColumn("competition_id", F.lit(comp_id).cast("long")).withColumn("line_at", F.struct("doc", "pos")), "start-list")
     events, _ = find_or_create(t["event"], rows.select("line_at", "competition_id", "division_name", "gender", "event_name", "team_event"), "event", "line_at")
     rows = with_ids(rows, events, "event", "event_id")
     rounds, _ = find_or_create(t["event_round"], rows.select("line_at", "event_id", "round", "event_number", "day_number"), "event_round", "line_at")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +29,27 @@ def save(t: Catalog, path: str, mode: str = "errorifexists") -> None:
         df.write.mode(mode).parquet(f"{path}/{name}.parquet")
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """Folder that driver and executors share: ``spark.checkpoint.dir``; a local session without it gets one of its own."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    current = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if current.isDefined():
+        return current.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="podium-shared-"))
+    return shared_dir(spark)
+
+
+def keep(df: DataFrame, name: str) -> DataFrame:
+    """The same rows from a table written to the shared folder: cuts the lineage of chained changes."""
+    at = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
 def require_one(df: DataFrame, value, key: str = "id"):
     """The one row with that key, or KeyError."""
     found = df.where(F.col(key) == value).limit(2).collect()
