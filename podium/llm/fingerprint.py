@@ -105,7 +105,7 @@ def likeness(a: Column, b: Column) -> Column:
 
 def fingerprints(docs: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
     """Each distinct ``keys`` with the vector of its rows' texts taken together."""
-    rows = docs.select(*keys, F.explode(units(F.coalesce(F.col(text_col), F.lit("")), F.lit(0))).alias("u")).select(*keys, "u.whole", "u.hash")
+    rows = docs.select(*keys, F.explode_outer(units(F.coalesce(F.col(text_col), F.lit("")), F.lit(0))).alias("u")).select(*keys, "u.whole", "u.hash")
     return rows.groupBy(*keys).agg(*sums()).select(*keys, vector().alias("lanes"))
 
 
@@ -153,7 +153,9 @@ def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     quarter = F.floor(n / 4).cast("int")
     edited = pairs.withColumn("n_chars", n.cast("long")).withColumn("edited", F.concat(F.substr("text", F.lit(1), n - quarter), F.coalesce(F.substr("next_text", F.lit(1), quarter), F.lit(""))))
     keys = ["range", "rn", "guard", "doc_id", "n_chars", "edited_sha256"]
-    both = edited.select(*keys[:-1], F.sha2("edited", 256).alias("edited_sha256"), F.explode(F.concat(units(F.col("text"), F.lit(0)), units(F.col("edited"), F.lit(1)))).alias("u"))
+    # Digests and units are made before the rows multiply, so no text travels with its units; the array is never empty.
+    whole = edited.select(*keys[:-1], F.sha2("edited", 256).alias("edited_sha256"), F.concat(units(F.col("text"), F.lit(0)), units(F.col("edited"), F.lit(1))).alias("units"))
+    both = whole.select(*keys, F.explode_outer("units").alias("u"))
     lanes = both.select(*keys, "u.tag", "u.whole", "u.hash").groupBy(*keys, "tag").agg(*sums()).select(*keys, "tag", vector().alias("lanes"))
     along = Window.partitionBy("range").orderBy("rn", "tag")
     found = lanes.select(*keys, "tag", "lanes", F.lead("lanes", 1).over(along).alias("edited_lanes"), F.lead("lanes", 2).over(along).alias("next_lanes")).where("tag = 0 AND guard = 0")
