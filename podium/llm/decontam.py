@@ -5,10 +5,10 @@ words of which a fixed mask ignores some; the three masks ignore the positions o
 one residue modulo 3 each, so whatever single word of a window is replaced, one
 mask still matches.  Seeds of the texts and of the benchmark are joined by hash.
 
-Hits of one document and item on one diagonal (word position in the document less
-that in the item) say which words are equal; together they verify the overlap: it
-counts if some stretch of ``OVERLAP`` words of the item (or all of a shorter item)
-has no more than a fifth of its words unmatched.  So an overlap is found with
+A hit names a document, an item and a diagonal (word position in the document less
+that in the item).  The words along the diagonal verify it: it counts if some stretch
+of ``OVERLAP`` words of the item (or all of a shorter item) has no more than a fifth
+of its words unmatched.  So an overlap is found with
 substituted words, and a match of common words only is not.
 
 Items and documents of fewer than ``SPAN`` words are padded, so they match as
@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from podium.llm.common import NULL_ID, with_row_key
+from podium.llm.common import NULL_ID, Scratch, with_row_key
 
 SPAN, OVERLAP, SUBSTITUTED = 9, 13, 0.2
 MASKS = tuple(tuple(i for i in range(SPAN) if i % 3 != skip) for skip in range(3))
@@ -65,16 +65,19 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     theirs = seeds(items.withColumn("n_item_words", F.size("words")), ["item_id", "n_item_words"], "words").withColumnRenamed("at", "item_at").drop("mask")
     if theirs.limit(BROADCAST_SEEDS + 1).count() <= BROADCAST_SEEDS:
         theirs = F.broadcast(theirs)
-    texts = with_row_key(docs, id_col, text_col).select(F.col("_id").alias("doc_id"), "_d", "_h", words(F.col("_text")).alias("words"))
-    ours = seeds(texts, ["doc_id", "_d", "_h"], "words")
-    hits = ours.join(theirs, "seed").select("doc_id", "_d", "_h", "item_id", "n_item_words", (F.col("at") - F.col("item_at")).alias("diagonal"), "item_at", "mask")
-    marks = F.array(*[F.array(*[F.lit(o) for o in mask]) for mask in MASKS])
-    by = ["doc_id", "_d", "_h", "item_id", "n_item_words", "diagonal"]
-    equal = F.array_sort(F.array_distinct(F.flatten(F.transform("found", lambda h: F.transform(F.element_at(marks, h["mask"] + 1), lambda o: h["item_at"] + o)))))
-    grouped = hits.groupBy(*by).agg(F.collect_set(F.struct("item_at", "mask")).alias("found")).withColumn("equal", F.filter(equal, lambda p: p < F.col("n_item_words")))
+    texts = with_row_key(docs, id_col, text_col).select("_d", "_h", words(F.col("_text")).alias("words"))
+    ours = seeds(texts, ["_d", "_h"], "words").drop("mask")
+    hits = ours.join(theirs, "seed").select("_d", "_h", "item_id", "n_item_words", (F.col("at") - F.col("item_at")).alias("diagonal")).distinct()
+    # Kept as a table: hits are found once, and few of them spare the texts a shuffle.  The words around each hit decide.
+    hits = Scratch(docs.sparkSession, "decontam").keep(hits, "hits")
+    hit = with_row_key(docs, id_col, text_col).join(hits.select("_d", "_h").distinct(), ["_d", "_h"], "left_semi")
+    met = hit.select(F.col("_id").alias("doc_id"), "_d", "_h", words(F.col("_text")).alias("own")).join(hits, ["_d", "_h"]).join(items, "item_id")
+    met = met.where((F.col("n_item_words") >= SPAN) | (F.size("own") == F.col("n_item_words")))
+    equal = F.filter(F.sequence(F.lit(0), F.col("n_item_words") - 1), lambda p: F.get("own", p + F.col("diagonal")) == F.get("words", p))
+    grouped = met.select("doc_id", "_d", "_h", "item_id", "n_item_words", "diagonal", equal.alias("equal"))
     best = matched_in_stretch(F.col("equal"), F.col("n_item_words"))
     enough = F.ceil(F.least(F.lit(OVERLAP), F.col("n_item_words")) * (1 - SUBSTITUTED))
-    return grouped.withColumn("best", best).where(F.col("best") >= enough).select("_d", "_h", "doc_id", "item_id", (F.col("diagonal") + F.array_min("equal")).alias("doc_word"), F.array_min("equal").alias("item_word"), F.size("equal").alias("n_matched"), "n_item_words")
+    return grouped.withColumn("best", best).where(F.col("best") >= enough).select("_d", "_h", "doc_id", "item_id", (F.col("diagonal") + F.array_min("equal")).alias("doc_word"), F.array_min("equal").alias("item_word"), F.size("equal").alias("n_matched"), "n_item_words").distinct()
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, **columns: str) -> DataFrame:
@@ -106,10 +109,10 @@ SQL = f"""
 WITH own AS (SELECT doc_id, {_sql_words('text')} FROM documents),
 items AS (SELECT min(item_id) AS item_id, w, n_words FROM (SELECT item_id, {_sql_words('text')} FROM benchmark) GROUP BY w, n_words),
 {_sql_seeds('own', 'doc_id')}, {_sql_seeds('items', 'item_id, n_words')},
-hits AS (SELECT o.doc_id, i.item_id, i.n_words, o.at - i.at AS diagonal, i.at AS item_at, o.mask
-  FROM own_seeds o JOIN items_seeds i ON o.seed = i.seed AND o.mask = i.mask),
-kept AS (SELECT m.mask, unnest(m.kept) AS o FROM (VALUES {', '.join(f'({k}, {list(mask)})' for k, mask in enumerate(MASKS))}) m(mask, kept)),
-equal AS (SELECT DISTINCT doc_id, item_id, n_words, diagonal, item_at + o AS p FROM hits JOIN kept USING (mask) WHERE item_at + o < n_words),
+hits AS (SELECT DISTINCT o.doc_id, i.item_id, o.at - i.at AS diagonal FROM own_seeds o JOIN items_seeds i ON o.seed = i.seed AND o.mask = i.mask),
+spread AS (SELECT h.*, i.n_words, o.w AS ow, i.w AS iw, unnest(range(0, i.n_words)) AS p FROM hits h JOIN own o USING (doc_id) JOIN items i USING (item_id)
+  WHERE i.n_words >= {SPAN} OR o.n_words = i.n_words),
+equal AS (SELECT doc_id, item_id, n_words, diagonal, p FROM spread WHERE p + diagonal >= 0 AND ow[p + diagonal + 1] = iw[p + 1]),
 runs AS (SELECT *, count(*) OVER (PARTITION BY doc_id, item_id, diagonal ORDER BY p RANGE BETWEEN CURRENT ROW AND {OVERLAP - 1} FOLLOWING) AS inside FROM equal),
 found AS (SELECT doc_id, item_id, n_words, diagonal, count(*) AS n_matched, max(inside) AS best FROM runs GROUP BY ALL)
 SELECT doc_id, item_id, max(n_matched) AS n_matched, max(n_words) AS n_item_words, round(max(n_matched) / max(n_words), 6) AS share
