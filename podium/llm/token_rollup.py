@@ -33,7 +33,7 @@ def count_tokens(text: Column, version: str) -> Column:
 def counted(docs: DataFrame, tokenizer: str, tokens: Column, op: str, before: Column | None = None) -> DataFrame:
     """Changes of one kind for all rows of ``docs``; ``before`` gives the tokens a revision replaces."""
     chars = F.coalesce(F.length("text"), F.lit(0)).cast("long")
-    return docs.select(F.col("source").cast("string"), F.col("lang").cast("string"), F.lit(tokenizer).alias("tokenizer"), F.lit(op).alias("op"), tokens.alias("tokens"), chars.alias("chars"), (F.lit(None).cast("long") if before is None else before).alias("tokens_before"))
+    return docs.select(F.col("source").cast("string"), F.col("lang").cast("string"), F.lit(tokenizer).alias("tokenizer"), F.lit(op).alias("op"), tokens.alias("tokens"), chars.alias("chars"), (F.lit(None).cast("long") if before is None else before).alias("tokens_before"), chars.alias("chars_before"))
 
 
 def changes_between(old: DataFrame, new: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -45,14 +45,14 @@ def changes_between(old: DataFrame, new: DataFrame, id_col: str = "doc_id") -> D
     o, n = old.select(*key, F.col("tokens").alias("_o"), F.col("chars").alias("_oc")), new.select(*key, F.col("tokens").alias("_n"), F.col("chars").alias("_nc"))
     same = [F.col(f"o.{k}").eqNullSafe(F.col(f"n.{k}")) for k in key]
     both = o.withColumn("_in_o", F.lit(True)).alias("o").join(n.withColumn("_in_n", F.lit(True)).alias("n"), same, "full")
-    op = F.when(F.col("_in_o").isNull(), INSERT).when(F.col("_in_n").isNull(), DELETE).when(~F.col("_o").eqNullSafe(F.col("_n")), REVISE)
-    return both.select(*[F.when(F.col("_in_n").isNull(), F.col(f"o.{k}")).otherwise(F.col(f"n.{k}")).alias(k) for k in KEYS], op.alias("op"), F.coalesce("_n", "_o").alias("tokens"), F.coalesce("_nc", "_oc").alias("chars"), F.col("_o").alias("tokens_before")).where("op IS NOT NULL")
+    op = F.when(F.col("_in_o").isNull(), INSERT).when(F.col("_in_n").isNull(), DELETE).when(~F.col("_o").eqNullSafe(F.col("_n")) | ~F.col("_oc").eqNullSafe(F.col("_nc")), REVISE)
+    return both.select(*[F.when(F.col("_in_n").isNull(), F.col(f"o.{k}")).otherwise(F.col(f"n.{k}")).alias(k) for k in KEYS], op.alias("op"), F.coalesce("_n", "_o").alias("tokens"), F.coalesce("_nc", "_oc").alias("chars"), F.col("_o").alias("tokens_before"), F.col("_oc").alias("chars_before")).where("op IS NOT NULL")
 
 
 def deltas(changes: DataFrame) -> DataFrame:
     sign = F.when(F.col("op") == INSERT, 1).when(F.col("op") == DELETE, -1).otherwise(0)
-    tokens = F.coalesce("tokens", F.lit(0))
-    signed = changes.select(*KEYS, sign.cast("long").alias("docs"), F.when(F.col("op") == REVISE, tokens - F.coalesce("tokens_before", F.lit(0))).otherwise(sign * tokens).alias("tokens"), (sign * F.coalesce("chars", F.lit(0))).alias("chars"))
+    signed_by = lambda m: F.when(F.col("op") == REVISE, F.coalesce(m, F.lit(0)) - F.coalesce(f"{m}_before", F.lit(0))).otherwise(sign * F.coalesce(m, F.lit(0))).alias(m)
+    signed = changes.select(*KEYS, sign.cast("long").alias("docs"), signed_by("tokens"), signed_by("chars"))
     return signed.groupBy(*KEYS).agg(*[F.sum(m).cast("long").alias(m) for m in MEASURES])
 
 
