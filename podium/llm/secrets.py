@@ -35,6 +35,9 @@ KINDS = (*BASE_KINDS, "novel")
 SENSITIVE = ("password", "passwd", "passphrase", "secret", "token", "api_key", "apikey", "api-key", "authorization", "bearer", "credential", "private key", "private_key", "access key", "access_key", "client_id", "session_id", "signature", "connectionstring", "connection_string")
 _SENSITIVE = re.compile("|".join(map(re.escape, SENSITIVE)))
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.~-]{16,}")
+CANDIDATE_LENGTH = 16
+#: What parts a name from its value within a run of a candidate's characters.
+_SIGN = re.compile(r"=+(?=[A-Za-z0-9+/_.~-])")
 #: How far after a sensitive word candidates begin, and how much text around one primes the measure.
 REACH, AROUND = 48, 160
 #: Marginal bytes per character from which a candidate is reported.
@@ -71,26 +74,44 @@ def marginal_bytes(text: str, start: int, end: int) -> int:
     return len(codec.compress(after + before + text[start:end].encode("utf-8", "replace"))) - len(codec.compress(after + before))
 
 
+def _starts(text: str, lower: str, start: int, end: int) -> list[int]:
+    """Where values may begin in a run of a candidate's characters from ``start`` on, before ``end``.
+
+    Behind each sign in the run; and at the run's own start, unless it goes on from a name on its
+    left.  If the run itself holds ``name=value`` with a sensitive name, the value comes first.
+    """
+    signs = [x.end() for x in _SIGN.finditer(text, start, min(len(text), end + 1)) if x.end() <= end]
+    if start > 0 and CANDIDATE.fullmatch(text[start - 1] * 16):
+        return signs
+    whole = [] if signs and text[start] == "=" else [start]
+    named = signs and any(x.end() > start for x in _SENSITIVE.finditer(lower, max(0, start - max(map(len, SENSITIVE))), signs[-1]))
+    return [*signs, *whole] if named else [*whole, *signs]
+
+
 def _novel(text: str, lower: str, base: list[tuple[int, int]]) -> Iterator[tuple[int, int, float]]:
     seen = -1
     for word in _SENSITIVE.finditer(lower):
         for m in CANDIDATE.finditer(text, word.end(), min(len(text), word.end() + REACH + 4096)):
-            start, end = m.span()
-            if start > word.end() + REACH:
+            if m.start() > word.end() + REACH:
                 break
-            if start <= seen or (start > 0 and CANDIDATE.fullmatch(text[start - 1 : start] * 16)):
+            end = m.end()
+            starts = [x for x in _starts(text, lower, m.start(), min(end, word.end() + REACH + 1)) if x > seen]
+            if not starts:
                 continue
-            seen = start
             while end < len(text) and CANDIDATE.fullmatch(text[end] * 16):
                 end += 1
-            if any(a < end and start < b for a, b in base):
-                continue
-            value = text[start:end]
-            if not (any(c.isdigit() for c in value) and any(c.isalpha() for c in value)):
-                continue
-            cost = marginal_bytes(text, start, end) / len(value)
-            if cost >= NOVELTY:
-                yield start, end, cost
+            for start in starts:
+                seen = max(seen, start)
+                if end - start < CANDIDATE_LENGTH or any(a < end and start < b for a, b in base):
+                    continue
+                value = text[start:end]
+                if not (any(c.isdigit() for c in value) and any(c.isalpha() for c in value)):
+                    continue
+                cost = marginal_bytes(text, start, end) / len(value)
+                if cost >= NOVELTY:
+                    seen = end
+                    yield start, end, cost
+                    break
 
 
 def find(text: str | None) -> list[tuple[str, int, int, float]]:

@@ -40,6 +40,23 @@ def test_novelty_tells_keys_from_names():
     assert not [x for x in secrets.find(f"a plain sentence with {key} alone") if x[0] == "novel"]
 
 
+@pytest.mark.parametrize("word", secrets.SENSITIVE)
+def test_unspaced_values(word):
+    key = "q9Zx7LmP2vRt8KwYb4NcJd6HsGfA3eUo"
+    for before, after in (("", ""), ("MY_", "_VALUE"), ("https://host/path?a=1&x-", ""), ("authorization ", "")):
+        for sign in ("=", ":", '="', '":"', "==", " =", "=/"):
+            text = f"{before}{word.upper()}{after}{sign}{key} and on"
+            got = [(k, text[a:b]) for k, a, b, _ in secrets.find(text)]
+            assert any(v.endswith(key) for _, v in got), text
+            assert all(v.lstrip("/") == key for k, v in got if k == "novel"), (text, got)
+
+
+def test_whole_runs_stay_candidates():
+    for value in ("q9Zx7LmP2vRt8Kw=Yb4NcJd6HsGfA3eUo", "q9Zx7LmP2vRt8KwYb4NcJd6HsGfA3eUo=="):
+        text = f"authorization: {value} end"
+        assert [text[a:b] for k, a, b, _ in secrets.find(text) if k == "novel"] == [value]
+
+
 def test_redaction(docs):
     row = secrets.redact(docs.where("doc_id = 900015")).first()
     assert row["text"] == "[REDACTED]\" [REDACTED] [REDACTED]"
