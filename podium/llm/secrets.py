@@ -5,7 +5,9 @@ strings that stand in a sensitive context (soon after a word such as
 ``authorization``) and that compression can't shorten: a candidate's marginal
 bytes are the compressed size of its surroundings with it less that without it,
 under a dictionary of identifiers and code.  Words, paths and names that the
-surroundings or the dictionary hold cost little; keys cost about their length.
+surroundings or the dictionary hold cost little; keys cost about their length.  Copies
+of the candidate itself aren't counted among its surroundings, and a value found so
+is reported wherever it stands in the text.
 
 Spans are code points, end exclusive, in order of start, then of kind.  A null or
 empty text has no spans.  Works row by row over whole texts.
@@ -67,10 +69,31 @@ def _codec() -> zstandard.ZstdCompressor:
     return _CODEC[0]
 
 
+def _around(text: str, start: int, end: int) -> tuple[str, str]:
+    """AROUND characters before and after text[start:end] that aren't in a copy of it."""
+    value, before, after, at = text[start:end], "", "", start
+    while at and len(before) < AROUND:
+        need = AROUND - len(before)
+        copy = text.rfind(value, max(0, at - need - len(value)), at)
+        before = text[max(0, at - need, copy + len(value) if copy >= 0 else 0) : at] + before
+        at = max(0, copy)
+        if copy < 0:
+            break
+    at = end
+    while at < len(text) and len(after) < AROUND:
+        need = AROUND - len(after)
+        copy = text.find(value, at, at + need + len(value))
+        after += text[at : min(at + need, copy if copy >= 0 else at + need)]
+        at = copy + len(value)
+        if copy < 0:
+            break
+    return before, after
+
+
 def marginal_bytes(text: str, start: int, end: int) -> int:
-    """Compressed bytes that text[start:end] adds to what surrounds it."""
+    """Compressed bytes that text[start:end] adds to what surrounds it, other copies of it left out."""
     codec = _codec()
-    before, after = text[max(0, start - AROUND) : start].encode("utf-8", "replace"), text[end : end + AROUND].encode("utf-8", "replace")
+    before, after = (x.encode("utf-8", "replace") for x in _around(text, start, end))
     return len(codec.compress(after + before + text[start:end].encode("utf-8", "replace"))) - len(codec.compress(after + before))
 
 
@@ -114,6 +137,23 @@ def _novel(text: str, lower: str, base: list[tuple[int, int]]) -> Iterator[tuple
                     break
 
 
+def _everywhere(text: str, novel: list[tuple[int, int, float]], base: list[tuple[int, int]]) -> Iterator[tuple[int, int, float]]:
+    """``novel`` and the other places of its values that no span holds yet."""
+    yield from novel
+    held = bytearray(len(text) if novel else 0)
+    for start, end in (*base, *(x[:2] for x in novel)):
+        held[start:end] = b"\1" * (end - start)
+    costs = {text[start:end]: cost for start, end, cost in reversed(novel)}
+    for value in sorted(costs, key=len, reverse=True):
+        at = text.find(value)
+        while at >= 0:
+            end = at + len(value)
+            if held.find(0, at, end) >= 0:
+                held[at:end] = b"\1" * len(value)
+                yield at, end, costs[value]
+            at = text.find(value, end)
+
+
 def find(text: str | None) -> list[tuple[str, int, int, float]]:
     """(kind, start, end, marginal bytes per character or 0) in order."""
     if not text:
@@ -129,7 +169,8 @@ def find(text: str | None) -> list[tuple[str, int, int, float]]:
     if sensitive:
         # offsets in the lower-cased text serve only where lower-casing keeps lengths
         same = lower if len(lower) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-        out += (("novel", *x) for x in _novel(text, same, [x[1:3] for x in out]))
+        base = [x[1:3] for x in out]
+        out += (("novel", *x) for x in _everywhere(text, list(_novel(text, same, base)), base))
     return sorted(out, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 

@@ -57,6 +57,23 @@ def test_whole_runs_stay_candidates():
         assert [text[a:b] for k, a, b, _ in secrets.find(text) if k == "novel"] == [value]
 
 
+def test_repeated_values():
+    key = "q9Zx7LmP2vRt8KwYb4NcJd6HsGfA3eUo"
+    for text in (f"Authorization: Bearer {key}\n" * 2, f"Authorization: Bearer {key}\n" * 40, f"x {key}{key} " + "pad " * 200 + f"bearer {key} end, again {key}"):
+        got = secrets.find(text)
+        assert [a for _, a, _, _ in got] == [m.start() for m in re.finditer(key, text)]
+        assert all(text[a:b] == key and cost >= secrets.NOVELTY for _, a, b, cost in got)
+    assert not secrets.find("authorization: getElementById1\n" * 3)
+
+
+def test_surroundings_leave_copies_out():
+    value, plain = "v" * 20, "".join(chr(33 + i % 60) for i in range(900))
+    for at in range(0, 400, 7):
+        left, right = plain[:400], plain[400:800]
+        text = left[:at] + value + left[at:] + value + right[:at] + value + right[at:]
+        assert secrets._around(text, 420, 440) == (left[-secrets.AROUND :], right[: secrets.AROUND])
+
+
 def test_redaction(docs):
     row = secrets.redact(docs.where("doc_id = 900015")).first()
     assert row["text"] == "[REDACTED]\" [REDACTED] [REDACTED]"
