@@ -1,9 +1,12 @@
 """Benchmark decontamination by spaced seeds, with DataFrame functions only.
 
-Texts are lower-cased words of letters and digits.  A seed is a window of ``SPAN``
-words of which a fixed mask ignores some; the three masks ignore the positions of
-one residue modulo 3 each, so whatever single word of a window is replaced, one
-mask still matches.  Seeds of the texts and of the benchmark are joined by hash.
+Texts are lower-cased words of letters and digits.  A seed is a window of ``WINDOW``
+words of which a mask ignores four; every two positions are ignored together by one
+of the nine masks, so whatever two words of a window are replaced, one mask still
+matches.  The three masks that ignore the last position serve ``SPAN`` words with one
+replaced.  So each overlap that the verification accepts has a seed.  Texts get
+``EDGE`` blanks on both sides: words cut off there count as replaced.  Seeds of the
+texts and of the benchmark are joined by hash.
 
 A hit names a document, an item and a diagonal (word position in the document less
 that in the item).  The words along the diagonal verify it: it counts if some stretch
@@ -13,7 +16,7 @@ substituted words, and a match of common words only is not.
 
 Items and documents of fewer than ``SPAN`` words are padded, so they match as
 wholes only.  Null or wordless texts match nothing.  Items with the same words are
-searched once and reported under the smallest item_id.  Repeated documents share
+searched once and reported under the smallest item_id, null if all are null.  Repeated documents share
 their result.  The benchmark's seeds are broadcast only if they number at most
 ``BROADCAST_SEEDS``; otherwise they are joined by shuffle.
 """
@@ -26,7 +29,11 @@ from pyspark.sql import functions as F
 from podium.llm.common import NULL_ID, Scratch, with_row_key
 
 SPAN, OVERLAP, SUBSTITUTED = 9, 13, 0.2
+#: Seeds of the SQL below: they find overlaps with one word of nine replaced.
 MASKS = tuple(tuple(i for i in range(SPAN) if i % 3 != skip) for skip in range(3))
+WINDOW, EDGE = 10, 2
+#: Positions that the masks of the operator ignore.
+IGNORED = ((0, 3, 6, 9), (1, 4, 7, 9), (2, 5, 8, 9), (0, 2, 5, 7), (1, 4, 5, 6), (0, 1, 4, 8), (3, 6, 7, 8), (2, 3, 4, 6), (1, 2, 3, 5))
 #: At 24 bytes a seed, a broadcast of about 50 MB at most.
 BROADCAST_SEEDS = 2_000_000
 
@@ -35,15 +42,17 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
-def seeds(rows: DataFrame, keys: list[str], words_col: str) -> DataFrame:
-    """(keys, at, mask, seed): every window's masked hashes."""
-    padding = F.when(F.size(words_col).between(1, SPAN - 1), F.array_repeat(F.lit(""), SPAN - F.size(words_col))).otherwise(F.array().cast("array<string>"))
+def seeds(rows: DataFrame, keys: list[str], words_col: str, edge: int = 0) -> DataFrame:
+    """(keys, at, mask, seed): every window's masked hashes.  The last window has SPAN words, a null behind them."""
+    some = F.size(words_col) > 0
+    before = F.array_repeat(F.lit(""), F.when(some, edge).otherwise(0))
+    after = F.array_repeat(F.lit(""), F.when(some, F.greatest(F.lit(edge), SPAN - F.size(words_col))).otherwise(0))
     n = F.greatest(F.col("_n") - SPAN + 1, F.lit(0))
-    shifted = [F.slice(F.col("_w"), F.lit(o + 1), n).alias(f"w{o}") for o in range(SPAN)]
-    windows = rows.select(*keys, F.concat(F.col(words_col), padding).alias("_w")).withColumn("_n", F.size("_w"))
+    shifted = [F.slice(F.col("_w"), F.lit(o + 1), n).alias(f"w{o}") for o in range(WINDOW)]
+    windows = rows.select(*keys, F.concat(before, F.col(words_col), after).alias("_w")).withColumn("_n", F.size("_w"))
     spread = windows.select(*keys, F.posexplode(F.arrays_zip(*shifted)).alias("at", "w"))
-    hashed = F.array(*[F.struct(F.lit(k).alias("mask"), F.xxhash64(F.lit(k), *[F.col(f"w.w{o}") for o in mask]).alias("seed")) for k, mask in enumerate(MASKS)])
-    return spread.select(*keys, "at", F.inline(hashed))
+    hashed = F.array(*[F.struct(F.lit(k).alias("mask"), F.xxhash64(F.lit(k), *[F.col(f"w.w{o}") for o in range(WINDOW) if o not in ignored]).alias("seed")) for k, ignored in enumerate(IGNORED)])
+    return spread.select(*keys, (F.col("at") - edge).alias("at"), F.inline(hashed))
 
 
 def items_of(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -61,18 +70,19 @@ def matched_in_stretch(flags: Column, n: Column) -> Column:
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """Verified overlaps: (_d, _h, doc_id, item_id, doc_word, item_word, n_matched, n_item_words), one row per document, item and diagonal."""
-    items = items_of(benchmark, item_col, item_text_col)
-    theirs = seeds(items.withColumn("n_item_words", F.size("words")), ["item_id", "n_item_words"], "words").withColumnRenamed("at", "item_at").drop("mask")
+    # Ids may be null or repeated, so items go by a hash of their words.
+    items = items_of(benchmark, item_col, item_text_col).withColumn("_i", F.xxhash64("words"))
+    theirs = seeds(items.withColumn("n_item_words", F.size("words")), ["_i", "n_item_words"], "words").withColumnRenamed("at", "item_at").drop("mask")
     if theirs.limit(BROADCAST_SEEDS + 1).count() <= BROADCAST_SEEDS:
         theirs = F.broadcast(theirs)
     texts = with_row_key(docs, id_col, text_col).select("_d", "_h", words(F.col("_text")).alias("words"))
-    ours = seeds(texts, ["_d", "_h"], "words").drop("mask")
-    hits = ours.join(theirs, "seed").select("_d", "_h", "item_id", "n_item_words", (F.col("at") - F.col("item_at")).alias("diagonal")).distinct()
+    ours = seeds(texts, ["_d", "_h"], "words", EDGE).drop("mask")
+    hits = ours.join(theirs, "seed").select("_d", "_h", "_i", "n_item_words", (F.col("at") - F.col("item_at")).alias("diagonal")).distinct()
     # Kept as a table: hits are found once, and few of them spare the texts a shuffle.  The words around each hit decide.
     hits = Scratch(docs.sparkSession, "decontam").keep(hits, "hits")
     hit = with_row_key(docs, id_col, text_col).join(hits.select("_d", "_h").distinct(), ["_d", "_h"], "left_semi")
-    met = hit.select(F.col("_id").alias("doc_id"), "_d", "_h", words(F.col("_text")).alias("own")).join(hits, ["_d", "_h"]).join(items, "item_id")
-    met = met.where((F.col("n_item_words") >= SPAN) | (F.size("own") == F.col("n_item_words")))
+    met = hit.select(F.col("_id").alias("doc_id"), "_d", "_h", words(F.col("_text")).alias("own")).join(hits, ["_d", "_h"]).join(items, "_i")
+    met = met.where((F.col("n_item_words") >= SPAN) | (F.size("own") == F.col("n_item_words")) & (F.col("diagonal") == 0))
     equal = F.filter(F.sequence(F.lit(0), F.col("n_item_words") - 1), lambda p: F.get("own", p + F.col("diagonal")) == F.get("words", p))
     grouped = met.select("doc_id", "_d", "_h", "item_id", "n_item_words", "diagonal", equal.alias("equal"))
     best = matched_in_stretch(F.col("equal"), F.col("n_item_words"))

@@ -1,4 +1,7 @@
 import hashlib
+import itertools
+import math
+import random
 import re
 
 import duckdb
@@ -193,3 +196,43 @@ def test_overlaps_stand_substitutions(spark, items):
     assert ordered((r["doc_id"], r["item_id"]) for r in decontam.contaminated(docs, benchmark).collect()) == ordered([(None, 1), (1, 1), (2, 1), (4, 2)])
     assert sorted(r["doc_id"] for r in decontam.remove(docs, benchmark).collect()) == [3, 5, 6, 7]
     assert decontam.contaminated(docs.limit(0), benchmark).collect() == [] == decontam.contaminated(docs, benchmark.limit(0)).collect()
+
+
+def accepted(own, item):
+    """Brute force without seeds: whether some diagonal's stretch is accepted."""
+    n, width = len(item), min(decontam.OVERLAP, len(item))
+    if not own or not item or n < decontam.SPAN and len(own) != n:
+        return False
+    for d in [0] if n < decontam.SPAN else range(-n, len(own) + 1):
+        same = [0 <= p + d < len(own) and own[p + d] == w for p, w in enumerate(item)]
+        if max(sum(same[a : a + width]) for a in range(n)) >= math.ceil(width * (1 - decontam.SUBSTITUTED)):
+            return True
+    return False
+
+
+def test_overlaps_as_brute_force_without_seeds(spark):
+    r = random.Random(11)
+    items = [[f"i{i}w{k}" for k in range(n)] for i, n in enumerate([1, 3, 5, 8, 9, 10, 11, 12, 13, 14, 16, 20, 27, 40])]
+    docs = []
+    for item in items:
+        for _ in range(60):
+            a = r.randint(0, max(0, len(item) - 9)) if r.random() < 0.5 else 0
+            part = item[a : a + r.randint(8, 16)] if r.random() < 0.5 else list(item)
+            for p in r.sample(range(len(part)), min(len(part), r.randint(0, 1 + len(part) // 5))):
+                part[p] = f"new{r.randint(0, 9)}"
+            docs.append(r.choice([[], ["start"], ["a", "b", "c"] * 4]) + part + r.choice([[], ["end"], ["x", "y"] * 5]))
+    # Every two words of ten replaced, and words cut off at both ends.
+    docs += [[("new" if k in two else w) for k, w in enumerate(items[5])] for two in itertools.combinations(range(10), 2)]
+    docs += [items[k][a:b] for k in range(5, 11) for a in range(4) for b in range(len(items[k]) - 3, len(items[k]) + 1)]
+    want = sorted({(d, i) for d, own in enumerate(docs) for i, item in enumerate(items) if accepted(own, item)})
+    benchmark = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    got = decontam.contaminated(spark.createDataFrame([(d, " ".join(w)) for d, w in enumerate(docs)], "doc_id long, text string"), benchmark)
+    assert sorted((x["doc_id"], x["item_id"]) for x in got.collect()) == want and len(want) > 400
+
+
+def test_items_without_an_id_or_of_one_id(spark):
+    one, two, three = (" ".join(f"{x}{k}" for k in range(14)) for x in "abc")
+    benchmark = spark.createDataFrame([(None, one), (7, two), (7, three)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, one), (2, two), (3, f"{three} end"), (4, "another text")], "doc_id long, text string")
+    assert ordered((x["doc_id"], x["item_id"]) for x in decontam.contaminated(docs, benchmark).collect()) == [(1, None), (2, 7), (3, 7)]
+    assert [x["doc_id"] for x in decontam.remove(docs, benchmark).collect()] == [4]
