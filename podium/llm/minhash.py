@@ -309,10 +309,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One document of each component, with all its columns; of rows that share the kept id one stays."""
-    kept = near_duplicates(docs, id_col, text_col, **options).where("kept").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_kept")).distinct()
-    once = docs.join(kept, F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)) == F.col("_kept"), "left_semi")
-    return once.dropDuplicates([id_col])
+    """One document of each component, with all its columns: the one of smallest id, null below all.
+
+    Rows are told apart by id and text, so texts of one id, or without any, stand for
+    themselves; of rows equal in both one stays.
+    """
+    node, d = "_node", F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))
+    rows = docs.withColumn(node, F.xxhash64(d, F.coalesce(F.col(text_col), F.lit(""))))
+    ids = rows.select(F.col(node).alias("doc_id"), d.alias("d")).distinct()
+    found = near_duplicates(rows.select(F.col(node).alias("doc_id"), F.col(text_col).alias("text")), "doc_id", "text", **options).select("doc_id", "component_id").distinct()
+    kept = ids.join(found, "doc_id").groupBy("component_id").agg(F.min(F.struct("d", "doc_id")).alias("least")).select(F.col("least.doc_id").alias(node))
+    return rows.join(kept, node, "left_semi").dropDuplicates([node]).select(*docs.columns)
 
 
 SQL = r"""

@@ -46,6 +46,22 @@ def test_one_document_of_a_group_stays(docs, texts):
     assert kept.columns == docs.columns
 
 
+def test_documents_without_an_id_or_of_one_id_stay(spark):
+    text = lambda n: " ".join(f"t{n}w{k}" for k in range(60))
+    near = lambda n: f"{text(n)} tail"
+    rows = [(None, text(1)), (None, text(2)), (None, text(3)), (7, text(4)), (7, text(5)), (7, text(4))]
+    rows += [(1, near(1)), (2, near(2)), (8, near(5)), (9, text(6)), (3, near(6)), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = [(None, text(1)), (None, text(2)), (None, text(3)), (7, text(4)), (7, text(5)), (3, near(6)), (None, None)]
+    assert ordered(minhash.deduplicate(df).collect()) == ordered(want)
+
+
+def test_unlike_texts_of_one_id_stay(spark):
+    rows = [(i, " ".join(f"t{n}w{k}" for k in range(60))) for n, i in enumerate([None, None, None, 7, 7])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert ordered(minhash.deduplicate(df).collect()) == ordered(rows)
+
+
 def test_no_documents(docs):
     assert minhash.near_duplicates(docs.limit(0)).collect() == []
     assert suffix_dedup.digest(docs.limit(0)).collect() == []
