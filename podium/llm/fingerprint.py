@@ -10,6 +10,9 @@ vector (``combine``).  A vector has two parts:
 * ``SIGNS`` lanes modulo 2**20, the sum of +1 or -1 vectors hashed from the
   paragraph's runs of ``RUN`` words, for likeness: the squared length of the
   difference of two such sums estimates how many runs two texts don't share.
+  A run starts at every word that has ``RUN`` - 1 words behind it in the paragraph
+  (a shorter paragraph is one run), so a word put in or taken out changes ``RUN``
+  runs at most, wherever the paragraph goes on.
 
 ``likeness`` is 1 - |a - b|^2 / (|a|^2 + |b|^2) on the sign lanes, held to 0..1;
 it is 1 for equal fingerprints, two texts without words included.
@@ -46,11 +49,13 @@ def units(text: Column, tag: Column) -> Column:
     """
     unit = lambda whole, h: F.struct(tag.alias("tag"), whole.cast("boolean").alias("whole"), h.alias("hash"))
     paragraphs = F.filter(F.split(text, "\n"), lambda p: p.rlike(r"\S"))
-    runs = F.regexp_extract_all(text, F.lit(r"\S+(?:[^\S\n]+\S+){0,%d}" % (RUN - 1)), F.lit(0))
+    words = F.transform(paragraphs, lambda p: F.transform(F.regexp_extract_all(p, F.lit(r"\S+"), F.lit(0)), lambda w: F.xxhash64(w)))
+    tuples = lambda w: F.arrays_zip(*[F.slice(w, k + 1, F.greatest(F.size(w) - RUN + 1, F.lit(1))).alias(f"w{k}") for k in range(RUN)])
+    runs = F.flatten(F.transform(words, lambda w: F.transform(tuples(w), lambda r: F.xxhash64(*[r[f"w{k}"] for k in range(RUN)]))))
     return F.concat(
         F.array(unit(F.lit(None), F.lit(0).cast("long"))),
         F.transform(paragraphs, lambda p: unit(F.lit(True), F.xxhash64(p))),
-        F.transform(runs, lambda r: unit(F.lit(False), F.xxhash64(r))),
+        F.transform(runs, lambda h: unit(F.lit(False), h)),
     )
 
 

@@ -111,6 +111,16 @@ def test_fingerprints_are_sums(spark):
     assert row["up"] == row["down"] == v[1]
 
 
+def test_likeness_stands_words_put_in_and_taken_out(spark):
+    words = [f"w{i}" for i in range(200)]
+    texts = [words, ["new", *words], words[1:], words[:100] + ["new"] + words[100:], words[:50] + words[51:], [f"x{i}" for i in range(200)], ["a", "b"], ["a", "c"]]
+    df = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(texts)], "k int, text string")
+    v = {r["k"]: r["lanes"] for r in fingerprint.fingerprints(df, ["k"]).collect()}
+    pairs = spark.createDataFrame([(k, v[0], v[k]) for k in range(1, 6)] + [(7, v[6], v[7])], "k int, a array<long>, b array<long>")
+    got = {r["k"]: r["l"] for r in pairs.select("k", fingerprint.likeness(F.col("a"), F.col("b")).alias("l")).collect()}
+    assert all(got[k] > 0.9 for k in range(1, 5)) and got[5] < 0.4 and got[7] < 0.4
+
+
 def test_languages_of_held_out_documents(spark):
     sf = SF.replace("0.001", "0.01")
     got = queries.op8_langid(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id")
