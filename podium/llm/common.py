@@ -45,6 +45,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.count = 0
+        self.kept: list[DataFrame] = []
 
     def path(self, tag: str) -> str:
         self.count += 1
@@ -55,12 +56,18 @@ class Scratch:
         df.write.parquet(at)
         out = self.spark.read.schema(df.schema).parquet(at)
         out._scratch_path = at
+        self.kept.append(out)
         return out
 
     def drop(self, *frames: DataFrame) -> None:
         for df in frames:
             at = self.spark._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
             at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+        self.kept = [x for x in self.kept if all(x is not df for df in frames)]
+
+    def drop_others(self, *needed: DataFrame) -> None:
+        """Frees all tables but those that a result still reads."""
+        self.drop(*[df for df in self.kept if all(df is not x for x in needed)])
 
 
 def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:

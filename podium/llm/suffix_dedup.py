@@ -1,29 +1,33 @@
 """Removal of long repeated byte strings by prefix-free parsing.
 
-Parsing.  A trigger is a place whose rolling hash over ``TRIGGER`` bytes is the
-least, leftmost first, of all in some ``length``-byte string.  Every such string
-has exactly one trigger, which its own bytes decide; consecutive start positions
-with the same trigger make a piece: the phrase before the trigger, where the
-strings start, and the context after it.  Triggers take the place of hash values
-divisible by a number so that each string is sure to have one.
-
-Dictionary and parse.  Equal pieces are one dictionary entry with a count, and
-pieces are grouped by their trigger's bytes.  A trigger that occurs once has
-nothing repeated; a piece that occurs twice is repeated from end to end.  What is
-left are different pieces with one trigger.  There, phrases are sorted by their
-suffixes (read backwards from the trigger) and contexts by their continuation: the
-suffix arrays of dictionary and parse, each with the common lengths of neighbours.
-For d bytes before the trigger and length - d after it, runs of both arrays
-combine into the classes of equal strings, which is the corpus order.  So only the
-pieces where repeats begin, end or vary are ever compared, byte by byte.
-
-Groups of more than ``GROUP`` different pieces are not given to one task: their
+Candidates.  Each ``length``-byte string has one anchor, which its own bytes decide:
+the place in it whose rolling hash over ``TRIGGER`` bytes is the least, leftmost
+first.  Consecutive start positions with one anchor make a piece: the bytes of all
+their strings.  Equal pieces are one entry with a count, and pieces are grouped by
+their anchor's bytes.  An anchor that occurs once has nothing repeated; a piece that
+occurs twice is repeated from end to end.  What is left, different pieces around one
+anchor, is where repeats begin, end or vary; only that is sorted.
+
+Sorting (``repeated_starts``).  The pieces of a batch, whole groups of them, are the
+text of a prefix-free parse.  A place whose hash of ``WINDOW`` bytes is divisible by
+``EVERY`` is a trigger; phrases run from one trigger to the end of the next.  The
+distinct phrases, sorted, are the dictionary, and each piece becomes a list of their
+ranks, the parse.  The suffix array of the dictionary orders what is left of a phrase
+from a start on, that of the parse orders what comes behind the phrase: as no phrase
+begins another, the two numbers combine into the order of all starts in the text.
+Neighbours in it with ``length`` bytes in common, by the common lengths of both
+arrays, are the repeated strings.
+
+Groups of more than ``GROUP`` different pieces aren't given to one task: their
 strings are hashed, counted and joined by Spark instead, with the same result.
+Pieces count as equal if two 64-bit hashes, of the anchor and of all bytes, are.
 
 Every byte covered by a string that also starts elsewhere, in the same document
 too, is removed; strings are judged on the input.  Texts shorter than ``length``
-bytes and null texts keep all they have.  Rows with equal id and text are repeats
-of each other, as other copies are.  Other columns are ignored.
+bytes and null texts keep all they have, a very long text is cut into overlapping
+blocks of 1 MiB on the way.  Rows with equal id and text are repeats of each other,
+as other copies are; ids are whole numbers or null.  Other columns, also such as
+``removed``, are ignored.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -38,8 +42,10 @@ from pyspark.sql import functions as F
 from podium.llm.common import Rolling, Scratch, map_arrow, mix, sliced, with_row_key
 
 LENGTH, TRIGGER = 400, 64
-#: Different pieces of one trigger that a task compares at most, and in one go.
-GROUP, BATCH = 30_000, 4_000
+#: Different pieces of one anchor that a task sorts at most, and pieces it sorts in one go.
+GROUP, BATCH = 8_000, 3_000
+#: Bytes of a trigger of the parse, and how many places there are to one of them.
+WINDOW, EVERY = 8, 32
 _BLOCK, _INDEX = 1 << 20, np.uint64((1 << 21) - 1)
 _SALT, _SALT2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -57,9 +63,9 @@ def _least(h: np.ndarray, width: int) -> np.ndarray:
 
 
 def pieces(data: bytes, length: int = LENGTH) -> tuple[np.ndarray, ...]:
-    """(first start, last start, trigger, key, entry) of each piece, arrays in order.
+    """(first start, last start, anchor, key, entry) of each piece, arrays in order.
 
-    key hashes the trigger's bytes, entry all bytes of the piece's strings.
+    key hashes the anchor's bytes, entry all bytes of the piece's strings.
     """
     trigger = min(TRIGGER, length)
     roll, found = Rolling.get(), []
@@ -102,7 +108,7 @@ def parse(rows: DataFrame, length: int) -> DataFrame:
 
 
 def _contents(wanted: DataFrame, length: int) -> DataFrame:
-    """(key, entry, n, m, left, content): the bytes of the entries in ``wanted.entries``; left is what precedes the trigger."""
+    """(key, entry, n, m, left, content): the bytes of the entries in ``wanted.entries``; left is what precedes the anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("key", pa.int64()), ("entry", pa.int64()), ("n", pa.int64()), ("m", pa.int64()), ("left", pa.int32()), ("content", pa.binary())])
@@ -121,46 +127,101 @@ def _contents(wanted: DataFrame, length: int) -> DataFrame:
     return map_arrow(wanted, run, "key long, entry long, n long, m long, left int, content binary")
 
 
-def _common(parts: list[bytes]) -> np.ndarray:
-    """Length of the common start of each element and the next."""
-    size = max(map(len, parts))
-    grid = np.frombuffer(b"".join(p.ljust(size, b"\0") for p in parts), np.uint8).reshape(len(parts), size)
-    same = grid[1:] == grid[:-1]
-    found = np.where(same.all(1), size, np.argmin(same, 1)) if size else np.zeros(len(parts) - 1, np.int64)
-    lengths = np.fromiter(map(len, parts), np.int64, len(parts))
-    return np.minimum(found, np.minimum(lengths[1:], lengths[:-1]))
+def _ranks(symbols: np.ndarray, left: np.ndarray, depth: int) -> list[np.ndarray]:
+    """Suffix ranks by the first 1, 2, 4, ... symbols, up to ``depth`` of them.
 
-
-def repeated_starts(groups: np.ndarray, left: np.ndarray, contents: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
-    """For each piece, which of its starts begin a string that another piece of its group has too.
-
-    Pieces are different from one another; ``left`` is their bytes before the trigger.
+    Symbol 0 ends a string, and nothing behind it counts; ``left`` is each place's distance to it.
+    """
+    levels = [np.unique(symbols, return_inverse=True)[1].astype(np.int32)]
+    step, kinds = 1, 0
+    while step < depth and int(levels[-1].max()) + 1 != kinds:
+        r = levels[-1]
+        kinds = int(r.max()) + 1
+        behind = np.zeros(len(r), np.int64)
+        behind[:-step] = np.where(left[:-step] >= step, r[step:].astype(np.int64) + 1, 0)
+        levels.append(np.unique(r * np.int64(kinds + 1) + behind, return_inverse=True)[1].astype(np.int32))
+        step *= 2
+    return levels
+
+
+def _shared(levels: list[np.ndarray], left: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+    """Symbols that the suffixes at a and b have in common at their start; ``most`` and more may be told short."""
+    n = np.zeros(len(a), np.int64)
+    top = len(levels) - 1
+    for k in [top] * (1 + (most >> top)) + list(range(top - 1, -1, -1)):
+        same = levels[k][a + n] == levels[k][b + n]
+        n += np.where(same, np.minimum(1 << k, left[a + n]), 0)
+    return n
+
+
+def _phrases(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first byte, end) of the phrases of texts that lie one behind another; ends: where each text ends."""
+    h = np.zeros(max(0, len(data) - WINDOW + 1), np.uint64)
+    for k in range(WINDOW):
+        h |= data[k : len(h) + k].astype(np.uint64) << np.uint64(8 * k)
+    trigger = np.flatnonzero(mix(h) % np.uint64(EVERY) == 0)
+    text = np.searchsorted(ends, trigger, "right")
+    begins = np.concatenate([[0], ends[:-1]])
+    trigger = trigger[(trigger + WINDOW <= ends[text]) & (trigger > begins[text])]
+    first = np.sort(np.concatenate([begins, trigger]))
+    end = np.concatenate([first[1:], ends[-1:]])
+    return first, np.where(np.isin(end, ends), end, end + WINDOW)
+
+
+def repeated_starts(contents: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
+    """For each piece, which of its starts begin a string that another start of the batch begins too.
+
+    Pieces have at least ``length`` bytes; strings that overlap a piece's end aren't looked at.
     """
-    m = len(contents)
-    starts = np.fromiter(map(len, contents), np.int64, m) - length + 1
-    names = [int(g).to_bytes(4, "big") for g in np.unique(groups, return_inverse=True)[1]]
-    order, common = [], []
-    for parts in ([g + c[:x][::-1] for g, c, x in zip(names, contents, left.tolist(), strict=True)], [g + c[x:] for g, c, x in zip(names, contents, left.tolist(), strict=True)]):
-        by = sorted(range(m), key=parts.__getitem__)
-        order.append(np.array(by))
-        common.append(_common([parts[i] for i in by]))
-    out = [np.zeros(n, bool) for n in starts]
-    lowest = left - starts + 1
-    runs = np.zeros((2, m), np.int64)
-    for d in range(int(max(0, lowest.min())), int(left.max()) + 1):
-        alive = np.flatnonzero((lowest <= d) & (d <= left))
-        if len(alive) < 2:
-            continue
-        for side, depth in ((0, d), (1, length - d)):
-            runs[side, order[side][1:]] = np.cumsum(common[side] < depth + 4)
-            runs[side, order[side][0]] = 0
-        both = runs[0, alive] * m + runs[1, alive]
-        by = np.argsort(both, kind="stable")
-        same = both[by][1:] == both[by][:-1]
-        twice = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-        for i in alive[by[twice]].tolist():
-            out[i][left[i] - d] = True
-    return out
+    whole = b"".join(contents)
+    data = np.frombuffer(whole, np.uint8)
+    sizes = np.fromiter(map(len, contents), np.int64, len(contents))
+    ends = np.cumsum(sizes)
+    first, stop = _phrases(data, ends)
+
+    # dictionary: distinct phrases in order, each closed by 0
+    occurring = [whole[a:b] for a, b in zip(first.tolist(), stop.tolist(), strict=True)]
+    dictionary = sorted(set(occurring))
+    rank_of = {p: k for k, p in enumerate(dictionary)}
+    widths = np.fromiter(map(len, dictionary), np.int64, len(dictionary)) + 1
+    opens = np.concatenate([[0], np.cumsum(widths)[:-1]])
+    symbols = np.frombuffer(b"\0".join(dictionary) + b"\0", np.uint8).astype(np.int16) + 1
+    symbols[opens + widths - 1] = 0
+    left = np.repeat(opens + widths - 1, widths) - np.arange(len(symbols))
+    levels = _ranks(symbols, left, length)
+
+    # parse: ranks from 1, each text closed by 0; ``at`` is a phrase's first byte, at the close the text's end
+    rank = np.fromiter((rank_of[p] for p in occurring), np.int64, len(occurring))
+    owner = np.searchsorted(ends, first, "right")
+    place = np.arange(len(first)) + owner
+    parse = np.zeros(len(first) + len(ends), np.int64)
+    parse[place] = rank + 1
+    at = np.zeros(len(parse), np.int64)
+    at[place] = first
+    closes = np.flatnonzero(parse == 0)
+    at[closes] = ends
+    to_close = closes[np.searchsorted(closes, np.arange(len(parse)))] - np.arange(len(parse))
+    order_of = _ranks(parse, to_close, length)
+
+    # every start, by what is left of its phrase and then by the parse behind
+    starts = np.concatenate([np.arange(e - n, e - length + 1) for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)])
+    phrase = np.searchsorted(first, starts, "right") - 1
+    inside, behind = opens[rank[phrase]] + starts - first[phrase], place[phrase] + 1
+    order = np.lexsort((order_of[-1][behind], levels[-1][inside]))
+    a, b = order[:-1], order[1:]
+    same = levels[-1][inside[a]] == levels[-1][inside[b]]
+    common = _shared(levels, left, inside[a], inside[b], length)
+    on = np.flatnonzero(same & (left[inside[a]] < length))
+    p, q = behind[a[on]], behind[b[on]]
+    m = _shared(order_of, to_close, p, q, length)
+    further = at[p + m] - at[p]
+    open_ = np.flatnonzero((parse[p + m] > 0) & (parse[q + m] > 0))
+    further[open_] += _shared(levels, left, opens[parse[(p + m)[open_]] - 1], opens[parse[(q + m)[open_]] - 1], length)
+    common[on] = left[inside[a[on]]] - WINDOW + further
+    meet = common >= length
+    flag = np.zeros(len(starts), bool)
+    flag[a[meet]] = flag[b[meet]] = True
+    return np.split(flag, np.cumsum(sizes - length + 1)[:-1])
 
 
 def _runs(flags: np.ndarray) -> list[int]:
@@ -174,7 +235,7 @@ def _solved(contents: DataFrame, length: int) -> DataFrame:
     """(entry, runs): the repeated starts of entries that occur once; rows of a key lie together, sorted."""
 
     def flush(rows: list[dict]) -> Iterator[pa.RecordBatch]:
-        found = repeated_starts(np.array([r["key"] for r in rows]), np.array([r["left"] for r in rows], np.int64), [r["content"] for r in rows], length)
+        found = repeated_starts([r["content"] for r in rows], length)
         out = [{"key": r["key"], "entry": r["entry"], "runs": _runs(f)} for r, f in zip(rows, found, strict=True) if r["n"] == 1 and f.any()]
         yield pa.RecordBatch.from_pylist(out, pa.schema([("key", pa.int64()), ("entry", pa.int64()), ("runs", pa.list_(pa.int32()))]))
 
@@ -239,6 +300,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     whole = whole.union(varied.join(entries.where("n > 1").select("key", "entry"), ["key", "entry"], "left_semi").select("_d", "_h", "entry"))
     part = partly.join(entries, ["key", "entry"]).select("owner._d", "owner._h", "entry", "runs")
     marks = whole.withColumn("runs", F.lit(None).cast("array<int>")).unionByName(part).groupBy("_d", "_h").agg(F.collect_list(F.struct("entry", "runs")).alias("marks"))
+    marks = scratch.keep(marks, "marks")
+    scratch.drop_others(marks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -273,7 +336,11 @@ def _cuts(data: bytes, marks: dict[int, list[int] | None], length: int) -> list[
 
 
 def digest(docs: DataFrame, **options) -> DataFrame:
-    """Per row: bytes, removed bytes, removed runs, and the SHA-256 of what is left."""
+    """Per row: bytes, removed bytes, removed runs, the SHA-256 of what is left, whether anything was removed, and what is left as text.
+
+    A character that a cut went through shows as U+FFFD in the text; the digest is of the bytes.
+    """
     found = remove_repeats(docs, **options)
     removed = F.aggregate("removed", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"])
-    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    kept = F.make_valid_utf8(F.col("kept").cast("string")).alias("kept_text")
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), (F.size("removed") > 0).alias("repeats"), kept)
