@@ -203,17 +203,15 @@ def test_overlaps_stand_substitutions(spark, items):
     changed = [w if i % 6 else "other" for i, w in enumerate(words)]
     rows = [(1, f"start {item} end"), (2, "start " + " ".join(changed) + " end"), (3, " ".join(words[:6]) + " and then something else entirely follows here"), (4, "short item text"), (5, None), (6, ""), (1, f"start {item} end"), (7, "a longer short item text"), (None, item)]
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, item_id int")
-    assert ordered((r["doc_id"], r["item_id"]) for r in decontam.contaminated(docs, benchmark).collect()) == ordered([(None, 1), (1, 1), (2, 1), (4, 2)])
-    assert sorted(r["doc_id"] for r in decontam.remove(docs, benchmark).collect()) == [3, 5, 6, 7]
+    assert ordered((r["doc_id"], r["item_id"]) for r in decontam.contaminated(docs, benchmark).collect()) == ordered([(None, 1), (1, 1), (2, 1), (4, 2), (7, 2)])
+    assert sorted(r["doc_id"] for r in decontam.remove(docs, benchmark).collect()) == [3, 5, 6]
     assert decontam.contaminated(docs.limit(0), benchmark).collect() == [] == decontam.contaminated(docs, benchmark.limit(0)).collect()
 
 
 def accepted(own, item):
     """Brute force without seeds: whether some diagonal's stretch is accepted."""
     n, width = len(item), min(decontam.OVERLAP, len(item))
-    if not own or not item or n < decontam.SPAN and len(own) != n:
-        return False
-    for d in [0] if n < decontam.SPAN else range(-n, len(own) + 1):
+    for d in range(-n, len(own) + 1) if n else ():
         same = [0 <= p + d < len(own) and own[p + d] == w for p, w in enumerate(item)]
         if max(sum(same[a : a + width]) for a in range(n)) >= math.ceil(width * (1 - decontam.SUBSTITUTED)):
             return True
@@ -240,6 +238,30 @@ def test_overlaps_as_brute_force_without_seeds(spark):
     assert sorted((x["doc_id"], x["item_id"]) for x in got.collect()) == want and len(want) > 400
 
 
+def test_every_placement_of_two_substitutions_is_found(spark):
+    item = [f"w{k}" for k in range(13)]
+    pairs = [(a, b) for a in range(13) for b in range(a)]
+    rows = [(n, " ".join(["before", *(f"x{n}" if k in pair else w for k, w in enumerate(item)), "behind"])) for n, pair in enumerate(pairs)]
+    three = [(900 + n, " ".join(f"y{n}" if k % 4 == n else w for k, w in enumerate(item))) for n in range(4)]
+    docs = spark.createDataFrame(rows + three, "doc_id long, text string")
+    got = decontam.contaminated(docs, spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()
+    assert sorted(x["doc_id"] for x in got) == list(range(78)) and {x["n_matched"] for x in got} == {11}
+
+
+def test_short_items_stand_anywhere(spark):
+    items = [(1, "alpha"), (2, "one two three four five six seven eight"), (3, "red green blue"), (4, "p q r s t")]
+    docs = [(1, "before Alpha behind"), (2, "x one two three FIVE five six seven eight y"), (3, "two three four five six seven eight"), (4, "red green yellow"), (5, "so red green blue"), (6, "q r s t"), (7, "p q r x y"), (8, LONG_TEXT + " red, green, blue"), (8, "p q z s t"), (9, None), (10, "")]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    rows = spark.createDataFrame([(*d, "clash", "clash") for d in docs], "doc_id long, text string, _d string, words string")
+    words = lambda t: re.findall(r"[a-z0-9]+", (t or "").lower())
+    want = sorted({(d, i) for d, t in docs for i, x in items if accepted(words(t), words(x))})
+    assert sorted((x["doc_id"], x["item_id"]) for x in decontam.contaminated(rows, benchmark).collect()) == want
+    assert sorted(x["doc_id"] for x in decontam.remove(rows, benchmark).collect()) == [4, 7, 9, 10]
+
+
+LONG_TEXT = " ".join(f"long{i}" for i in range(120_000))
+
+
 def test_items_without_an_id_or_of_one_id(spark):
     one, two, three = (" ".join(f"{x}{k}" for k in range(14)) for x in "abc")
     benchmark = spark.createDataFrame([(None, one), (7, two), (7, three)], "item_id long, text string")
