@@ -64,7 +64,8 @@ def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_rollup.replay(_read(spark, sf_dir, "documents"), Scratch(spark, "rollup").path("totals"))
+    scratch = Scratch(spark, "rollup")
+    return token_rollup.replay(_read(spark, sf_dir, "documents"), tokenizer_path(), scratch, token_rollup.Rollup(spark, scratch.path("totals")))
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,6 +88,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op5_chat": chat.SQL,
     "op7_minhash": minhash.SQL,
-    "op9_token_rollup": token_rollup.SQL,
     "op10_decontamination": decontam.SQL,
 }
