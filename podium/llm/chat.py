@@ -1,27 +1,32 @@
 """Chat formatting with DataFrame expressions only.
 
 Rows (conversation, turn, role, text) become one row per conversation.  The turn
-structs of a conversation are collected and sorted; adjacent turns of one role
-form one block, which has one header and each turn's text with an end mark:
+structs of a conversation are collected and sorted; array functions then merge
+adjacent turns of one role into blocks (``merged``), and a block has one header and
+each turn's text with an end mark:
 
     ### user: text</turn>
     ### assistant: text</turn>text</turn>
 
 Control strings inside texts and roles are escaped reversibly (``escape``), so
 ``parse`` gives back every turn.  ``loss_spans`` are the code points of the
-escaped assistant texts, marks excluded; their starts are running sums computed
-before the turns are collected, so no array is copied per turn.
+escaped assistant texts, marks excluded.  Every array is gone through once or cut
+into runs, so a conversation of very many turns takes no square of their number;
+like any row, it has to fit into one task.
 
 Turns sort by number (null first), then role, then text; repeated rows are turns
 of their own.  Null roles and texts count as empty.  A null conversation id is a
-conversation like others.  Other columns are ignored.
+conversation like others; ids may be of any type.  Very long texts are kept whole.
+An empty table gives no conversations.  Other columns are ignored, whatever their
+names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 HEAD, AFTER_ROLE, END, BLOCK_END = "### ", ": ", "</turn>", "\n"
 #: What is replaced inside texts, in this order; undone in reverse.
@@ -41,27 +46,49 @@ def unescape(text: Column, pairs=ESCAPES) -> Column:
     return text
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def merged(turns: Column) -> Column:
+    """array<struct<role, texts>>: adjacent turns of one role as one block; turns: a column of sorted structs (turn, role, text)."""
+    role = lambda i: F.get(turns, i)["role"]
+    starts = F.filter(F.sequence(F.lit(0), F.size(turns) - 1), lambda i: (i == 0) | (role(i) != role(i - 1)))
+    block = lambda s, end: F.struct(role(s).alias("role"), F.transform(F.slice(turns, s + 1, end - s), lambda t: t["text"]).alias("texts"))
+    return _let(starts, lambda at: F.transform(at, lambda s, k: block(s, F.coalesce(F.get(at, k + 1), F.size(turns)))))
+
+
+def sums_before(lengths: Column) -> Column:
+    """For each number of an array that isn't empty the sum of those before it, over runs of about the root of its size."""
+    zero = F.array(F.lit(0).cast("long"))
+    scan = lambda xs: F.aggregate(xs, zero, lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+    width = lambda xs: F.ceil(F.sqrt(F.size(xs))).cast("int")
+    runs = lambda xs: F.transform(F.sequence(F.lit(0), F.size(xs) - 1, width(xs)), lambda s: scan(F.slice(xs, s + 1, width(xs))))
+    shifted = lambda v: F.flatten(F.transform(v["runs"], lambda r, k: F.transform(F.slice(r, F.lit(1), F.size(r) - 1), lambda x: x + F.get(v["bases"], k))))
+    with_bases = lambda r: F.struct(r.alias("runs"), scan(F.transform(r, lambda x: F.element_at(x, -1))).alias("bases"))
+    return _let(lengths, lambda xs: _let(runs(xs), lambda r: _let(with_bases(r), shifted)))
+
+
 def format_chats(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", learn_role: str = "assistant") -> DataFrame:
     """(conv_id, formatted string, loss_spans array<struct<start, n_chars>>)."""
     text, role = (F.coalesce(F.col(c), F.lit("")) for c in (text_col, role_col))
-    order = ["turn", "role", "plain"]
-    turns = Window.partitionBy("conv_id").orderBy(*order)
-    start = F.lag("role").over(turns).isNull() | (F.lag("role").over(turns) != F.col("role"))
-    head = F.concat(F.when(F.lag("role").over(turns).isNotNull(), F.lit(BLOCK_END)).otherwise(""), F.lit(HEAD), escape(F.col("role"), ROLE_ESCAPES), F.lit(AFTER_ROLE))
-    placed = (
-        rows.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), role.alias("role"), text.alias("plain"))
-        .withColumns({"head": F.when(start, head).otherwise(""), "body": escape(F.col("plain"))})
-        .withColumn("piece", F.concat("head", "body", F.lit(END)))
-        .withColumn("upto", F.sum(F.length("piece").cast("long")).over(turns.rowsBetween(Window.unboundedPreceding, 0)))
-        .withColumn("at", F.col("upto") - len(END) - F.length("body"))
-    )
-    number = F.row_number().over(turns)
-    collected = placed.withColumn("k", number).groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("k", "piece", F.struct(F.col("at").alias("start"), F.length("body").cast("long").alias("n_chars")).alias("span"), (F.col("role") == learn_role).alias("learn")))).alias("turns"))
-    return collected.select(
-        "conv_id",
-        F.concat(F.array_join(F.transform("turns", lambda t: t["piece"]), ""), F.lit(BLOCK_END)).alias("formatted"),
-        F.transform(F.filter("turns", lambda t: t["learn"]), lambda t: t["span"]).alias("loss_spans"),
-    )
+    turn = F.struct(F.col(turn_col).alias("turn"), role.alias("role"), text.alias("text"))
+    collected = rows.groupBy(F.col(conv_col).alias("conv_id")).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    blocks = collected.select("conv_id", merged(F.col("turns")).alias("blocks"))
+
+    header = lambda b: F.concat(F.lit(HEAD), escape(b["role"], ROLE_ESCAPES), F.lit(AFTER_ROLE))
+    written = lambda b: F.struct(header(b).alias("head"), (b["role"] == learn_role).alias("learn"), F.transform(b["texts"], lambda t: escape(t)).alias("bodies"))
+    escaped = blocks.select("conv_id", F.transform("blocks", written).alias("blocks"))
+
+    whole = lambda b: F.concat(b["head"], F.array_join(F.transform(b["bodies"], lambda t: F.concat(t, F.lit(END))), ""), F.lit(BLOCK_END))
+    piece = lambda size, n, learn: F.struct(size.cast("long").alias("size"), n.cast("long").alias("n_chars"), learn.alias("learn"))
+    before = lambda b, k: piece(F.length(b["head"]) + F.when(k > 0, len(BLOCK_END)).otherwise(0), F.lit(0), F.lit(False))
+    inside = lambda b, k: F.concat(F.array(before(b, k)), F.transform(b["bodies"], lambda t: piece(F.length(t) + len(END), F.length(t), b["learn"])))
+    pieces = escaped.select("conv_id", F.array_join(F.transform("blocks", whole), "").alias("formatted"), F.flatten(F.transform("blocks", inside)).alias("pieces"))
+    placed = F.arrays_zip(F.col("pieces").alias("piece"), sums_before(F.transform("pieces", lambda x: x["size"])).alias("start"))
+    spans = F.transform(F.filter(placed, lambda x: x["piece"]["learn"]), lambda x: F.struct(x["start"].alias("start"), x["piece"]["n_chars"].alias("n_chars")))
+    return pieces.select("conv_id", "formatted", spans.alias("loss_spans"))
 
 
 def parse(formatted: Column) -> Column:
