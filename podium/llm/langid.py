@@ -3,11 +3,14 @@
 Training counts n-grams of 1 to 3 letters in Spark tasks and sums them by
 (bucket, language); what reaches the driver is that table, whose size is bounded
 by ``buckets`` times the number of languages, whatever the corpus.  The matrix of
-log probabilities is broadcast, and a batch of texts is scored in numpy: the sum
-over a text's n-grams of the matrix rows.
+log probabilities is broadcast, and a batch of texts is scored at once in numpy: the
+batch's sparse matrix of n-gram counts, texts by buckets, times that matrix.
 
 Null texts and texts without a letter get ``und`` and score 0; so does every text
-if nothing could be learned.  Ties go to the language that sorts first.
+if nothing could be learned.  Ties go to the language that sorts first.  Very long
+texts are counted whole, a piece at a time.  Repeated rows are learned from and
+predicted each; ids may be of any type.  An empty table teaches nothing and gets no
+predictions.  Columns that bear the names of the results are replaced, others stay.
 """
 
 from __future__ import annotations
@@ -95,18 +98,46 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", bucke
     return Model(langs, np.log(smooth / smooth.sum(0, keepdims=True)).astype(np.float32), np.log(prior / max(prior.sum(), 1)), buckets)
 
 
-def score(text: str | None, model: Model) -> tuple[str, float]:
-    if not text or not model.langs or not has_letter(text):
-        return UNKNOWN, 0.0
-    total = model.prior.astype(np.float64).copy()
-    for found in features(text, model.buckets):
-        # a text's sparse n-gram counts times the matrix
-        if len(found) > 2 * model.buckets:
-            total += np.bincount(found, minlength=model.buckets) @ model.log_prob.astype(np.float64)
-        else:
-            total += model.log_prob[found].sum(0, dtype=np.float64)
-    best = int(np.argmax(total))
-    return model.langs[best], float(1 / np.exp(total - total[best]).sum())
+#: Counts of a sparse matrix that are multiplied at a time.
+CELLS = 1 << 20
+
+
+def score_batch(texts: list[str | None], model: Model) -> list[tuple[str, float]]:
+    """(language, posterior probability) of each text."""
+    out = [(UNKNOWN, 0.0)] * len(texts)
+    rows: list[int] = []
+    columns: list[np.ndarray] = []
+    counts: list[np.ndarray] = []
+    cells = 0
+
+    def flush() -> None:
+        if not rows:
+            return
+        starts = np.concatenate([[0], np.cumsum([len(c) for c in columns])[:-1]])
+        product = np.concatenate(counts)[:, None] * model.log_prob[np.concatenate(columns)]
+        total = np.add.reduceat(product, starts, axis=0) + model.prior
+        best = total.argmax(1)
+        sure = 1 / np.exp(total - total[np.arange(len(rows)), best][:, None]).sum(1)
+        for i, k, p in zip(rows, best.tolist(), sure.tolist(), strict=True):
+            out[i] = model.langs[k], p
+        rows.clear(), columns.clear(), counts.clear()
+
+    for i, text in enumerate(texts):
+        if not text or not model.langs or not has_letter(text):
+            continue
+        found = np.zeros(model.buckets)
+        for part in features(text, model.buckets):
+            found += np.bincount(part, minlength=model.buckets)
+        at = np.flatnonzero(found)
+        rows.append(i)
+        columns.append(at)
+        counts.append(found[at])
+        cells += len(at)
+        if cells > CELLS:
+            flush()
+            cells = 0
+    flush()
+    return out
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "lang_score") -> DataFrame:
@@ -120,7 +151,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", pred_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, text_col):
-            found = [score(x.as_py(), sent.value) for x in batch.column(text_col)]
+            found = score_batch(batch.column(text_col).to_pylist(), sent.value)
             columns = [*batch.columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, pred_col, score_col])
 
