@@ -6,7 +6,8 @@ its paragraphs' vectors, lane by lane modulo a power of two.  So the order of
 paragraphs doesn't matter, and inserting or deleting one adds or subtracts its
 vector (``combine``).  A vector has two parts:
 
-* ``EXACT`` lanes modulo 2**32, hashed from the whole paragraph, for equality;
+* ``EXACT`` lanes modulo 2**32 for equality, two each from hashes of the whole
+  paragraph under seeds of their own, so two paragraphs differ in 256 bits;
 * ``SIGNS`` lanes modulo 2**20, the sum of +1 or -1 vectors hashed from the
   paragraph's runs of ``RUN`` words, for likeness: the squared length of the
   difference of two such sums estimates how many runs two texts don't share.
@@ -21,12 +22,19 @@ it is 1 for equal fingerprints, two texts without words included.
 the last row beside the first.  Ids are cut into ranges whose first id is in the
 table; a range's first rows are also sent, as guards, to the range before.  So
 texts are shuffled once, by range, and all later steps (sums, comparisons) keep
-that partitioning.  Null ids sort first, null texts count as empty, repeated rows
-are rows of their own, other columns are ignored.
+that partitioning.  The number of ranges grows with the shuffle partitions and with
+the bytes of the table, so a range holds about ``RANGE_BYTES`` at most.
+
+Ids are whole numbers or null; null ids sort first, rows of one id by text.  Null
+texts count as empty, very long texts are taken whole, repeated rows are rows of
+their own, and an empty table gives no rows.  Other columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -36,35 +44,37 @@ from podium.llm.common import NULL_ID
 #: Words in a run; lanes for equality and for likeness, with their moduli's bits.
 RUN, EXACT, SIGNS = 4, 8, 128
 EXACT_BITS, SIGN_BITS = 32, 20
-#: Id ranges: so many per shuffle partition, at most RANGES.
-PER_PARTITION, RANGES = 4, 4096
+#: Id ranges: so many per shuffle partition, more if they would hold more than RANGE_BYTES, at most RANGES.
+PER_PARTITION, RANGE_BYTES, RANGES = 16, 128 << 20, 1 << 16
 
 _PAIR = (1 << 32) | 1  # two 32-bit counters in a long
 
 
 def units(text: Column, tag: Column) -> Column:
-    """array<struct<tag, whole, hash>>: paragraphs (whole) and their runs of words.
+    """array<struct<tag, whole, hash, more>>: paragraphs (whole, with hashes of other seeds in ``more``) and their runs of words.
 
     Its first element has a null ``whole`` and counts for nothing: texts without words keep a row.
     """
-    unit = lambda whole, h: F.struct(tag.alias("tag"), whole.cast("boolean").alias("whole"), h.alias("hash"))
+    none = F.lit(None).cast("array<long>")
+    unit = lambda whole, h, more=none: F.struct(tag.alias("tag"), whole.cast("boolean").alias("whole"), h.alias("hash"), more.alias("more"))
+    others = lambda p: F.array(*[F.xxhash64(F.lit(k), p) for k in range(1, EXACT // 2)])
     paragraphs = F.filter(F.split(text, "\n"), lambda p: p.rlike(r"\S"))
     words = F.transform(paragraphs, lambda p: F.transform(F.regexp_extract_all(p, F.lit(r"\S+"), F.lit(0)), lambda w: F.xxhash64(w)))
     tuples = lambda w: F.arrays_zip(*[F.slice(w, k + 1, F.greatest(F.size(w) - RUN + 1, F.lit(1))).alias(f"w{k}") for k in range(RUN)])
     runs = F.flatten(F.transform(words, lambda w: F.transform(tuples(w), lambda r: F.xxhash64(*[r[f"w{k}"] for k in range(RUN)]))))
     return F.concat(
         F.array(unit(F.lit(None), F.lit(0).cast("long"))),
-        F.transform(paragraphs, lambda p: unit(F.lit(True), F.xxhash64(p))),
+        F.transform(paragraphs, lambda p: unit(F.lit(True), F.xxhash64(p), others(p))),
         F.transform(runs, lambda h: unit(F.lit(False), h)),
     )
 
 
 def sums() -> list[Column]:
-    """Aggregates over rows (whole, hash): the lanes, packed where counters are small."""
+    """Aggregates over rows (whole, hash, more): the lanes, packed where counters are small."""
     whole, run = F.coalesce(F.col("whole"), F.lit(False)), ~F.coalesce(F.col("whole"), F.lit(True))
     out = [F.count_if(run).alias("runs")]
     for k in range(EXACT // 2):
-        h = F.xxhash64("hash", F.lit(k))
+        h = F.col("hash") if k == 0 else F.get("more", F.lit(k - 1))
         out.append(F.sum(F.when(whole, h.bitwiseAND(F.lit(0xFFFFFFFF))).otherwise(0)).alias(f"x{2 * k}"))
         out.append(F.sum(F.when(whole, F.shiftrightunsigned(h, 32)).otherwise(0)).alias(f"x{2 * k + 1}"))
     for k in range(SIGNS // 64):
@@ -110,24 +120,31 @@ def likeness(a: Column, b: Column) -> Column:
 
 def fingerprints(docs: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
     """Each distinct ``keys`` with the vector of its rows' texts taken together."""
-    rows = docs.select(*keys, F.explode_outer(units(F.coalesce(F.col(text_col), F.lit("")), F.lit(0))).alias("u")).select(*keys, "u.whole", "u.hash")
+    rows = docs.select(*keys, F.explode_outer(units(F.coalesce(F.col(text_col), F.lit("")), F.lit(0))).alias("u")).select(*keys, "u.whole", "u.hash", "u.more")
     return rows.groupBy(*keys).agg(*sums()).select(*keys, vector().alias("lanes"))
 
 
-def _ranges(docs: DataFrame, parts: int) -> list[int]:
-    """First ids of the ranges, ascending; each occurs in the table.  Reads ids only."""
+def _ranges(rows: DataFrame) -> list[int]:
+    """First ids of the ranges, ascending; each occurs in the table."""
+    size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    parts = min(RANGES, max(PER_PARTITION * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // RANGE_BYTES + 1))
     steps = [i / parts for i in range(1, parts)]
-    row = docs.agg(F.min("_d").alias("lo"), F.percentile_approx("_d", steps or [0.5], max(10_000, 20 * parts)).alias("cuts")).first()
+    row = rows.agg(F.min("_d").alias("lo"), F.percentile_approx("_d", steps or [0.5], max(10_000, 20 * parts)).alias("cuts")).first()
     return [] if row["lo"] is None else sorted({row["lo"], *row["cuts"]}) if steps else [row["lo"]]
 
 
+def _constant(values: list) -> Column:
+    """Array of whole numbers as one constant."""
+    return F.from_json(F.lit(json.dumps(values)), "array<array<bigint>>" if values and isinstance(values[0], list) else "array<bigint>")
+
+
 def _range_of(x: Column, firsts: list[int]) -> Column:
     """Number of the range that holds x: two short searches instead of a long one."""
     width = max(1, int(len(firsts) ** 0.5))
     groups = [firsts[i : i + width] for i in range(0, len(firsts), width)]
     at = lambda values: F.size(F.filter(values, lambda b: b <= x)) - 1
-    group = at(F.array(*[F.lit(g[0]) for g in groups]))
-    return (group * width + at(F.element_at(F.array(*[F.array(*[F.lit(v) for v in g]) for g in groups]), group + 1))).cast("int")
+    group = at(_constant([g[0] for g in groups]))
+    return (group * width + at(F.element_at(_constant(groups), group + 1))).cast("int")
 
 
 def neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -136,12 +153,11 @@ def neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Guards are copies of the next range's first rows; they have no successor of use.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("_d"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    parts = min(RANGES, PER_PARTITION * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    firsts = _ranges(rows, parts) or [0]
+    firsts = _ranges(rows) or [0]
     n = len(firsts)
     own = _range_of(F.col("_d"), firsts)
     before = F.when(own == 0, n - 1).otherwise(own - 1)
-    first_rows = F.col("_d") == F.element_at(F.array(*[F.lit(v) for v in firsts]), own + 1)
+    first_rows = F.col("_d") == F.element_at(_constant(firsts), own + 1)
     places = F.when(first_rows, F.array(F.struct(own.alias("range"), F.lit(0).alias("guard")), F.struct(before.alias("range"), F.lit(1).alias("guard")))).otherwise(F.array(F.struct(own.alias("range"), F.lit(0).alias("guard"))))
     dealt = rows.withColumn("_p", F.explode(places)).select("_p.range", "_p.guard", "doc_id", "_d", "text")
     order = Window.partitionBy("range").orderBy("guard", "_d", "text")
@@ -161,7 +177,7 @@ def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     # Digests and units are made before the rows multiply, so no text travels with its units; the array is never empty.
     whole = edited.select(*keys[:-1], F.sha2("edited", 256).alias("edited_sha256"), F.concat(units(F.col("text"), F.lit(0)), units(F.col("edited"), F.lit(1))).alias("units"))
     both = whole.select(*keys, F.explode_outer("units").alias("u"))
-    lanes = both.select(*keys, "u.tag", "u.whole", "u.hash").groupBy(*keys, "tag").agg(*sums()).select(*keys, "tag", vector().alias("lanes"))
+    lanes = both.select(*keys, "u.tag", "u.whole", "u.hash", "u.more").groupBy(*keys, "tag").agg(*sums()).select(*keys, "tag", vector().alias("lanes"))
     along = Window.partitionBy("range").orderBy("rn", "tag")
     found = lanes.select(*keys, "tag", "lanes", F.lead("lanes", 1).over(along).alias("edited_lanes"), F.lead("lanes", 2).over(along).alias("next_lanes")).where("tag = 0 AND guard = 0")
     return found.select("doc_id", "n_chars", "edited_sha256", shown(F.col("lanes")).alias("fingerprint"), shown(F.col("edited_lanes")).alias("edited_fingerprint"), likeness(F.col("lanes"), F.col("edited_lanes")).alias("near_edited"), likeness(F.col("lanes"), F.col("next_lanes")).alias("near_next"))
