@@ -38,6 +38,11 @@ def shared_dir(spark: SparkSession) -> str:
     return shared_dir(spark)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 class Scratch:
     """Tables written to the shared folder to cut lineage; ``drop`` frees one early."""
 
@@ -70,9 +75,16 @@ class Scratch:
         self.drop(*[df for df in self.kept if all(df is not x for x in needed)])
 
 
+#: Bytes of an Arrow batch, unless the session sets ``spark.sql.execution.arrow.maxBytesPerBatch``; keeps workers small.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     """``mapInArrow`` whose function may use this package on any executor."""
     ship(df.sparkSession)
+    if df.sparkSession.conf.get(_BATCH, None) is None:
+        df.sparkSession.conf.set(_BATCH, str(BATCH_BYTES))
     return df.mapInArrow(run, schema)
 
 

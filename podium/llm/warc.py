@@ -11,13 +11,23 @@ WARC-Concurrent-To or, for the response itself, in its own id.
 Of pages with equal payloads of at least ``least_bytes`` bytes, the one with the
 largest id is stored as response and the others as revisits of it; rows that
 repeat that id and payload are responses too.  Smaller payloads are always
-responses.  Null payloads count as empty; a null page id sorts below all and is
-read back as null; null URLs count as empty.  An empty table gives no archive
-records.  Other columns are ignored.
+responses.  Pages are numbered once and stored with their numbers before anything
+else, so record ids and the references to them can't differ between branches or
+after a lost executor; which page is a response is decided on ids and digests alone.
+Archives are written by size of payload, so that a file holds about ``FILE_BYTES`` of
+payloads at most, or one larger capture.  Payloads are checked against their digests
+as they are read.
+
+Page ids are whole numbers or null; a null id sorts below all and is read back as
+null.  Null payloads count as empty, null URLs too; payloads of up to what a Spark
+string holds (2 GB) are kept whole.  An empty table gives no archive records.  Other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import base64
+import hashlib
 import zlib
 from collections.abc import Iterator
 
@@ -26,11 +36,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from podium.llm.common import NULL_ID, Scratch, map_arrow
+from podium.llm.common import NULL_ID, Scratch, exists, map_arrow
 
 LINE, RECORD_END = "\r\n", "\r\n\r\n"
-#: Records of an archive file at most: three for each capture.
-FILE_RECORDS = 60_000
+#: Payload bytes of an archive file at most, and the largest payloads of the size classes.
+FILE_BYTES, CLASSES = 128 << 20, (1 << 16, 1 << 18, 1 << 20, 1 << 22, 1 << 24)
 #: Fixed value: the revisit profile of the WARC 1.1 standard.
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _HEX32, _BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -53,22 +63,28 @@ def _record(kind: Column | str, rid: Column, content_type: str, block: Column, m
     return F.concat(F.concat_ws(LINE, *head), F.lit(RECORD_END), block)
 
 
-def typed_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = 0) -> DataFrame:
-    """(_row, page_id, uri, payload, n_bytes, digest, revisit_of): what each page is stored as.
+def numbered(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
+    """(_row, page_id, uri, payload, n_bytes, digest): pages with a number; it holds only once it is stored."""
+    uri = F.replace(F.replace(F.coalesce(F.col(url_col), F.lit("")), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
+    rows = pages.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).cast("long").alias("page_id"), uri.alias("uri"), F.coalesce(F.col(payload_col), F.lit("")).alias("payload"))
+    return rows.withColumns({"n_bytes": F.octet_length("payload"), "digest": base32_sha1(F.col("payload"))})
+
+
+def typed_pages(rows: DataFrame, least_bytes: int = 0) -> DataFrame:
+    """(_row, page_id, uri, payload, n_bytes, digest, revisit_of): what each stored, numbered page is written as.
 
     ``revisit_of`` is the ``_row`` of the response, or null.
     """
-    uri = F.replace(F.replace(F.coalesce(F.col(url_col), F.lit("")), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
-    rows = pages.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).cast("long").alias("page_id"), uri.alias("uri"), F.coalesce(F.col(payload_col), F.lit("")).alias("payload"))
-    rows = rows.withColumns({"n_bytes": F.octet_length("payload"), "digest": base32_sha1(F.col("payload")), "_order": F.coalesce("page_id", F.lit(NULL_ID))})
-    largest = rows.where(F.col("n_bytes") >= least_bytes).groupBy("digest").agg(F.max(F.struct("_order", "_row", "page_id")).alias("_best"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    order = F.coalesce("page_id", F.lit(NULL_ID))
+    largest = rows.where(F.col("n_bytes") >= least_bytes).groupBy("digest").agg(F.max(F.struct(order.alias("_order"), "_row", "page_id")).alias("_best"), F.min(order).alias("_least")).where("_least < _best._order").drop("_least")
     met = rows.join(largest, "digest", "left")
-    revisit = (F.col("n_bytes") >= least_bytes) & (F.col("_order") < F.col("_best._order"))
+    revisit = (F.col("n_bytes") >= least_bytes) & (order < F.col("_best._order"))
     return met.select("_row", "page_id", "uri", "payload", "n_bytes", "digest", F.when(revisit, F.col("_best._row")).alias("revisit_of"), F.when(revisit, F.col("_best.page_id")).alias("_best_id"))
 
 
-def write_archives(pages: DataFrame, path: str, date: str = "2020-01-01T00:00:00Z", **columns) -> None:
-    rows = typed_pages(pages, **columns)
+def write_archives(pages: DataFrame, path: str, date: str = "2020-01-01T00:00:00Z", least_bytes: int = 0, **columns) -> None:
+    scratch = Scratch(pages.sparkSession, "warc-pages")
+    stored = scratch.keep(numbered(pages, **columns), "pages")
     main, of = _urn("main"), F.concat(F.lit("WARC-Concurrent-To: "), _urn("main"))
     refers = F.when(F.col("revisit_of").isNotNull(), F.expr("named_struct('_row', revisit_of, 'page_id', _best_id, 'digest', digest)"))
     h = F.md5(F.concat_ws(" ", F.lit("main"), refers["_row"].cast("string"), refers["page_id"].cast("string"), refers["digest"]))
@@ -80,7 +96,14 @@ def write_archives(pages: DataFrame, path: str, date: str = "2020-01-01T00:00:00
     note = F.concat(F.coalesce(F.concat(F.lit("pageId: "), F.col("page_id").cast("string"), F.lit(LINE)), F.lit("")), F.lit("payloadLength: "), F.col("n_bytes").cast("string"), F.lit(LINE))
     answer = F.when(is_revisit, _record("revisit", main, "application/http; msgtype=response", http, [digest, F.lit(f"WARC-Profile: {REVISIT_PROFILE}"), F.concat(F.lit("WARC-Refers-To: "), refers_to)], date)).otherwise(_record("response", main, "application/http; msgtype=response", F.concat(http, F.col("payload")), [digest], date))
     records = F.array(_record("request", _urn("request"), "application/http; msgtype=request", request, [of], date), answer, _record("metadata", _urn("metadata"), "application/warc-fields", note, [of], date))
-    rows.select(F.explode(records).alias("value")).write.option("lineSep", RECORD_END).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    size_class = F.size(F.filter(F.array(*[F.lit(c) for c in CLASSES]), lambda c: c < F.col("n_bytes")))
+    # Copies of a payload are of one class, so each class is decided and written by itself, from its own rows.
+    for k in sorted(r[0] for r in stored.select(size_class).distinct().collect()):
+        low, high = ([-1, *CLASSES][k], [*CLASSES, None][k])
+        mine = stored.where(F.col("n_bytes") > low) if high is None else stored.where((F.col("n_bytes") > low) & (F.col("n_bytes") <= high))
+        captures_a_file = max(1, FILE_BYTES // high) if high else 1
+        typed_pages(mine, least_bytes).select(F.explode(records).alias("value")).write.option("lineSep", RECORD_END).option("compression", "gzip").option("maxRecordsPerFile", 3 * captures_a_file).text(f"{path}/size-{k}")
+    scratch.drop_others()
 
 
 class _Stream:
@@ -144,18 +167,23 @@ RECORDS = T.StructType([T.StructField(n, t) for n, t in (("type", T.StringType()
 
 def _row(fields: dict[str, str], block: bytes) -> dict:
     head, payload, notes = None, None, {}
+    stated = fields.get("warc-payload-digest", "").removeprefix("sha1:")
+    digest = stated
     if fields.get("content-type", "").startswith("application/http"):
         start, gap, rest = block.partition(b"\r\n\r\n")
         head = start.decode("utf-8", "replace")
-        payload = rest.decode("utf-8", "replace") if fields["warc-type"] == "response" else None
+        if fields["warc-type"] == "response":
+            payload = rest.decode("utf-8", "replace")
+            digest = base64.b32encode(hashlib.sha1(rest).digest()).decode()
+            if stated not in ("", digest):
+                raise ValueError(f"the payload of {fields.get('warc-record-id')} doesn't match its digest")
     elif fields.get("content-type") == "application/warc-fields":
         notes = {k.strip(): v.strip() for k, _, v in (x.partition(":") for x in block.decode("utf-8").split(LINE) if x)}
-    digest = fields.get("warc-payload-digest", "")
-    return {"type": fields.get("warc-type"), "record_id": fields.get("warc-record-id"), "concurrent_to": fields.get("warc-concurrent-to"), "refers_to": fields.get("warc-refers-to"), "uri": fields.get("warc-target-uri"), "digest": digest.removeprefix("sha1:") or None, "http_head": head, "payload": payload, "fields": list(notes.items())}
+    return {"type": fields.get("warc-type"), "record_id": fields.get("warc-record-id"), "concurrent_to": fields.get("warc-concurrent-to"), "refers_to": fields.get("warc-refers-to"), "uri": fields.get("warc-target-uri"), "digest": digest or None, "http_head": head, "payload": payload, "fields": list(notes.items())}
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """Every record of the archives below a path; damaged archives raise an error."""
+    """Every record of the archives below a path, none if it doesn't exist; damaged archives and payloads raise an error."""
     kind = pa.schema([*((f.name, pa.string()) for f in RECORDS.fields[:-1]), ("fields", pa.map_(pa.string(), pa.string()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,7 +199,9 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, kind)
 
-    return map_arrow(spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content"), run, RECORDS)
+    if not exists(spark, path):
+        return spark.createDataFrame([], RECORDS)
+    return map_arrow(spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", True).load(path).select("content"), run, RECORDS)
 
 
 def captures(records: DataFrame) -> DataFrame:
