@@ -5,7 +5,8 @@ computed for a text's set of word shingles.  Every half key of one collection is
 combined with every one of the other, so SIDE * SIDE table keys of 2 * ROWS
 minhashes come from 2 * SIDE * ROWS minhash values, about the square root of what
 separate tables would take.  A pair with similarity s misses with probability
-below 2 * (1 - s**ROWS)**SIDE: 0.00001 at 0.8.  Half keys that only one class has
+below 2 * (1 - s**ROWS)**SIDE: 0.00001 at 0.8; one of similarity 0.1 meets in one of
+3000 cases, so unlike texts rarely become candidates.  Half keys that only one class has
 can't meet, so they are dropped before they are combined.
 
 Texts with equal sets are one class and stand in the tables once, under their
@@ -22,8 +23,12 @@ within a component is listed, and no link is lost by a cap.
 
 Words are maximal runs of other than ASCII white space, A-Z in lower case.  A text
 of fewer words than a shingle has the whole sequence as its one shingle; one
-without words (or null) has none and is linked with nothing.  Rows of one id count
-as one document with several texts; a null id counts as one below all.
+without words (or null) has none and is linked with nothing.  Texts of any length are
+taken whole.  Ids are whole numbers or null.  Rows of one id count as one document
+with several texts; a null id counts as one below all.  Rows with equal texts are one
+class; ties between candidates go by id.  An empty table gives no rows.  Other
+columns are ignored by ``near_duplicates``, whatever their names, and carried along
+by ``deduplicate``.
 """
 
 from __future__ import annotations
@@ -41,7 +46,7 @@ from podium.llm.common import NULL_ID, Rolling, Scratch, map_arrow, mix, sliced
 from podium.llm.components import components
 
 WORDS, SIMILAR = 5, 0.8
-SIDE, ROWS = 12, 2
+SIDE, ROWS = 18, 3
 #: Pairs verified for two components and a block in the last rounds; None: all that passed the screen.
 ROUNDS = (2, 16, None)
 #: Classes of a side in a block, and bits of the bitmaps: at least 4 per shingle up to the larger.
@@ -237,7 +242,7 @@ def _screened(open_: DataFrame, percent: int, most: int | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[dict] = []
-        for batch in batches:
+        for batch in sliced(batches, "bits", 1 << 20):
             out: list[tuple[int, int]] = []
             for r in batch.to_pylist():
                 if rows and r["task"] != rows[0]["task"]:
@@ -302,6 +307,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if close.isEmpty():
             break
         more(close)
+    scratch.drop_others(marks, classes, found)
     ids = classes.select("c1", "c2", F.col("id").alias("first_id"))
     named = marks.select("id", "n_shingles", "c1", "c2").join(ids, ["c1", "c2"], "left").join(found.select(F.col("id").alias("first_id"), "component"), "first_id", "left")
     component = F.coalesce("component", "first_id", "id")
