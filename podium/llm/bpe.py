@@ -8,8 +8,10 @@ Where nothing compatible follows, it takes the last token back and tries its nex
 shorter prefix; positions found dead are never tried twice, so the work is linear
 in the word.  The result is that of the merge procedure.
 
-Nulls count as empty texts, and an empty text has no tokens.  Rows that repeat
-are encoded each; other columns are carried along unless ``keep`` names fewer.
+Nulls count as empty texts, and an empty text has no tokens.  Very long texts and
+words are encoded whole.  Rows that repeat are encoded each, ids may be of any type,
+and an empty table gives no rows.  A column that bears the name of a result is
+replaced; other columns are carried along.
 """
 
 from __future__ import annotations

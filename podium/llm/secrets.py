@@ -4,18 +4,23 @@ The patterns find assignments, access keys and hex strings.  The method adds
 strings that stand in a sensitive context (soon after a word such as
 ``authorization``) and that compression can't shorten: a candidate's marginal
 bytes are the compressed size of its surroundings with it less that without it,
-under a dictionary of identifiers and code.  Words, paths and names that the
-surroundings or the dictionary hold cost little; keys cost about their length.  Copies
-of the candidate itself aren't counted among its surroundings, and a value found so
-is reported wherever it stands in the text.
-
-Spans are code points, end exclusive, in order of start, then of kind.  A null or
-empty text has no spans.  Works row by row over whole texts.
+under a dictionary.  The dictionary is code that many repositories share and the
+identifiers that most documents of the table at hand hold (``vocabulary``).  Words,
+paths and names that the surroundings or the dictionary hold cost little; keys cost
+about their length.  Copies of the candidate itself aren't counted among its
+surroundings, and a value found so is reported wherever it stands in the text.
+
+Spans are code points, end exclusive, in order of start, then of kind; of spans of
+one start and kind there is one.  A null or empty text has no spans.  Whole texts are
+searched, however long; rows that repeat are searched each, and ids may be of any
+type.  An empty table gives no rows.  A column that bears the name of the result
+(``secrets``) is replaced by ``scan``; others are carried along.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -45,7 +50,12 @@ REACH, AROUND = 48, 160
 #: Marginal bytes per character from which a candidate is reported.
 NOVELTY = 0.7
 
-#: Identifiers and code that the compressor knows beforehand.
+#: Identifiers taken from a table for the dictionary, at most, and the characters of one: fewer than a
+#: candidate's and no digits, so no key gets in.  The dictionary has some 32 kB.
+VOCABULARY = 2_000
+NAME = r"(?<![A-Za-z0-9_+/=.~-])[A-Za-z_]{4,15}(?![A-Za-z0-9_+/=~-])"
+
+#: Code that the compressor knows beforehand.
 IDENTIFIERS = """
 import export from class def function return const static public private protected void string String int long
 boolean true false null None self this new throw raise try catch except finally while for if else elif switch case
@@ -59,14 +69,23 @@ mongodb aws_access_key_id aws_secret_access_key region us-east-1 eu-west-1 bucke
 documentation example placeholder changeme your-token-here insert_your_key_here xxxxxxxxxxxxxxxx 0123456789 abcdef
 the and of to in is that for with as on by this from are be was it not have which or an at internationalization
 """
-_CODEC: list = []
+_CODECS: dict[str, zstandard.ZstdCompressor] = {}
+
 
+def vocabulary(docs: DataFrame, text_col: str = "text", size: int = VOCABULARY) -> str:
+    """The dictionary for a table: IDENTIFIERS and the ``size`` names that most documents hold, the commonest last."""
+    names = F.array_distinct(F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(NAME), F.lit(0)))
+    top = docs.select(F.explode(names).alias("name")).groupBy("name").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "name").limit(size)
+    return " ".join([IDENTIFIERS, *(r["name"] for r in reversed(top.collect()))])
 
-def _codec() -> zstandard.ZstdCompressor:
-    if not _CODEC:
-        primed = zstandard.ZstdCompressionDict(IDENTIFIERS.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        _CODEC.append(zstandard.ZstdCompressor(level=6, dict_data=primed, write_content_size=False, write_checksum=False, write_dict_id=False))
-    return _CODEC[0]
+
+def _codec(dictionary: str) -> zstandard.ZstdCompressor:
+    if dictionary not in _CODECS:
+        primed = zstandard.ZstdCompressionDict(dictionary.encode("utf-8", "replace"), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        primed.precompute_compress(level=6)
+        _CODECS.clear()
+        _CODECS[dictionary] = zstandard.ZstdCompressor(level=6, dict_data=primed, write_content_size=False, write_checksum=False, write_dict_id=False)
+    return _CODECS[dictionary]
 
 
 def _around(text: str, start: int, end: int) -> tuple[str, str]:
@@ -90,9 +109,9 @@ def _around(text: str, start: int, end: int) -> tuple[str, str]:
     return before, after
 
 
-def marginal_bytes(text: str, start: int, end: int) -> int:
+def marginal_bytes(text: str, start: int, end: int, dictionary: str = IDENTIFIERS) -> int:
     """Compressed bytes that text[start:end] adds to what surrounds it, other copies of it left out."""
-    codec = _codec()
+    codec = _codec(dictionary)
     before, after = (x.encode("utf-8", "replace") for x in _around(text, start, end))
     return len(codec.compress(after + before + text[start:end].encode("utf-8", "replace"))) - len(codec.compress(after + before))
 
@@ -111,8 +130,22 @@ def _starts(text: str, lower: str, start: int, end: int) -> list[int]:
     return [*signs, *whole] if named else [*whole, *signs]
 
 
-def _novel(text: str, lower: str, base: list[tuple[int, int]]) -> Iterator[tuple[int, int, float]]:
+def _joined(spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the stretches that spans cover."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for a, b in sorted(spans):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
+def _novel(text: str, lower: str, base: list[tuple[int, int]], dictionary: str) -> Iterator[tuple[int, int, float]]:
     seen = -1
+    taken, until = _joined(base)
     for word in _SENSITIVE.finditer(lower):
         for m in CANDIDATE.finditer(text, word.end(), min(len(text), word.end() + REACH + 4096)):
             if m.start() > word.end() + REACH:
@@ -125,12 +158,13 @@ def _novel(text: str, lower: str, base: list[tuple[int, int]]) -> Iterator[tuple
                 end += 1
             for start in starts:
                 seen = max(seen, start)
-                if end - start < CANDIDATE_LENGTH or any(a < end and start < b for a, b in base):
+                k = bisect_left(taken, end) - 1  # the last stretch that begins before the end
+                if end - start < CANDIDATE_LENGTH or k >= 0 and until[k] > start:
                     continue
                 value = text[start:end]
                 if not (any(c.isdigit() for c in value) and any(c.isalpha() for c in value)):
                     continue
-                cost = marginal_bytes(text, start, end) / len(value)
+                cost = marginal_bytes(text, start, end, dictionary) / len(value)
                 if cost >= NOVELTY:
                     seen = end
                     yield start, end, cost
@@ -154,7 +188,7 @@ def _everywhere(text: str, novel: list[tuple[int, int, float]], base: list[tuple
             at = text.find(value, end)
 
 
-def find(text: str | None) -> list[tuple[str, int, int, float]]:
+def find(text: str | None, dictionary: str = IDENTIFIERS) -> list[tuple[str, int, int, float]]:
     """(kind, start, end, marginal bytes per character or 0) in order."""
     if not text:
         return []
@@ -170,7 +204,7 @@ def find(text: str | None) -> list[tuple[str, int, int, float]]:
         # offsets in the lower-cased text serve only where lower-casing keeps lengths
         same = lower if len(lower) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
         base = [x[1:3] for x in out]
-        out += (("novel", *x) for x in _everywhere(text, list(_novel(text, same, base)), base))
+        out += (("novel", *x) for x in _everywhere(text, list(_novel(text, same, base, dictionary)), base))
     return sorted(out, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 
@@ -178,14 +212,15 @@ SPANS = "array<struct<kind:string,start:long,end:long,novelty:double>>"
 _ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("novelty", pa.float64())]))
 
 
-def scan(docs: DataFrame, text_col: str = "text", out_col: str = "secrets") -> DataFrame:
-    """Adds ``out_col``: the spans of each whole text (an empty array if none)."""
+def scan(docs: DataFrame, text_col: str = "text", out_col: str = "secrets", dictionary: str | None = None) -> DataFrame:
+    """Adds ``out_col``: the spans of each whole text (an empty array if none), by the table's own dictionary if none is given."""
     kept = docs.drop(out_col)
+    primed = docs.sparkSession.sparkContext.broadcast(vocabulary(docs, text_col) if dictionary is None else dictionary)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields), f"`{out_col}` {SPANS}"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, text_col):
-            found = [[dict(zip(("kind", "start", "end", "novelty"), x, strict=True)) for x in find(t.as_py())] for t in batch.column(text_col)]
+            found = [[dict(zip(("kind", "start", "end", "novelty"), x, strict=True)) for x in find(t.as_py(), primed.value)] for t in batch.column(text_col)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, _ARROW)], [*batch.schema.names, out_col])
 
     return map_arrow(kept, run, schema)
@@ -196,9 +231,10 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
-def redact(docs: DataFrame, text_col: str = "text", mark: str = "[REDACTED]") -> DataFrame:
-    """Replaces every span by ``mark``, overlapping spans by one; null texts stay null."""
+def redact(docs: DataFrame, text_col: str = "text", mark: str = "[REDACTED]", dictionary: str | None = None) -> DataFrame:
+    """Replaces every span by ``mark``, overlapping spans by one; null texts stay null, all columns and rows stay."""
     schema = docs.schema
+    primed = docs.sparkSession.sparkContext.broadcast(vocabulary(docs, text_col) if dictionary is None else dictionary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, text_col):
@@ -206,7 +242,7 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[REDACTED]") ->
             for t in batch.column(text_col):
                 text = t.as_py()
                 parts, at = [], 0
-                for _, start, end, _ in find(text):
+                for _, start, end, _ in find(text, primed.value):
                     if start >= at:
                         parts += [text[at:start], mark]
                     at = max(at, end)
