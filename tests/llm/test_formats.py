@@ -1,8 +1,10 @@
 import base64
 import hashlib
+import itertools
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from podium.llm import chat, queries, warc
 
@@ -49,6 +51,28 @@ def test_damaged_archives_are_errors():
         list(warc.parse_archive(b"WARC/1.1\r\nContent-Length: 90\r\n\r\nshort"))
 
 
+def test_damaged_payloads_are_errors(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "u", "<p>payload one</p>")], "page_id long, url string, html string")
+    warc.write_archives(pages, str(tmp_path / "w"))
+    data = next((tmp_path / "w").rglob("part-*")).read_bytes()
+    records = list(warc.parse_archive(data))
+    for fields, block in records:
+        warc._row(fields, block)
+        if fields["warc-type"] == "response":
+            with pytest.raises(ValueError, match="digest"):
+                warc._row(fields, block.replace(b"one", b"two"))
+
+
+def test_archives_are_split_by_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 1 << 18)
+    pages = spark.createDataFrame([(i, "u", f"{i}" * n) for i, n in enumerate([50_000] * 12 + [200_000] * 4 + [3_000_000])], "page_id long, url string, html string").coalesce(1)
+    warc.write_archives(pages, str(tmp_path / "w"))
+    files = [list(warc.parse_archive(f.read_bytes())) for f in (tmp_path / "w").rglob("part-*")]
+    blocks = [[len(block) for fields, block in f if fields["warc-type"] == "response"] for f in files]
+    assert sum(map(len, blocks)) == 17 and all(len(b) == 1 or sum(b) < (1 << 18) + 10_000 for b in blocks)
+    assert ordered(warc.digest(pages, least_bytes=0).collect()) == ordered(described([tuple(r) for r in pages.collect()]))
+
+
 TURNS = [(1, 1, "user", "hi"), (1, 2, "assistant", r"a\s \### </turn> ###"), (1, 3, "assistant", None), (1, 3, "assistant", None), (2, None, None, "x: y"), (None, 1, "assistant: ", "### user: z</turn>"), (3, 1, "assistant", ""), (4, 1, "assistant", "é\U0001f600" * 3000)]
 
 
@@ -64,6 +88,19 @@ def test_formatted_turns_come_back(spark):
     assert chat.digest(rows.limit(0)).collect() == []
 
 
+def test_sums_before(spark):
+    sizes = [1, 2, 3, 7, 50, 2000]
+    rows = spark.createDataFrame([([(k * 37) % 101 for k in range(n)],) for n in sizes], "x array<long>")
+    for r in rows.select("x", chat.sums_before(F.col("x")).alias("s")).collect():
+        assert r["s"] == [0, *itertools.accumulate(r["x"])][:-1]
+
+
+def test_a_conversation_of_very_many_turns(spark):
+    rows = spark.range(30_000).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 3 == 0, "user").otherwise("assistant").alias("role"), F.col("id").cast("string").alias("text"))
+    got = chat.digest(rows).first()
+    assert got["n_turns"] == 30_000 and got["loss_sha256"] == hashlib.sha256("".join(str(i) for i in range(30_000) if i % 3).encode()).hexdigest()
+
+
 def test_same_as_sql(spark):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW conversations AS SELECT * FROM '{SF}/conversations.parquet'")

@@ -3,10 +3,16 @@ import itertools
 import math
 import random
 import re
+import struct
+import zlib
+from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from podium.llm import decontam, fingerprint, langid, queries, secrets, token_rollup
 from podium.llm.common import Scratch
@@ -141,10 +147,129 @@ def test_languages_of_odd_documents(docs):
 
 def test_pieces_of_long_texts_count_alike(monkeypatch):
     text = "Grüße aus der Stadt, hello there " * 40
-    import numpy as np
-
-    whole = np.concatenate(list(langid.features(text, 1 << 12)))
-    assert len(whole) > 2 * len(text)
+    count = lambda: np.bincount(np.concatenate(list(langid.features(text, 1 << 12))), minlength=1 << 12)
+    whole = count()
+    monkeypatch.setattr(langid, "STEP", 100)
+    pieces = count()
+    # what a cut changes: the n-grams of the two characters that are seen twice
+    assert len(text) * 2 < whole.sum() <= pieces.sum() <= whole.sum() + 6 * (len(text) // 100 + 1)
+    assert (pieces >= whole).mean() > 0.99
+
+
+def grams(text):
+    """The n-grams of 1 to 3 letters of a text; other characters are a space, several of them one."""
+    letters = re.sub(" +", " ", "".join(c if c.isalpha() else " " for c in text.lower()))
+    return [letters[i : i + n] for n in (1, 2, 3) for i in range(len(letters) - n + 1)]
+
+
+def bucket(gram, buckets):
+    """The hash of the operator, a letter at a time."""
+    code = 0
+    for n in range(1, len(gram) + 1):
+        code = (code * 0x01000193 + (ord(gram[n - 1]) + n) * 0x9E3779B1) & 0xFFFFFFFF
+    h = ((code ^ code >> 15) * 0x85EBCA6B) & 0xFFFFFFFF
+    return h >> 32 - (buckets.bit_length() - 1)
+
+
+def test_predictions_as_plain_bayes(spark):
+    """Counts, probabilities and posteriors recomputed with dicts and floats."""
+    rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang").collect()]
+    got = {r["doc_id"]: r for r in queries.op8_langid(spark, SF).collect()}
+    buckets = langid.BUCKETS
+    learn = [(t, lang) for i, t, lang in rows if t is not None and lang is not None and zlib.crc32(str(i).encode()) % 4 != 2]
+    langs = sorted({lang for _, lang in learn})
+    counts = {lang: Counter() for lang in langs}
+    for t, lang in learn:
+        counts[lang].update(bucket(g, buckets) for g in grams(t))
+    totals = {lang: sum(counts[lang].values()) + 0.5 * buckets for lang in langs}
+    prior = Counter(lang for _, lang in learn)
+    for i, t, _ in rows:
+        assert got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2)
+        if not t or not any(map(str.isalpha, t)):
+            assert (got[i]["lang_pred"], got[i]["score"]) == ("und", 0)
+            continue
+        own = Counter(bucket(g, buckets) for g in grams(t))
+        log = {lang: math.log(prior[lang] / len(learn)) + sum(n * math.log((counts[lang][b] + 0.5) / totals[lang]) for b, n in own.items()) for lang in langs}
+        best = max(log.values())
+        assert got[i]["lang_pred"] == max(langs, key=lambda x: log[x])
+        assert abs(got[i]["score"] - 1 / sum(math.exp(v - best) for v in log.values())) < 1e-3
+
+
+def vector(text):
+    """A text's fingerprint in plain Python: exact lanes of its paragraphs, sign lanes of its runs of words."""
+    seeded = lambda data, seed=42: xxhash.xxh64_intdigest(data, seed)
+    exact, signs = [0] * fingerprint.EXACT, [0] * fingerprint.SIGNS
+    for p in (text or "").split("\n"):
+        words = re.findall(r"[^ \t\n\x0b\f\r]+", p)
+        if not words:
+            continue
+        hashes = [seeded(p.encode()), *(seeded(p.encode(), seeded(struct.pack("<i", k))) for k in range(1, fingerprint.EXACT // 2))]
+        for k, h in enumerate(hashes):
+            exact[2 * k] += h & 0xFFFFFFFF
+            exact[2 * k + 1] += h >> 32
+        tokens = [seeded(w.encode()) for w in words]
+        for i in range(max(1, len(tokens) - fingerprint.RUN + 1)):
+            h = 42
+            for t in tokens[i : i + fingerprint.RUN]:
+                h = seeded(struct.pack("<Q", t), h)
+            for k in range(fingerprint.SIGNS // 64):
+                bits = h if k == 0 else seeded(struct.pack("<i", 1000 + k), seeded(struct.pack("<Q", h)))
+                for j in range(32):
+                    signs[64 * k + 2 * j] += 1 if bits >> j & 1 else -1
+                    signs[64 * k + 2 * j + 1] += 1 if bits >> (32 + j) & 1 else -1
+    return [x % (1 << 32) for x in exact], signs
+
+
+def alike(a, b):
+    (xa, sa), (xb, sb) = a, b
+    size = sum(x * x for x in sa) + sum(x * x for x in sb)
+    if a == b:
+        return 1.0
+    return max(0.0, min(1.0, 1 - sum((x - y) ** 2 for x, y in zip(sa, sb, strict=True)) / size)) if size else 0.0
+
+
+def test_fingerprints_in_plain_python(spark):
+    rows = sorted(((r[0], r[1] or "") for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()))
+    got = {r["doc_id"]: r for r in queries.op4_fingerprints(spark, SF).collect()}
+    show = lambda v: "".join(f"{x:08x}" for x in v[0]) + "".join(f"{x % (1 << 20):05x}" for x in v[1])
+    for n, (i, text) in enumerate(rows[:60]):
+        after = rows[(n + 1) % len(rows)][1]
+        cut = len(text) // 4
+        edited = text[: len(text) - cut] + after[:cut]
+        own, changed, following = vector(text), vector(edited), vector(after)
+        assert got[i]["fingerprint"] == show(own) and got[i]["edited_fingerprint"] == show(changed)
+        assert abs(got[i]["near_edited"] - alike(own, changed)) < 1e-9 and abs(got[i]["near_next"] - alike(own, following)) < 1e-9
+
+
+CODE = """def connect(config, timeout=30):
+    session = create_session(config.host, config.port)
+    session.headers.update(build_headers(config.user_name))
+    authorization: {}
+    return session.open_connection(retry_policy, request_timeout)
+"""
+
+
+def test_planted_keys_are_found_and_names_are_not(spark):
+    """Recall over random keys and precision over long identifiers of the corpus, in the same sensitive places."""
+    r = random.Random(3)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    keys = ["".join(r.choices(alphabet, k=r.randint(24, 48))) for _ in range(150)]
+    parts = ["request", "session", "handler", "factory", "manager", "service", "builder", "version", "channel", "wrapper"]
+    names = ["_".join(r.sample(parts, 4)) + f"_v{r.randint(1, 9)}" for _ in range(150)]
+    rows = [(i, CODE.format(x) + "\n".join(r.sample(parts, 6))) for i, x in enumerate(keys + names)]
+    got = {x["doc_id"]: x["secrets"] for x in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    hits = [i for i in range(300) if got[i]]
+    caught, wrong = sum(i < 150 for i in hits), sum(i >= 150 for i in hits)
+    assert caught >= 145 and wrong <= 5, (caught, wrong)
+    for i in range(150):
+        for s in got[i]:
+            assert rows[i][1][s["start"] : s["end"]] == keys[i]
+
+
+def test_dictionary_holds_names_of_many_documents_and_no_keys(spark):
+    rows = [(i, f"open_session({i}) by customer_name token q9Zx7LmP2vRt8KwYb4NcJd6HsGfA3eUo once{'abcdefghij'[i]}only") for i in range(10)] + [(11, None), (12, "")]
+    found = secrets.vocabulary(spark.createDataFrame(rows, "doc_id long, text string")).split()
+    assert {"open_session", "customer_name"} <= set(found) and not any("q9Zx" in x or x.startswith("once") for x in found)
 
 
 def _con(*tables):
@@ -154,26 +279,40 @@ def _con(*tables):
     return con
 
 
-def test_totals_as_sql(spark):
+def test_totals_cover_every_document(spark):
     got = queries.op9_token_rollup(spark, SF)
-    want = _con("documents").sql(f"SELECT {', '.join(got.columns)} FROM ({token_rollup.SQL})").fetchall()
-    assert ordered(got.collect()) == ordered(want)
+    t = Tokenizer.from_file(queries.tokenizer_path())
+    t.no_truncation()
+    t.no_padding()
+    want = {}
+    for source, lang, text in _con("documents").sql("SELECT source, lang, text FROM documents").fetchall():
+        text = text or ""
+        for name, n in (("words", len(re.findall(token_rollup.WORDS, text.replace("|", " ")))), ("bpe", len(t.encode(text, add_special_tokens=False).ids))):
+            docs, tokens, chars = want.get((source, lang, name), (0, 0, 0))
+            want[source, lang, name] = docs + 1, tokens + n, chars + len(text)
+    assert ordered(got.select("source", "lang", "tokenizer", "docs", "tokens", "chars").collect()) == ordered((*k, *v) for k, v in want.items())
 
 
 def test_commits_count_once(spark, docs):
     path = Scratch(spark, "rollup-test").path("t")
     rollup = token_rollup.Rollup(spark, path)
-    n = token_rollup.count_tokens(F.col("text"), "words-1")
-    rows = docs.where("doc_id >= 900000")
-    for _ in range(2):
-        assert rollup.commit("a", token_rollup.counted(rows, "words-1", n, token_rollup.INSERT))
+    rows = docs.where("doc_id >= 900000").withColumns({"n": token_rollup.count_tokens(F.col("text")), "chars": F.length("text").cast("long"), "op": F.lit("clash")})
+    of = lambda op, df=rows: token_rollup.counted(df, "words", op, "n")
+    assert rollup.commit("a", of(token_rollup.INSERT)) and not rollup.commit("a", of(token_rollup.INSERT))
     first = rollup.totals().collect()
     assert [(r["source"], r["docs"]) for r in first] == [(None, 19)]
     rollup.compact()
-    assert not rollup.commit("a", token_rollup.counted(rows, "words-1", n, token_rollup.INSERT))
-    rollup.commit("none", token_rollup.counted(rows.limit(0), "words-1", n, token_rollup.INSERT))
+    assert not rollup.commit("a", of(token_rollup.INSERT)) and rollup.batches() == []
+    rollup.commit("none", of(token_rollup.INSERT, rows.limit(0)))
+    assert rollup.totals().collect() == first
+    # a write that a lost driver left aside counts for nothing
+    token_rollup.deltas(of(token_rollup.INSERT)).write.parquet(f"{path}/aside/b-lost")
+    assert rollup.totals().collect() == first and rollup.commit("b", of(token_rollup.INSERT))
+    rollup.compact()
+    assert rollup.folded("a", "b", "c", "none") == {"a", "b", "none"}
+    rollup.commit("gone", of(token_rollup.DELETE))
     assert rollup.totals().collect() == first
-    rollup.commit("gone", token_rollup.counted(rows, "words-1", n, token_rollup.DELETE))
+    rollup.commit("gone again", of(token_rollup.DELETE))
     assert rollup.totals().collect() == []
 
 
