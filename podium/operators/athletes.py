@@ -55,6 +55,22 @@ def performances(t: Catalog, athlete_id: int | None = None) -> DataFrame:
     return rows.select(F.col("master_id").alias("athlete_id"), "competition_id", "label", "start_date", "division_name", "event_name", "round", F.coalesce("event_number", F.lit(0)).alias("event_number"), "ranking", "record", "new_record", "qualification", "note", "start_id").orderBy(F.desc_nulls_last("start_date"), F.desc("event_number"), "start_id")
 
 
+def detail(t: Catalog, number: int = 0, size: int = 20, athlete_id: int | None = None) -> DataFrame:
+    """One row per athlete: the latest profile, and a page of performances nested, with the counts a pager shows."""
+    if size <= 0 or number < 0:
+        raise ValueError("a page has a positive size and a number from 0")
+    order = Window.partitionBy("athlete_id").orderBy(F.desc_nulls_last("start_date"), F.desc("event_number"), "start_id")
+    ranked = performances(t, athlete_id).withColumn("k", F.row_number().over(order))
+    columns = [c for c in ranked.columns if c != "athlete_id"]
+    on_page = (F.col("k") > number * size) & (F.col("k") <= (number + 1) * size)
+    listed = ranked.groupBy("athlete_id").agg(F.count("*").alias("total_elements"), F.array_sort(F.collect_list(F.when(on_page, F.struct("k", *[c for c in columns if c != "k"])))).alias("content"))
+    people = latest_profiles(t).join(entry_divisions(t), "athlete_id", "left")
+    people = people if athlete_id is None else people.where(F.col("athlete_id") == athlete_id)
+    out = people.join(listed, "athlete_id", "left").withColumn("total_elements", F.coalesce("total_elements", F.lit(0)))
+    pages = F.ceil(F.col("total_elements") / size).cast("int")
+    return out.withColumns({"total_pages": pages, "number": F.lit(number), "last": F.lit((number + 1) * size) >= F.col("total_elements")})
+
+
 def recent_medals(t: Catalog, competitions: int = 5) -> DataFrame:
     """Medals by athlete name, latest first, up to where one more competition than that begins.
 

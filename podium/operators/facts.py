@@ -53,14 +53,18 @@ def scoring(t: Catalog, comp_id: int | None = None) -> DataFrame:
     return result_fact(t, comp_id).where((F.col("round") == FINAL) & F.col("ranking").between(1, 6))
 
 
-def individual_entries(t: Catalog, comp_id: int | None = None, unmapped: bool = False) -> DataFrame:
-    """Entries with a start in an event for individuals, each once."""
+def individual_entries(t: Catalog, comp_id: int | None = None, unmapped: bool = False, with_team: bool = False) -> DataFrame:
+    """Entries with a start in an event for individuals, each once; ``with_team`` adds the team's own name and region, by team name."""
     single = heats(t).where("NOT team_event").select("heat_id")
     ids = t["heat_entry"].join(single, "heat_id", "left_semi").select(F.col("entry_id").alias("id"))
     out = t["competition_entry"].join(ids, "id", "left_semi")
     if comp_id is not None:
         out = out.where(F.col("competition_id") == comp_id)
-    return out.where("athlete_id IS NULL") if unmapped else out
+    if unmapped:
+        out = out.where("athlete_id IS NULL")
+    if with_team:
+        out = out.join(_named(t["team"], team_id="id", master_team="name", master_region="region"), "team_id", "left").orderBy("team_name", "id")
+    return out
 
 
 def events_by_first_number(t: Catalog, comp_id: int | None = None) -> DataFrame:

@@ -39,7 +39,7 @@ def entry_history(t: Catalog) -> DataFrame:
 
 def candidates(t: Catalog, comp_id: int | None = None) -> DataFrame:
     """Unmapped individual entries with every athlete of their name and gender, and those athletes' histories."""
-    history = entry_history(t).where("athlete_id IS NOT NULL").groupBy("athlete_id").agg(F.array_sort(F.collect_list(F.struct("year", "competition", "region", "team_name", "division_names", "event_names"))).alias("history"))
+    history = histories(t)
     athlete = t["athlete"].select(F.col("id").alias("athlete_id"), F.col("name").alias("athlete_name"), "gender", "birth_year", "notes")
     entries = facts.individual_entries(t, comp_id, unmapped=True).select(F.col("id").alias("entry_id"), "athlete_name", "gender", "region", "team_name")
     return entries.join(athlete, ["athlete_name", "gender"]).join(history, "athlete_id", "left")
@@ -51,9 +51,13 @@ def auto_match(t: Catalog, comp_id: int | None = None) -> DataFrame:
     A group is name, gender, team and categories; a candidate has that name and gender and any
     entry with the same team and compatible categories.
     """
-    open_ = _with_categories(facts.individual_entries(t, comp_id, unmapped=True), t).withColumn("team", F.coalesce("team_name", F.lit("")))
+    # one look at the starts: an entry's categories, and whether it started for itself
+    starts = facts.entry_fact(t).groupBy("entry_id").agg(F.array_sort(F.collect_set(division_category(F.col("division_name")))).alias("categories"), F.bool_or(~F.col("team_event")).alias("single"))
+    entries = t["competition_entry"].withColumnRenamed("id", "entry_id").join(starts, "entry_id", "left").withColumn("team", F.coalesce("team_name", F.lit(""))).withColumn("categories", F.coalesce("categories", F.array().cast("array<string>")))
+    open_ = entries.where(F.col("athlete_id").isNull() & F.coalesce("single", F.lit(False)))
+    open_ = open_ if comp_id is None else open_.where(F.col("competition_id") == comp_id)
     keys = ["athlete_name", "gender", "team", "categories"]
-    past = _with_categories(t["competition_entry"].where("athlete_id IS NOT NULL"), t).select("athlete_id", F.coalesce("team_name", F.lit("")).alias("team"), F.col("categories").alias("theirs"))
+    past = entries.where("athlete_id IS NOT NULL").select("athlete_id", F.coalesce("team_name", F.lit("")).alias("team"), F.col("categories").alias("theirs"))
     athlete = t["athlete"].select(F.col("id").alias("athlete_id"), F.col("name").alias("athlete_name"), "gender")
     known = past.join(athlete, "athlete_id").distinct()
     groups = open_.select(*keys).distinct()
@@ -102,44 +106,44 @@ def auto_match_teams(t: Catalog, comp_id: int | None = None, individual_only: bo
     return map_entries({**t, "team": teams}, mapping, "team_id"), created
 
 
+def histories(t: Catalog) -> DataFrame:
+    """(athlete_id, history): the entries of each mapped athlete, nested in order."""
+    return entry_history(t).where("athlete_id IS NOT NULL").groupBy("athlete_id").agg(F.array_sort(F.collect_list(F.struct("year", "competition", "region", "team_name", "division_names", "event_names"))).alias("history"))
+
+
 def homonyms(t: Catalog) -> DataFrame:
-    """Names and genders of several athletes, with the athletes nested."""
-    one = F.struct(F.col("id").alias("athlete_id"), "birth_year", "notes")
-    return t["athlete"].groupBy("name", "gender").agg(F.count("*").alias("athletes"), F.array_sort(F.collect_list(one)).alias("candidates")).where("athletes >= 2").orderBy("name", "gender")
+    """Names and genders of several athletes, with the athletes and their histories nested."""
+    one = F.struct(F.col("id").alias("athlete_id"), "birth_year", "notes", "history")
+    people = t["athlete"].join(histories(t).withColumnRenamed("athlete_id", "id"), "id", "left")
+    return people.groupBy("name", "gender").agg(F.count("*").alias("athletes"), F.array_sort(F.collect_list(one)).alias("candidates")).where("athletes >= 2").orderBy("name", "gender")
 
 
-_REGISTERED = "entry_id long, athlete_id long, created_key string, name string, gender string, notes string"
+_REGISTERED = "athlete_name string, gender string, key string, athlete_id long, created_key string, notes string"
 
 
 def _register(rows: pd.DataFrame) -> pd.DataFrame:
-    """Decides for one name and gender, group by group in key order."""
-    known: dict[object, list[tuple[str, frozenset]]] = {}
-    for r in rows[rows["athlete_id"].notna()].itertuples():
-        known.setdefault(int(r.athlete_id), []).append((r.team, frozenset(r.categories)))
-    masters = sorted({int(x) for ids in rows["masters"] for x in ids})
-    for m in masters:
-        known.setdefault(m, [])
+    """Decides for one name and gender, group by group in key order.
+
+    Rows are athletes, each with the different category sets of its entries, and groups.
+    """
     meets = lambda own, theirs: not own or not theirs or bool(own & theirs)
+    known: dict[object, list[frozenset]] = {int(r.athlete_id): [frozenset(c) for c in r.sets] for r in rows[rows["key"].isna()].itertuples()}
     out = []
-    current = rows[rows["wanted"]].assign(key=lambda d: [f"{a}|{'/'.join(sorted(c))}" for a, c in zip(d["team"], d["categories"], strict=True)])
-    for key, group in sorted(current.groupby("key"), key=lambda x: x[0]):
-        own = frozenset(group.iloc[0]["categories"])
-        mapped = [int(x) for x in group["athlete_id"].dropna().sort_values()]
-        pick = next((m for m in mapped if all(meets(own, c) for _, c in known.get(m, []))), None)
+    for group in rows[rows["key"].notna()].sort_values("key").itertuples():
+        own = frozenset(group.categories)
+        fits = lambda m: all(meets(own, c) for c in known.get(m, []))  # noqa: E731, B023
+        pick: object = next((m for m in sorted(map(int, group.mapped)) if fits(m)), None)
+        note = None
         if pick is None:
-            fitting = [m for m, past in known.items() if past and all(meets(own, c) for _, c in past)]
+            fitting = [m for m, past in known.items() if past and fits(m)]
             pick = fitting[0] if len(fitting) == 1 else None
-        note = None
-        made = None
         if pick is None:
-            made = f"{rows.iloc[0]['athlete_name']}|{rows.iloc[0]['gender']}|{key}"
-            first = group.sort_values("entry_id").iloc[0]
-            note = " ".join(x for x in (first["region"], first["team_name"]) if isinstance(x, str) and x) if known else None
-            pick = made
-        for e in sorted(group["entry_id"]):
-            out.append((e, None if made else pick, made, rows.iloc[0]["athlete_name"], rows.iloc[0]["gender"], note))
-        known.setdefault(pick, []).append((group.iloc[0]["team"], own))
-    return pd.DataFrame(out, columns=["entry_id", "athlete_id", "created_key", "name", "gender", "notes"]).astype({"athlete_id": "Int64"})
+            pick = f"{group.athlete_name}|{group.gender}|{group.key}"
+            note = " ".join(x for x in (group.region, group.team_name) if isinstance(x, str) and x) if known else None
+        known.setdefault(pick, []).append(own)
+        made = isinstance(pick, str)
+        out.append((group.athlete_name, group.gender, group.key, None if made else pick, pick if made else None, note))
+    return pd.DataFrame(out, columns=["athlete_name", "gender", "key", "athlete_id", "created_key", "notes"]).astype({"athlete_id": "Int64"})
 
 
 def bulk_register(t: Catalog, comp_id: int) -> tuple[Catalog, DataFrame]:
@@ -149,29 +153,48 @@ def bulk_register(t: Catalog, comp_id: int) -> tuple[Catalog, DataFrame]:
     categories.  A group takes the athlete of a member if all entries of that athlete are
     compatible, else the only athlete of the name and gender with all entries compatible, else a
     new one, with a note if the name was taken.  Groups of a name and gender are decided in key
-    order, each seeing those before it: a fixed order in place of an undefined one.
+    order, each seeing those before it: a fixed order in place of an undefined one.  Spark
+    brings entries down to groups and to the few category sets of each athlete before that.
     """
     t, teams_created = auto_match_teams(t, comp_id, individual_only=True)
-    wanted = facts.individual_entries(t, comp_id).select(F.col("id").alias("entry_id"), F.lit(True).alias("wanted"))
-    rows = _with_categories(t["competition_entry"], t).join(wanted, "entry_id", "left").withColumn("wanted", F.coalesce("wanted", F.lit(False)))
-    masters = t["athlete"].groupBy(F.col("name").alias("athlete_name"), "gender").agg(F.array_sort(F.collect_list("id")).alias("masters"))
-    names = rows.where("wanted").select("athlete_name", "gender").distinct()
-    fields = ["entry_id", "athlete_id", "athlete_name", "gender", "region", "team_name", F.coalesce("team_name", F.lit("")).alias("team"), "categories", "wanted", F.coalesce("masters", F.array().cast("array<long>")).alias("masters")]
-    met = rows.where("wanted OR athlete_id IS NOT NULL").join(names, ["athlete_name", "gender"], "left_semi").join(masters, ["athlete_name", "gender"], "left").select(*fields)
-    decided = keep(met.groupBy("athlete_name", "gender").applyInPandas(_register, _REGISTERED), "registered")
+    entries = _with_categories(t["competition_entry"], t)
+    key = F.concat_ws("|", F.coalesce("team_name", F.lit("")), F.array_join("categories", "/"))
+    single = facts.individual_entries(t, comp_id).select(F.col("id").alias("entry_id"))
+    wanted = entries.join(single, "entry_id", "left_semi").withColumn("key", key)
+    groups = wanted.groupBy("athlete_name", "gender", "key").agg(F.first("categories").alias("categories"), F.collect_set("athlete_id").alias("mapped"), F.min(F.struct("entry_id", "region", "team_name")).alias("one"))
+    names = groups.select("athlete_name", "gender").distinct()
+    past = entries.where("athlete_id IS NOT NULL").groupBy("athlete_name", "gender", "athlete_id").agg(F.collect_set("categories").alias("sets"))
+    masters = t["athlete"].select(F.col("name").alias("athlete_name"), "gender", F.col("id").alias("athlete_id"), F.array().cast("array<array<string>>").alias("sets"))
+    known = past.unionByName(masters).join(names, ["athlete_name", "gender"], "left_semi").groupBy("athlete_name", "gender", "athlete_id").agg(F.array_distinct(F.flatten(F.collect_list("sets"))).alias("sets"))
+    null = lambda kind: F.lit(None).cast(kind)
+    athletes = known.select("athlete_name", "gender", null("string").alias("key"), "athlete_id", "sets", null("array<string>").alias("categories"), null("array<long>").alias("mapped"), null("string").alias("region"), null("string").alias("team_name"))
+    rows = athletes.union(groups.select("athlete_name", "gender", "key", null("long"), null("array<array<string>>"), "categories", "mapped", "one.region", "one.team_name"))
+    decided = keep(rows.groupBy("athlete_name", "gender").applyInPandas(_register, _REGISTERED), "registered")
 
     from podium.operators.mutate import allocate
     from podium.schema import conform
 
-    made = decided.where("created_key IS NOT NULL").groupBy("created_key", "name", "gender").agg(F.max("notes").alias("notes"))
+    made = decided.where("created_key IS NOT NULL").groupBy("created_key", F.col("athlete_name").alias("name"), "gender").agg(F.max("notes").alias("notes"))
     new = keep(allocate(made, t["athlete"], ["created_key", "name", "gender"]), "athlete")
-    mapping = decided.join(new.select("created_key", F.col("id").alias("new_id")), "created_key", "left").select("entry_id", F.coalesce("athlete_id", "new_id").alias("value"))
-    counts = decided.agg(F.count_distinct("created_key").alias("athletes_created"), F.count("*").alias("athletes_mapped")).crossJoin(teams_created.agg(F.count("*").alias("teams_created")))
+    named = decided.join(new.select("created_key", F.col("id").alias("new_id")), "created_key", "left").select("athlete_name", "gender", "key", F.coalesce("athlete_id", "new_id").alias("value"))
+    mapping = keep(wanted.select("entry_id", "athlete_name", "gender", "key").join(named, ["athlete_name", "gender", "key"]).select("entry_id", "value"), "mapping")
+    counts = new.agg(F.count("*").alias("athletes_created")).crossJoin(mapping.agg(F.count("*").alias("athletes_mapped"))).crossJoin(teams_created.agg(F.count("*").alias("teams_created")))
     out = map_entries({**t, "athlete": t["athlete"].unionByName(conform(new, "athlete"))}, mapping)
     return out, counts
 
 
-def mapping_counts(t: Catalog) -> DataFrame:
-    """Per competition: individual entries, mapped and unmapped."""
+def _shown(text: str, unmapped_only: bool):
+    """Whether the mapping page lists an entry: name or team contains the text, and it is unmapped if that is asked."""
+    found = F.lower("athlete_name").contains(text.lower()) | F.lower(F.coalesce("team_name", F.lit(""))).contains(text.lower())
+    return found & F.col("athlete_id").isNull() if unmapped_only else found
+
+
+def mapping_list(t: Catalog, comp_id: int | None = None, text: str = "", unmapped_only: bool = False) -> DataFrame:
+    """The entries that the mapping page lists."""
+    return facts.individual_entries(t, comp_id).where(_shown(text, unmapped_only))
+
+
+def mapping_counts(t: Catalog, text: str = "", unmapped_only: bool = False) -> DataFrame:
+    """Per competition: individual entries, mapped, unmapped and listed under the filter."""
     mapped = F.col("athlete_id").isNotNull()
-    return facts.individual_entries(t).groupBy("competition_id").agg(F.count("*").alias("total"), F.count_if(mapped).alias("mapped"), F.count_if(~mapped).alias("unmapped"))
+    return facts.individual_entries(t).groupBy("competition_id").agg(F.count("*").alias("total"), F.count_if(mapped).alias("mapped"), F.count_if(~mapped).alias("unmapped"), F.count_if(_shown(text, unmapped_only)).alias("visible"))

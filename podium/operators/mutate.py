@@ -1,7 +1,7 @@
 """Changes as functions from catalogue to catalogue.
 
-Ids are allocated as the largest id so far plus the position in natural-key order,
-so a rerun gives the same ids.  Where a key occurs several times among new rows,
+Ids are allocated as the largest id so far plus a position that the natural keys
+decide, so a rerun gives the same ids.  Where a key occurs several times among new rows,
 the first in order wins.
 """
 
@@ -25,13 +25,13 @@ KEYS = {"event": ["competition_id", "division_name", "gender", "event_name"], "e
 
 
 def allocate(rows: DataFrame, existing: DataFrame, order: list[str]) -> DataFrame:
-    """Rows with new ids after the largest existing one, in key order.
+    """Rows with new ids after the largest existing one, without gaps.
 
-    Numbers are dealt within ranges of the order and shifted by what lies before, so
-    no task sorts all rows.
+    Numbers are dealt within slots by the hash of all key columns, in key order there,
+    and shifted by the slots before: no task sorts all rows, whatever the first key.
     """
     top = existing.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
-    slot = rows.withColumn("_slot", F.pmod(F.xxhash64(*[F.col(c).cast("string") for c in order[:1]]), F.lit(256)).cast("int"))
+    slot = rows.withColumn("_slot", F.pmod(F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in order]), F.lit(256)).cast("int"))
     counts = slot.groupBy("_slot").agg(F.count("*").alias("_n"))
     before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_slot", "_before")
     numbered = slot.withColumn("_k", F.row_number().over(Window.partitionBy("_slot").orderBy(*[F.asc_nulls_first(c) for c in order])))
@@ -49,9 +49,9 @@ def _match(a: str, b: str, keys: list[str], literal: bool) -> Column:
     return out
 
 
-def find_or_create(existing: DataFrame, rows: DataFrame, table: str, order: str | None = None, literal: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(table with what was missing, the created rows, which are stored at once).  The first row of a key in ``order`` gives its values."""
-    keys = KEYS[table]
+def find_or_create(existing: DataFrame, rows: DataFrame, table: str, order: str | None = None, literal: bool = False, keys: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(table with what was missing, the created rows, which are stored at once).  The first row of a key in ``order`` gives its values; ``keys`` replaces the table's natural key."""
+    keys = keys or KEYS[table]
     norm = [F.coalesce(k, F.lit("")) if k == "team_name" and not literal else F.col(k) for k in keys]
     first = Window.partitionBy(*norm).orderBy(*([order] if order else [F.asc_nulls_first(c) for c in rows.columns]))
     once = rows.withColumn("_k", F.row_number().over(first)).where("_k = 1").drop("_k")
@@ -60,9 +60,9 @@ def find_or_create(existing: DataFrame, rows: DataFrame, table: str, order: str
     return existing.unionByName(created), created
 
 
-def with_ids(rows: DataFrame, table: DataFrame, name: str, id_name: str, literal: bool = False) -> DataFrame:
+def with_ids(rows: DataFrame, table: DataFrame, name: str, id_name: str, literal: bool = False, keys: list[str] | None = None) -> DataFrame:
     """Rows with the id of the table row they mean, by natural key (the smallest id if several)."""
-    keys = KEYS[name]
+    keys = keys or KEYS[name]
     ids = table.groupBy(*[F.coalesce(k, F.lit("")).alias(k) if k == "team_name" and not literal else F.col(k) for k in keys]).agg(F.min("id").alias(id_name))
     met = rows.alias("r").join(ids.alias("i"), _match("r", "i", keys, literal), "left")
     return met.select("r.*", f"i.{id_name}")
@@ -114,6 +114,14 @@ def map_entries(t: Catalog, mapping: DataFrame, column: str = "athlete_id") -> C
     return {**t, "competition_entry": entries.join(new, "id", "left").withColumn(column, F.when(F.col("_hit"), F.col("_value")).otherwise(F.col(column))).select(*entries.columns)}
 
 
+def create_and_map(t: Catalog, entries: DataFrame) -> Catalog:
+    """A new athlete for each of these entries, (entry_id, birth_year), with its name and gender; the entry is mapped to it."""
+    asked = entries.groupBy("entry_id").agg(F.max("birth_year").alias("birth_year"))
+    named = t["competition_entry"].select(F.col("id").alias("entry_id"), F.col("athlete_name").alias("name"), "gender").join(asked, "entry_id")
+    made = keep(allocate(named, t["athlete"], ["entry_id"]), "athlete")
+    return map_entries({**t, "athlete": t["athlete"].unionByName(schema.conform(made, "athlete"))}, made.select("entry_id", F.col("id").alias("value")))
+
+
 def add_heat(t: Catalog, rows: DataFrame) -> Catalog:
     """Heats by (event_round_id, heat_number); those that exist stay."""
     heats, _ = find_or_create(t["event_heat"], rows, "event_heat")

@@ -273,7 +273,7 @@ def _(t):
 
 @_query("mapping_counts", " SELECT competition_id, count(*) AS total, count(athlete_id) AS mapped, count(*) - count(athlete_id) AS unmapped FROM ind GROUP BY ALL")
 def _(t):
-    return identity.mapping_counts(t)
+    return _pick(identity.mapping_counts(t), "competition_id total mapped unmapped")
 
 
 @_query("candidates", " SELECT i.id AS entry_id, a.id AS athlete_id FROM ind i JOIN athlete a ON a.name = i.athlete_name AND a.gender = i.gender WHERE i.athlete_id IS NULL")
@@ -321,10 +321,11 @@ def _(t):
 
 
 @_query("mark_records", """,
-w AS (SELECT DISTINCT competition_id, division_name, replace(event_name, ',', '') AS ev, athlete_name, record FROM rf WHERE result_id % 50 = 0 AND record IS NOT NULL AND athlete_name IS NOT NULL AND event_name NOT LIKE '%계주%' AND round = '예선')
-SELECT rf.result_id, CASE WHEN w.record IS NOT NULL THEN '대회신' ELSE rf.new_record END AS new_record FROM rf LEFT JOIN w ON w.competition_id = rf.competition_id AND w.division_name = rf.division_name AND w.ev = replace(rf.event_name, ',', '') AND rf.round = '예선' AND w.athlete_name = rf.athlete_name AND w.record = rf.record""")
+w AS (SELECT DISTINCT competition_id, division_name, replace(event_name, ',', '') AS ev, round, athlete_name, record FROM rf WHERE new_record IS NOT NULL AND record IS NOT NULL AND athlete_name IS NOT NULL AND event_name NOT LIKE '%계주%')
+SELECT rf.result_id, CASE WHEN w.record IS NOT NULL THEN '대회신' ELSE rf.new_record END AS new_record FROM rf LEFT JOIN w ON w.competition_id = rf.competition_id AND w.division_name = rf.division_name AND w.ev = replace(rf.event_name, ',', '') AND w.round = rf.round AND w.athlete_name = rf.athlete_name AND w.record = rf.record""")
 def _(t):
-    rows = facts.result_fact(t).where("result_id % 50 = 0 AND record IS NOT NULL AND round = '예선'").select("competition_id", F.col("division_name").alias("division"), F.col("event_name").alias("event"), F.concat("round", F.lit("2조")).alias("round"), F.col("athlete_name").alias("athlete"), "record")
+    """The list names every marked result, with a heat at the end of its round; results that share all it says are marked too."""
+    rows = facts.result_fact(t).where("new_record IS NOT NULL AND record IS NOT NULL").select("competition_id", F.col("division_name").alias("division"), F.col("event_name").alias("event"), F.concat("round", F.lit("2조")).alias("round"), F.col("athlete_name").alias("athlete"), "record")
     return listings.mark_records(t, rows)[0]["event_result"].select(F.col("id").alias("result_id"), "new_record")
 
 

@@ -13,10 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from podium.functions.exprs import blank_to_null, division_variants, is_team_listing, plain_event, record_mark_two, round_variants, trimmed
+from podium.functions.exprs import blank_to_null, division_variants, heat_from_code, heat_from_youth_code, infer_gender, is_team_listing, plain_event, record_mark_two, round_variants, trimmed
 from podium.operators import facts
+from podium.operators.mutate import find_or_create, upsert_results, with_ids
 from podium.sources.text import so_far
-from podium.tables import Catalog
+from podium.tables import Catalog, keep
 
 # Words that mark the sport, and parameter names of result pages.
 SPORTS = ("롤러", "로울러", "인라인")
@@ -38,6 +39,11 @@ def keep_sport(rows: DataFrame, column: str = "c1") -> DataFrame:
     return rows.where(wanted)
 
 
+def write_sport(rows: DataFrame, path: str, column: str = "c1") -> None:
+    """The rows that name skating as quoted CSV in UTF-8, without a header line."""
+    keep_sport(rows, column).write.option("quoteAll", True).option("escape", '"').option("encoding", "UTF-8").csv(path)
+
+
 def query_parameters(url: str):
     """Map of a URL's parameters; the last of a repeated name wins, pairs without a name are ignored."""
     pairs = F.filter(F.split(F.regexp_extract(F.col(url), r"\?([^#]*)", 1), "&"), lambda p: p.rlike("^[^=]+="))
@@ -139,7 +145,7 @@ def record_rows(pages: DataFrame, **columns: str) -> DataFrame:
     A day cell closes a record.  Division, event and round carry over from records before;
     records that lack one of them are left out.
     """
-    cells = table_rows(pages, **columns).select("doc", "pos", F.posexplode("cells").alias("n", "c")).select("doc", (F.col("pos") * 1000 + F.col("n")).alias("pos"), F.col("c.label").alias("label"), trimmed(F.col("c.text")).alias("value"))
+    cells = table_rows(pages, **columns).select("doc", "pos", F.posexplode("cells").alias("n", "c")).select("doc", F.struct("pos", "n").alias("pos"), F.col("c.label").alias("label"), trimmed(F.col("c.text")).alias("value"))
     before = Window.partitionBy("doc").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     day = next(k for k, v in LABELS.items() if v == "day")
     cells = cells.where(F.col("label").isin(*LABELS)).withColumn("rec", F.coalesce(F.sum(F.when(F.col("label") == day, 1).otherwise(0)).over(before), F.lit(0)))
@@ -151,6 +157,39 @@ def record_rows(pages: DataFrame, **columns: str) -> DataFrame:
     return closing.join(last, ["doc", "rec"]).where("division IS NOT NULL AND event IS NOT NULL AND round IS NOT NULL")
 
 
+def with_heat(rows: DataFrame, youth: bool = False) -> DataFrame:
+    """Listed results (division, event, round, code, ...) with gender and heat number, as their listing gives them."""
+    heat = heat_from_youth_code(F.col("code")) if youth else heat_from_code(F.col("code"), F.col("round"))
+    return rows.withColumns({"gender": infer_gender(F.col("division")), "heat_number": heat})
+
+
+def store_results(t: Catalog, rows: DataFrame, comp_id: int, youth: bool = False) -> Catalog:
+    """Listed results stored: (division, event, round, code, pos, ranking, region, athlete_name, team_name, record, note).
+
+    Events go by division and name without their gender, as the listings do; events,
+    rounds, heats, entries and starts are found or created, and a start that has a result
+    keeps it.  National listings tell relays by the event's name, youth ones have none.
+    """
+    given = with_heat(rows, youth).withColumn("team_event", F.lit(False) if youth else is_team_listing(F.col("event")))
+    named = given.select("pos", F.lit(comp_id).cast("long").alias("competition_id"), F.col("division").alias("division_name"), "gender", F.col("event").alias("event_name"), "team_event", "round", "heat_number", "athlete_name", "region", "team_name", F.lit(0).alias("bib_number"), "ranking", F.nullif("record", F.lit("")).alias("record"), F.nullif("note", F.lit("")).alias("note"))
+    named = keep(named, "listed")
+    key = ["competition_id", "division_name", "event_name"]
+    events, _ = find_or_create(t["event"], named.select("pos", *key, "gender", "team_event"), "event", "pos", keys=key)
+    named = with_ids(named, events, "event", "event_id", keys=key)
+    rounds, _ = find_or_create(t["event_round"], named.select("pos", "event_id", "round"), "event_round", "pos")
+    named = with_ids(named, rounds, "event_round", "event_round_id")
+    heats, _ = find_or_create(t["event_heat"], named.select("pos", "event_round_id", "heat_number"), "event_heat", "pos")
+    named = with_ids(named, heats, "event_heat", "heat_id")
+    entries, _ = find_or_create(t["competition_entry"], named.select("pos", "competition_id", "athlete_name", "gender", "region", "team_name"), "competition_entry", "pos")
+    named = with_ids(named, entries, "competition_entry", "entry_id")
+    starts, _ = find_or_create(t["heat_entry"], named.select("pos", "heat_id", "entry_id", "bib_number"), "heat_entry", "pos")
+    named = keep(with_ids(named, starts, "heat_entry", "heat_entry_id"), "listed")
+    first = Window.partitionBy("heat_entry_id").orderBy("pos")
+    fresh = named.join(t["event_result"].select("heat_entry_id"), "heat_entry_id", "left_anti").withColumn("_k", F.row_number().over(first)).where("_k = 1")
+    results = fresh.select("heat_entry_id", "ranking", "record", record_mark_two(F.coalesce("note", F.lit(""))).alias("new_record"), F.lit(None).cast("string").alias("qualification"), "note")
+    return upsert_results({**t, "event": events, "event_round": rounds, "event_heat": heats, "competition_entry": entries, "heat_entry": starts}, results)
+
+
 def find_records(t: Catalog, rows: DataFrame, comp_id: int | None = None) -> DataFrame:
     """Rows (division, event, round, athlete, record, competition_id) with the results they mean.
 

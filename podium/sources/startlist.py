@@ -90,3 +90,12 @@ def apply_start_list(t: Catalog, parsed: DataFrame, comp_id: int) -> Catalog:
     rows = with_ids(rows, entries, "competition_entry", "entry_id")
     starts, _ = find_or_create(t["heat_entry"], rows.select("line_at", "heat_id", "entry_id", "bib_number"), "heat_entry", "line_at")
     return {**t, "event": events, "event_round": rounds, "event_heat": heats, "competition_entry": entries, "heat_entry": starts}
+
+
+def import_counts(before: Catalog, after: Catalog) -> DataFrame:
+    """One row: events, rounds, heats and entries that an import made."""
+    out = None
+    for name, table in (("events", "event"), ("rounds", "event_round"), ("heats", "event_heat"), ("entries", "competition_entry")):
+        made = after[table].join(before[table].select("id"), "id", "left_anti").agg(F.count("*").alias(name))
+        out = made if out is None else out.crossJoin(made)
+    return out

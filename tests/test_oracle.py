@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from podium.plans import queries
+from podium.plans import more_queries, queries  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem".split()
