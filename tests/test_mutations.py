@@ -100,3 +100,28 @@ def test_paging_and_lookup(spark):
         tables.require_one(df, 99)
     with pytest.raises(ValueError):
         tables.page(df, 0, 0)
+
+
+def test_tables_of_a_database(spark):
+    t = catalog(spark, team=[{"id": 1, "name": "가", "region": "경기"}, {"id": 2, "name": "나", "region": "부산"}])
+    url, properties = "jdbc:derby:memory:podium;create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    t["team"].write.jdbc(url, "team", mode="overwrite", properties=properties)
+    got = tables.load_jdbc(spark, url, properties, ["team"])["team"]
+    assert got.columns == schema.columns("team")
+    assert sorted(rows(got, "id", "name")) == [(1, "가"), (2, "나")]
+
+
+def test_registration_goes_on_with_athletes_it_made(spark):
+    """Groups of one name: the second meets the athlete that the first one made, the third one's levels don't fit."""
+    t = meet(spark, [dict(comp=2, name="가", team="ㄱ", division="남중부"), dict(comp=2, name="가", team="ㄴ", division="남중부"), dict(comp=2, name="가", team="ㄷ", division="남고부")])
+    out, counts = identity.bulk_register(t, 2)
+    mapped = dict(rows(out["competition_entry"], "team_name", "athlete_id"))
+    assert mapped["ㄱ"] == mapped["ㄴ"] != mapped["ㄷ"] and counts.first()["athletes_created"] == 2
+    assert {r["notes"] for r in out["athlete"].collect()} == {None, "경기 ㄷ"}
+
+
+def test_ids_of_one_competition_go_to_many_slots(spark):
+    rows_ = spark.range(5000).selectExpr("1L AS competition_id", "concat('n', id) AS name")
+    got = mutate.allocate(rows_, spark.createDataFrame([(7,)], "id long"), ["competition_id", "name"])
+    assert sorted(r[0] for r in rows(got, "id")) == list(range(8, 5008))
+    assert dict(rows(got, "name", "id")) == dict(rows(mutate.allocate(rows_.repartition(7), spark.createDataFrame([(7,)], "id long"), ["competition_id", "name"]), "name", "id"))

@@ -1,7 +1,7 @@
 """Parsers on invented sheets."""
 
 from podium.operators import facts
-from podium.sources import listings, results, startlist
+from podium.sources import listings, results, startlist, text
 from tests.small import catalog, meet, rows
 
 START_LIST = """
@@ -85,6 +85,16 @@ def test_team_sheet(spark):
     assert got == [(True, 3, "예시중학교", "대구", 1, "4:55.912", "Q"), (True, 5, "예시연맹", "전북", 2, "4:35.053", None)]
 
 
+def test_team_sheet_read_literally(spark):
+    got = rows(results.parse_results(_docs(spark, TEAM_SHEET), literal=True).orderBy("pos"), "athlete_name", "region")
+    assert got == [("예시중학교", "대구"), ("예시연맹 전북", "4:35.053")]
+
+
+def test_pdf_without_the_program_or_of_no_use_is_null(spark, tmp_path):
+    (tmp_path / "a.pdf").write_bytes(b"not a pdf")
+    assert [r["text"] for r in text.pdf_text(spark, str(tmp_path)).collect()] == [None]
+
+
 def test_csv_and_targets(spark, tmp_path):
     (tmp_path / "a.csv").write_text('n,종목,종별,세부,라운드,a,b,c,d,url\n1,"롤러, ""S""",남고부,500m,예선,,,,,http://x/?gameno=1&searchKindCd=2&detailClassCd=3&rhCd=4&gameno=5\n2,수영,,,,,,,,http://x/?a=b\n3,인라인,남고부,500m,예선,,,,,http://x/?gameno=5&kindCd=2&detailClassCd=3&rhCd=4\n', encoding="utf-8")
     kept = listings.keep_sport(listings.read_csv(spark, str(tmp_path / "a.csv")))
