@@ -46,13 +46,18 @@ def athletes_latest(t: Catalog, name_contains: str | None = None) -> DataFrame:
 
 
 def performances(t: Catalog, athlete_id: int | None = None) -> DataFrame:
-    """Every start of an athlete with its result, latest competition first."""
+    """Every start of an athlete with its result, latest competition first.
+
+    For all athletes the rows of one lie together in that order; the table isn't sorted as a whole.
+    """
     mine = athlete_entries(t)
     mine = mine if athlete_id is None else mine.where(F.col("master_id") == athlete_id)
     results = t["event_result"].select(F.col("heat_entry_id").alias("start_id"), "ranking", "record", "new_record", "qualification", "note")
     competition = t["competition"].select(F.col("id").alias("competition_id"), "start_date", competition_label(F.col("edition"), F.col("short_name"), F.col("name")).alias("label"))
     rows = mine.join(facts.entry_fact(t), "entry_id").join(results, "start_id", "left").join(competition, "competition_id")
-    return rows.select(F.col("master_id").alias("athlete_id"), "competition_id", "label", "start_date", "division_name", "event_name", "round", F.coalesce("event_number", F.lit(0)).alias("event_number"), "ranking", "record", "new_record", "qualification", "note", "start_id").orderBy(F.desc_nulls_last("start_date"), F.desc("event_number"), "start_id")
+    shown = rows.select(F.col("master_id").alias("athlete_id"), "competition_id", "label", "start_date", "division_name", "event_name", "round", F.coalesce("event_number", F.lit(0)).alias("event_number"), "ranking", "record", "new_record", "qualification", "note", "start_id")
+    order = [F.desc_nulls_last("start_date"), F.desc("event_number"), "start_id"]
+    return shown.repartition("athlete_id").sortWithinPartitions("athlete_id", *order) if athlete_id is None else shown.orderBy(*order)
 
 
 def detail(t: Catalog, number: int = 0, size: int = 20, athlete_id: int | None = None) -> DataFrame:

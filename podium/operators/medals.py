@@ -121,7 +121,7 @@ def athlete_medals(t: Catalog, by_id: bool = False) -> DataFrame:
 
 
 def medal_history(t: Catalog, name: str | None = None) -> DataFrame:
-    """Medal results by athlete name, latest competition first."""
+    """Medal results by athlete name, latest competition first; without a name those of each athlete lie together in that order."""
+    order = [F.desc_nulls_last("start_date"), "division_name", "event_name", "result_id"]
     won = facts.medals(t)
-    won = won if name is None else won.where(F.col("athlete_name") == name)
-    return won.orderBy(F.desc_nulls_last("start_date"), "division_name", "event_name", "result_id")
+    return won.repartition("athlete_name").sortWithinPartitions("athlete_name", *order) if name is None else won.where(F.col("athlete_name") == name).orderBy(*order)
