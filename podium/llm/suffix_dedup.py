@@ -127,31 +127,43 @@ def _contents(wanted: DataFrame, length: int) -> DataFrame:
     return map_arrow(wanted, run, "key long, entry long, n long, m long, left int, content binary")
 
 
-def _ranks(symbols: np.ndarray, left: np.ndarray, depth: int) -> list[np.ndarray]:
-    """Suffix ranks by the first 1, 2, 4, ... symbols, up to ``depth`` of them.
+class _Suffixes:
+    """Ranks of all suffixes of a sequence by their first w, 2w, 4w, ... symbols, w being ``width``, up to ``depth``.
 
-    Symbol 0 ends a string, and nothing behind it counts; ``left`` is each place's distance to it.
+    Symbol 0 ends a string, and nothing behind it counts; ``left`` is each place's distance
+    to it.  The first ``width`` symbols are packed into one number, 9 bits each if several.
     """
-    levels = [np.unique(symbols, return_inverse=True)[1].astype(np.int32)]
-    step, kinds = 1, 0
-    while step < depth and int(levels[-1].max()) + 1 != kinds:
-        r = levels[-1]
-        kinds = int(r.max()) + 1
-        behind = np.zeros(len(r), np.int64)
-        behind[:-step] = np.where(left[:-step] >= step, r[step:].astype(np.int64) + 1, 0)
-        levels.append(np.unique(r * np.int64(kinds + 1) + behind, return_inverse=True)[1].astype(np.int32))
-        step *= 2
-    return levels
-
-
-def _shared(levels: list[np.ndarray], left: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
-    """Symbols that the suffixes at a and b have in common at their start; ``most`` and more may be told short."""
-    n = np.zeros(len(a), np.int64)
-    top = len(levels) - 1
-    for k in [top] * (1 + (most >> top)) + list(range(top - 1, -1, -1)):
-        same = levels[k][a + n] == levels[k][b + n]
-        n += np.where(same, np.minimum(1 << k, left[a + n]), 0)
-    return n
+
+    def __init__(self, symbols: np.ndarray, left: np.ndarray, depth: int, width: int = 1):
+        self.symbols, self.left, self.width = symbols, left, width
+        packed = symbols.astype(np.int64)
+        for k in range(1, width):
+            packed <<= 9
+            packed[:-k] |= np.where(left[:-k] >= k, symbols[k:], 0)
+        self.levels = [np.unique(packed, return_inverse=True)[1].astype(np.int32)]
+        step, kinds = width, 0
+        while step < depth and int(self.levels[-1].max()) + 1 != kinds:
+            r = self.levels[-1]
+            kinds = int(r.max()) + 1
+            pair = r * np.int64(kinds + 1)
+            pair[:-step] += np.where(left[:-step] >= step, r[step:].astype(np.int64) + 1, 0)
+            self.levels.append(np.unique(pair, return_inverse=True)[1].astype(np.int32))
+            step *= 2
+
+    @property
+    def rank(self) -> np.ndarray:
+        return self.levels[-1]
+
+    def shared(self, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+        """Symbols that the suffixes at a and b have in common at their start; ``most`` and more may be told short."""
+        n = np.zeros(len(a), np.int64)
+        top = len(self.levels) - 1
+        for k in [top] * (1 + most // (self.width << top)) + list(range(top - 1, -1, -1)):
+            same = self.levels[k][a + n] == self.levels[k][b + n]
+            n += np.where(same, np.minimum(self.width << k, self.left[a + n]), 0)
+        for _ in range(1, self.width):
+            n += (self.symbols[a + n] == self.symbols[b + n]) & (self.left[a + n] > 0)
+        return n
 
 
 def _phrases(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -188,7 +200,7 @@ def repeated_starts(contents: list[bytes], length: int = LENGTH) -> list[np.ndar
     symbols = np.frombuffer(b"\0".join(dictionary) + b"\0", np.uint8).astype(np.int16) + 1
     symbols[opens + widths - 1] = 0
     left = np.repeat(opens + widths - 1, widths) - np.arange(len(symbols))
-    levels = _ranks(symbols, left, length)
+    words = _Suffixes(symbols, left, length, 7)
 
     # parse: ranks from 1, each text closed by 0; ``at`` is a phrase's first byte, at the close the text's end
     rank = np.fromiter((rank_of[p] for p in occurring), np.int64, len(occurring))
@@ -201,23 +213,27 @@ def repeated_starts(contents: list[bytes], length: int = LENGTH) -> list[np.ndar
     closes = np.flatnonzero(parse == 0)
     at[closes] = ends
     to_close = closes[np.searchsorted(closes, np.arange(len(parse)))] - np.arange(len(parse))
-    order_of = _ranks(parse, to_close, length)
+    sentences = _Suffixes(parse, to_close, length)
 
     # every start, by what is left of its phrase and then by the parse behind
     starts = np.concatenate([np.arange(e - n, e - length + 1) for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)])
     phrase = np.searchsorted(first, starts, "right") - 1
     inside, behind = opens[rank[phrase]] + starts - first[phrase], place[phrase] + 1
-    order = np.lexsort((order_of[-1][behind], levels[-1][inside]))
+    order = np.lexsort((sentences.rank[behind], words.rank[inside]))
     a, b = order[:-1], order[1:]
-    same = levels[-1][inside[a]] == levels[-1][inside[b]]
-    common = _shared(levels, left, inside[a], inside[b], length)
-    on = np.flatnonzero(same & (left[inside[a]] < length))
+    same = words.rank[inside[a]] == words.rank[inside[b]]
+    # what differs within two phrases shorter than a string, or is equal in longer ones, needs no count
+    rest = np.minimum(left[inside[a]], left[inside[b]])
+    common = np.where(same, rest, 0)
+    on = np.flatnonzero(~same & (rest >= length))
+    common[on] = words.shared(inside[a[on]], inside[b[on]], length)
+    on = np.flatnonzero(same & (rest < length))
     p, q = behind[a[on]], behind[b[on]]
-    m = _shared(order_of, to_close, p, q, length)
+    m = sentences.shared(p, q, length)
     further = at[p + m] - at[p]
     open_ = np.flatnonzero((parse[p + m] > 0) & (parse[q + m] > 0))
-    further[open_] += _shared(levels, left, opens[parse[(p + m)[open_]] - 1], opens[parse[(q + m)[open_]] - 1], length)
-    common[on] = left[inside[a[on]]] - WINDOW + further
+    further[open_] += words.shared(opens[parse[(p + m)[open_]] - 1], opens[parse[(q + m)[open_]] - 1], length)
+    common[on] = rest[on] - WINDOW + further
     meet = common >= length
     flag = np.zeros(len(starts), bool)
     flag[a[meet]] = flag[b[meet]] = True
@@ -283,7 +299,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(doc_id, n_bytes, removed array<struct<start, end>>, kept binary), one row per input row; byte offsets."""
     scratch = Scratch(docs.sparkSession, "repeats")
     rows = with_row_key(docs, id_col, text_col)
-    parsed = parse(rows, length)
+    parsed = scratch.keep(parse(rows, length), "parsed")
     triggers = parsed.groupBy("key").agg((F.min("entry") != F.max("entry")).alias("varied"), F.sum("n").alias("total")).where("total > 1").drop("total")
     live = scratch.keep(parsed.join(triggers, "key"), "live")
 
