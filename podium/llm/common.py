@@ -56,9 +56,9 @@ class Scratch:
         self.count += 1
         return f"{self.root}/{self.count:03d}-{tag}"
 
-    def keep(self, df: DataFrame, tag: str) -> DataFrame:
+    def keep(self, df: DataFrame, tag: str, compression: str = "snappy") -> DataFrame:
         at = self.path(tag)
-        df.write.parquet(at)
+        df.write.parquet(at, compression=compression)
         out = self.spark.read.schema(df.schema).parquet(at)
         out._scratch_path = at
         self.kept.append(out)

@@ -84,7 +84,7 @@ def typed_pages(rows: DataFrame, least_bytes: int = 0) -> DataFrame:
 
 def write_archives(pages: DataFrame, path: str, date: str = "2020-01-01T00:00:00Z", least_bytes: int = 0, **columns) -> None:
     scratch = Scratch(pages.sparkSession, "warc-pages")
-    stored = scratch.keep(numbered(pages, **columns), "pages")
+    stored = scratch.keep(numbered(pages, **columns), "pages", "zstd")
     main, of = _urn("main"), F.concat(F.lit("WARC-Concurrent-To: "), _urn("main"))
     refers = F.when(F.col("revisit_of").isNotNull(), F.expr("named_struct('_row', revisit_of, 'page_id', _best_id, 'digest', digest)"))
     h = F.md5(F.concat_ws(" ", F.lit("main"), refers["_row"].cast("string"), refers["page_id"].cast("string"), refers["digest"]))
