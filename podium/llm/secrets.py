@@ -53,6 +53,8 @@ NOVELTY = 0.7
 #: Identifiers taken from a table for the dictionary, at most, and the characters of one: fewer than a
 #: candidate's and no digits, so no key gets in.  The dictionary has some 32 kB.
 VOCABULARY = 2_000
+#: A name stands in one of so many documents at least: so the names that are ranked are few, however large the table.
+ONE_IN = 2_000
 NAME = r"(?<![A-Za-z0-9_+/=.~-])[A-Za-z_]{4,15}(?![A-Za-z0-9_+/=~-])"
 
 #: Code that the compressor knows beforehand.
@@ -73,9 +75,13 @@ _CODECS: dict[str, zstandard.ZstdCompressor] = {}
 
 
 def vocabulary(docs: DataFrame, text_col: str = "text", size: int = VOCABULARY) -> str:
-    """The dictionary for a table: IDENTIFIERS and the ``size`` names that most documents hold, the commonest last."""
+    """The dictionary for a table: IDENTIFIERS and the ``size`` names that most documents hold, the commonest last.
+
+    Names that fewer than two documents, or one in ONE_IN of them, hold are left out.
+    """
     names = F.array_distinct(F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(NAME), F.lit(0)))
-    top = docs.select(F.explode(names).alias("name")).groupBy("name").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "name").limit(size)
+    least = max(2, docs.count() // ONE_IN)
+    top = docs.select(F.explode(names).alias("name")).groupBy("name").agg(F.count("*").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "name").limit(size)
     return " ".join([IDENTIFIERS, *(r["name"] for r in reversed(top.collect()))])
 
 
