@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from podium.llm import bpe, chat, decontam, fingerprint, langid, minhash, secrets, suffix_dedup, token_rollup, warc
+from podium.llm import bpe, chat, decontam, fim, fingerprint, langid, line_dedup, minhash, prefix_trie, secrets, suffix_dedup, token_rollup, warc
 from podium.llm.common import Scratch
 
 
@@ -72,6 +72,18 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digest(_read(spark, sf_dir, "documents"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.digest(_read(spark, sf_dir, "conversations"), Scratch(spark, "trie"))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digest(_read(spark, sf_dir, "documents"), Scratch(spark, "lines"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_warc": op2_warc,
@@ -83,10 +95,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_langid": op8_langid,
     "op9_token_rollup": op9_token_rollup,
     "op10_decontamination": op10_decontamination,
+    "op11_fim": op11_fim,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_line_dedup": op13_line_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op5_chat": chat.SQL,
     "op7_minhash": minhash.SQL,
     "op10_decontamination": decontam.SQL,
+    "op11_fim": fim.SQL,
+    "op12_prefix_trie": prefix_trie.SQL,
+    "op13_line_dedup": line_dedup.SQL,
 }
