@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from podium.llm.common import Scratch, map_arrow
 
 #: A container bursts when it holds more than one in SHARE of all sequences, and more than LEAST.
-SHARE, LEAST = 4096, 1000
+SHARE, LEAST = 4096, 64
 #: Depths that the first job of bursting counts; each job counts twice as many as the one before.
 STRIDE = 4
 #: Ids of equal conversations that are joined into one string before they are hashed in order.
