@@ -154,16 +154,16 @@ def sequences(convs: DataFrame, chunk: int = CHUNK) -> DataFrame:
 # Bursting --------------------------------------------------------------------
 
 
-def _heads(found: DataFrame, limit: int, scratch: Scratch) -> list[tuple[bytes, int, bytes, int]]:
-    """(name, depth, parent's name, code points of its last turn) of each prefix below the root that more than ``limit`` sequences share."""
-    out: list[tuple[bytes, int, bytes, int]] = []
+def _heads(found: DataFrame, limit: int, scratch: Scratch) -> list[tuple[bytes, int, bytes, int, str]]:
+    """(name, depth, parent's name, code points of its last turn, that turn's id) of each prefix below the root that more than ``limit`` sequences share."""
+    out: list[tuple[bytes, int, bytes, int, str]] = []
     depth, stride, active = 0, STRIDE, found.select("seq", "lens")
     while True:
         last = depth + stride
         levels = active.where(F.size("lens") > depth).select("seq", "lens", F.explode(F.sequence(F.lit(depth + 1), F.least(F.size("lens"), F.lit(last)))).alias("d"))
-        named = levels.select("d", _digest(_prefix(F.col("d"))).alias("name"), F.struct(_digest(_prefix(F.col("d") - 1)).alias("parent"), F.element_at("lens", F.col("d")).alias("size")).alias("of"))
-        big = named.groupBy("d", "name").agg(F.count("*").alias("n"), F.min("of.parent").alias("parent"), F.min("of.size").alias("size")).where(F.col("n") > limit).collect()
-        out += ((bytes(r["name"]), r["d"], bytes(r["parent"]), r["size"]) for r in big)
+        named = levels.select("d", _digest(_prefix(F.col("d"))).alias("name"), F.struct(_digest(_prefix(F.col("d") - 1)).alias("parent"), F.element_at("lens", F.col("d")).alias("size"), F.lower(F.hex(F.substring(F.col("seq"), (F.col("d") - 1) * WIDTH + 1, F.lit(WIDTH)))).alias("turn")).alias("of"))
+        big = named.groupBy("d", "name").agg(F.count("*").alias("n"), F.min("of.parent").alias("parent"), F.min("of.size").alias("size"), F.min("of.turn").alias("turn")).where(F.col("n") > limit).collect()
+        out += ((bytes(r["name"]), r["d"], bytes(r["parent"]), r["size"], r["turn"]) for r in big)
         deepest = [(r["name"],) for r in big if r["d"] == last]
         if not deepest:
             return out
@@ -287,9 +287,9 @@ def nodes(convs: DataFrame, scratch: Scratch, share: int = SHARE, least: int = L
     found = scratch.keep(sequences(convs, chunk), "sequences")
     count = found.count()
     limit = max(least, count // share)
-    heads = {_ROOT: (0, None, 0)}
+    heads = {_ROOT: (0, None, 0, None)}
     if count > limit:
-        heads |= {name: (depth, parent, size) for name, depth, parent, size in _heads(found, limit, scratch)}
+        heads |= {name: of for name, *of in _heads(found, limit, scratch)}
     contained = scratch.keep(_contained(found, heads), "contained")
     swept = scratch.keep(_swept(contained), "nodes")
     columns = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256", "turn_id"]
@@ -302,9 +302,9 @@ def nodes(convs: DataFrame, scratch: Scratch, share: int = SHARE, least: int = L
     total = _head_nodes(heads, plain(tops.collect()), plain(own.collect()))
     scratch.drop_others(swept)
     made = []
-    for name, (depth, parent, _) in heads.items():
+    for name, (depth, parent, _, turn) in heads.items():
         n, conv, children, leaves, saved, digest = total[name]
-        made.append((name, conv, depth, total[parent][1] if depth else None, n, children, leaves, saved, digest, None))
+        made.append((name, conv, depth, total[parent][1] if depth else None, n, children, leaves, saved, digest, turn))
     above = spark.createDataFrame(made, _NODE)
     names = F.broadcast(above.select(F.col("head"), F.col("conv_id").alias("_above")))
     below = swept.join(names, "head", "left").withColumn("parent_conv_id", F.coalesce("_above", "parent_conv_id"))

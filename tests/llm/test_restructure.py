@@ -226,9 +226,10 @@ def test_trie_of_odd_conversations(spark, share, least, chunk):
     assert ordered(found.drop("turn_id").collect()) == ordered(trie_plainly(branched_plainly(talk())))
 
 
-def test_nodes_name_their_turns(spark):
-    rows = spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "bot", "yo")], "conv_id long, turn int, role string, text string")
-    found = {r["depth"]: r["turn_id"] for r in prefix_trie.nodes(prefix_trie.turns(rows), Scratch(spark, "t")).collect()}
+@pytest.mark.parametrize("least", [0, 64])
+def test_nodes_name_their_turns(spark, least):
+    rows = spark.createDataFrame([(c, t, *x) for c in (1, 2) for t, x in enumerate((("user", "hi"), ("bot", "yo"))[:c])], "conv_id long, turn int, role string, text string")
+    found = {r["depth"]: r["turn_id"] for r in prefix_trie.nodes(prefix_trie.turns(rows), Scratch(spark, "t"), least=least).collect()}
     assert found == {0: None, 1: sha("4:userhi")[:32], 2: sha("3:botyo")[:32]}
 
 
