@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from podium.functions.exprs import division_category, is_blank
 from podium.operators import facts
-from podium.operators.mutate import find_or_create, map_entries
-from podium.tables import Catalog, keep
+from podium.operators.mutate import map_entries
+from podium.tables import Catalog
 
 
 def categories(t: Catalog) -> DataFrame:
@@ -18,7 +17,8 @@ def categories(t: Catalog) -> DataFrame:
     return starts.groupBy("entry_id").agg(F.array_sort(F.collect_set("c")).alias("categories"))
 
 
-def _with_categories(entries: DataFrame, t: Catalog) -> DataFrame:
+def entry_categories(entries: DataFrame, t: Catalog) -> DataFrame:
+    """Entries (``id`` as ``entry_id``) with the sorted school levels of their starts, an empty array if none is known."""
     none = F.array().cast("array<string>")
     return entries.withColumnRenamed("id", "entry_id").join(categories(t), "entry_id", "left").withColumn("categories", F.coalesce("categories", none))
 
@@ -91,21 +91,6 @@ def team_candidates(t: Catalog, comp_id: int | None = None) -> DataFrame:
     return pairs.join(teams, "name").select("team_name", "team_id", F.col("name").alias("candidate"), "region")
 
 
-def auto_match_teams(t: Catalog, comp_id: int | None = None, individual_only: bool = False) -> tuple[Catalog, DataFrame]:
-    """(catalogue with every entry of a team and region mapped, created teams).
-
-    Blank teams and regions are left alone; ``individual_only`` takes entries of individual events only.
-    """
-    entries = facts.individual_entries(t, comp_id) if individual_only else t["competition_entry"]
-    entries = entries if comp_id is None else entries.where(F.col("competition_id") == comp_id)
-    open_ = entries.where(F.col("team_id").isNull() & ~is_blank(F.col("team_name")) & ~is_blank(F.col("region")))
-    wanted = open_.select(F.col("team_name").alias("name"), "region").distinct()
-    teams, created = find_or_create(t["team"], wanted, "team")
-    ids = teams.groupBy("name", "region").agg(F.min("id").alias("value"))
-    mapping = open_.select(F.col("id").alias("entry_id"), F.col("team_name").alias("name"), "region").join(ids, ["name", "region"]).select("entry_id", "value")
-    return map_entries({**t, "team": teams}, mapping, "team_id"), created
-
-
 def histories(t: Catalog) -> DataFrame:
     """(athlete_id, history): the entries of each mapped athlete, nested in order."""
     return entry_history(t).where("athlete_id IS NOT NULL").groupBy("athlete_id").agg(F.array_sort(F.collect_list(F.struct("year", "competition", "region", "team_name", "division_names", "event_names"))).alias("history"))
@@ -118,71 +103,6 @@ def homonyms(t: Catalog) -> DataFrame:
     return people.groupBy("name", "gender").agg(F.count("*").alias("athletes"), F.array_sort(F.collect_list(one)).alias("candidates")).where("athletes >= 2").orderBy("name", "gender")
 
 
-_REGISTERED = "athlete_name string, gender string, key string, athlete_id long, created_key string, notes string"
-
-
-def _register(rows: pd.DataFrame) -> pd.DataFrame:
-    """Decides for one name and gender, group by group in key order.
-
-    Rows are athletes, each with the different category sets of its entries, and groups.
-    """
-    meets = lambda own, theirs: not own or not theirs or bool(own & theirs)
-    known: dict[object, list[frozenset]] = {int(r.athlete_id): [frozenset(c) for c in r.sets] for r in rows[rows["key"].isna()].itertuples()}
-    out = []
-    for group in rows[rows["key"].notna()].sort_values("key").itertuples():
-        own = frozenset(group.categories)
-        fits = lambda m: all(meets(own, c) for c in known.get(m, []))  # noqa: E731, B023
-        pick: object = next((m for m in sorted(map(int, group.mapped)) if fits(m)), None)
-        note = None
-        if pick is None:
-            fitting = [m for m, past in known.items() if past and fits(m)]
-            pick = fitting[0] if len(fitting) == 1 else None
-        if pick is None:
-            pick = f"{group.athlete_name}|{group.gender}|{group.key}"
-            note = " ".join(x for x in (group.region, group.team_name) if isinstance(x, str) and x) if known else None
-        known.setdefault(pick, []).append(own)
-        made = isinstance(pick, str)
-        out.append((group.athlete_name, group.gender, group.key, None if made else pick, pick if made else None, note))
-    return pd.DataFrame(out, columns=["athlete_name", "gender", "key", "athlete_id", "created_key", "notes"]).astype({"athlete_id": "Int64"})
-
-
-def bulk_register(t: Catalog, comp_id: int) -> tuple[Catalog, DataFrame]:
-    """(catalogue with all individual entries of a competition registered, one row of counts).
-
-    Teams first, as ``auto_match_teams``.  Then entries are grouped by name, gender, team and
-    categories.  A group takes the athlete of a member if all entries of that athlete are
-    compatible, else the only athlete of the name and gender with all entries compatible, else a
-    new one, with a note if the name was taken.  Groups of a name and gender are decided in key
-    order, each seeing those before it: a fixed order in place of an undefined one.  Spark
-    brings entries down to groups and to the few category sets of each athlete before that.
-    """
-    t, teams_created = auto_match_teams(t, comp_id, individual_only=True)
-    entries = _with_categories(t["competition_entry"], t)
-    key = F.concat_ws("|", F.coalesce("team_name", F.lit("")), F.array_join("categories", "/"))
-    single = facts.individual_entries(t, comp_id).select(F.col("id").alias("entry_id"))
-    wanted = entries.join(single, "entry_id", "left_semi").withColumn("key", key)
-    groups = wanted.groupBy("athlete_name", "gender", "key").agg(F.first("categories").alias("categories"), F.collect_set("athlete_id").alias("mapped"), F.min(F.struct("entry_id", "region", "team_name")).alias("one"))
-    names = groups.select("athlete_name", "gender").distinct()
-    past = entries.where("athlete_id IS NOT NULL").groupBy("athlete_name", "gender", "athlete_id").agg(F.collect_set("categories").alias("sets"))
-    masters = t["athlete"].select(F.col("name").alias("athlete_name"), "gender", F.col("id").alias("athlete_id"), F.array().cast("array<array<string>>").alias("sets"))
-    known = past.unionByName(masters).join(names, ["athlete_name", "gender"], "left_semi").groupBy("athlete_name", "gender", "athlete_id").agg(F.array_distinct(F.flatten(F.collect_list("sets"))).alias("sets"))
-    null = lambda kind: F.lit(None).cast(kind)
-    athletes = known.select("athlete_name", "gender", null("string").alias("key"), "athlete_id", "sets", null("array<string>").alias("categories"), null("array<long>").alias("mapped"), null("string").alias("region"), null("string").alias("team_name"))
-    rows = athletes.union(groups.select("athlete_name", "gender", "key", null("long"), null("array<array<string>>"), "categories", "mapped", "one.region", "one.team_name"))
-    decided = keep(rows.groupBy("athlete_name", "gender").applyInPandas(_register, _REGISTERED), "registered")
-
-    from podium.operators.mutate import allocate
-    from podium.schema import conform
-
-    made = decided.where("created_key IS NOT NULL").groupBy("created_key", F.col("athlete_name").alias("name"), "gender").agg(F.max("notes").alias("notes"))
-    new = keep(allocate(made, t["athlete"], ["created_key", "name", "gender"]), "athlete")
-    named = decided.join(new.select("created_key", F.col("id").alias("new_id")), "created_key", "left").select("athlete_name", "gender", "key", F.coalesce("athlete_id", "new_id").alias("value"))
-    mapping = keep(wanted.select("entry_id", "athlete_name", "gender", "key").join(named, ["athlete_name", "gender", "key"]).select("entry_id", "value"), "mapping")
-    counts = new.agg(F.count("*").alias("athletes_created")).crossJoin(mapping.agg(F.count("*").alias("athletes_mapped"))).crossJoin(teams_created.agg(F.count("*").alias("teams_created")))
-    out = map_entries({**t, "athlete": t["athlete"].unionByName(conform(new, "athlete"))}, mapping)
-    return out, counts
-
-
 def _shown(text: str, unmapped_only: bool):
     """Whether the mapping page lists an entry: name or team contains the text, and it is unmapped if that is asked."""
     found = F.lower("athlete_name").contains(text.lower()) | F.lower(F.coalesce("team_name", F.lit(""))).contains(text.lower())

@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from podium import tables
 from podium.functions import exprs as x
-from podium.operators import athletes, facts, identity, medals, mutate, rounds, schedule, stats
+from podium.operators import athletes, facts, identity, medals, mutate, registration, rounds, schedule, stats
 from podium.plans import sheets
-from podium.plans.queries import _MEDALS, _MINE, _SEEN, _WON, _pick, _query
+from podium.plans.queries import _CATEGORIES, _MEDALS, _MINE, _SEEN, _WON, _pick, _query
 from podium.schema import conform
 from podium.sources import listings, results, startlist
 
@@ -256,13 +256,51 @@ def _(t):
     return mutate.map_entries(t, rows, "team_id")["competition_entry"].select("id", "team_id")
 
 
-@_query("bulk_register", f"""
-SELECT count(*) AS athletes_mapped, count(*) AS entries_with_athlete, (SELECT count(*) FROM (SELECT DISTINCT team_name, region FROM ind WHERE competition_id = {COMP} AND team_id IS NULL AND {_SEEN} AND trim(coalesce(team_name, '')) <> '' EXCEPT SELECT name, region FROM team)) AS teams_created
-FROM ind WHERE competition_id = {COMP}""")
+#: Group by group of a name over the list of its athletes' entries, as a loop would; a chosen athlete is told by id, or as new by the smallest entry id.
+_REGISTERED = f""", {_CATEGORIES},
+e AS (SELECT ce.id, ce.athlete_name AS name, ce.gender, coalesce(ce.team_name, '') AS team, coalesce(c, []) AS c, ce.athlete_id, ce.competition_id = {COMP} AND ce.id IN (SELECT id FROM ind) AS mine
+  FROM competition_entry ce LEFT JOIN cat ON cat.entry_id = ce.id),
+g AS (SELECT *, CAST(row_number() OVER (PARTITION BY name, gender ORDER BY team, array_to_string(c, '/')) AS INT) AS i FROM (SELECT name, gender, team, c, min(id) AS first FROM e WHERE mine GROUP BY ALL)),
+s0 AS (SELECT a.name, a.gender, list(struct_pack(p := CAST(a.id AS VARCHAR), t := h.team, c := h.c, k := h.k, f := h.f)) AS st FROM athlete a JOIN (
+  SELECT e.athlete_id, e.team, e.c, coalesce(g.i, 0) AS k, min(e.id) AS f FROM e LEFT JOIN g ON e.mine AND g.name = e.name AND g.gender = e.gender AND g.team = e.team AND g.c = e.c WHERE e.athlete_id IS NOT NULL GROUP BY ALL) h
+  ON h.athlete_id = a.id GROUP BY ALL),
+r AS (
+  SELECT n.name, n.gender, 0 AS i, coalesce(s0.st, []) AS st, CAST(NULL AS VARCHAR) AS pick FROM (SELECT DISTINCT name, gender FROM g) n LEFT JOIN s0 ON s0.name = n.name AND s0.gender = n.gender
+  UNION ALL
+  SELECT name, gender, i, list_append(list_filter(st, lambda x: x.k <> i), struct_pack(p := pick, t := team, c := c, k := i, f := first)), pick FROM (
+    SELECT *, coalesce(list_extract(list_sort(list_transform(list_filter(st, lambda x: x.k = i AND list_contains(fit, x.p)), lambda x: struct_pack(f := x.f, p := x.p))), 1).p, CASE WHEN len(fit) = 1 THEN fit[1] END, 'new ' || first) AS pick FROM (
+      SELECT r.name, r.gender, g.i, r.st, g.team, g.c, g.first,
+        list_filter(list_distinct(list_transform(r.st, lambda x: x.p)), lambda q: len(list_filter(r.st, lambda x: x.p = q AND (x.t <> g.team OR NOT (len(x.c) = 0 OR len(g.c) = 0 OR list_has_any(x.c, g.c))))) = 0) AS fit
+      FROM r JOIN g ON g.name = r.name AND g.gender = r.gender AND g.i = r.i + 1))),
+chosen AS (SELECT e.id AS entry_id, e.athlete_id AS before, r.pick, e.team, g.first FROM e JOIN g ON g.name = e.name AND g.gender = e.gender AND g.team = e.team AND g.c = e.c JOIN r ON r.name = g.name AND r.gender = g.gender AND r.i = g.i WHERE e.mine)"""
+
+
+@_query("bulk_register", f"""{_REGISTERED}
+SELECT entry_id, CASE WHEN starts_with(pick, 'new') THEN 'new ' || min(entry_id) OVER (PARTITION BY pick) ELSE pick END AS athlete FROM chosen""")
+def _(t):
+    """Which athlete every entry gets."""
+    done, _ = registration.bulk_register(t, COMP)
+    mine = facts.individual_entries(done, COMP).select(F.col("id").alias("entry_id"), "athlete_id")
+    new = mine.join(t["athlete"].select(F.col("id").alias("athlete_id")), "athlete_id", "left_anti").groupBy("athlete_id").agg(F.concat(F.lit("new "), F.min("entry_id")).alias("_new"))
+    return mine.join(new, "athlete_id", "left").select("entry_id", F.coalesce("_new", F.col("athlete_id").cast("string")).alias("athlete"))
+
+
+@_query("bulk_register_counts", f"""{_REGISTERED},
+tm AS (SELECT team_name, region FROM ind WHERE competition_id = {COMP} AND team_id IS NULL AND {_SEEN} AND trim(coalesce(team_name, '')) <> '')
+SELECT (SELECT count(*) FROM (SELECT DISTINCT team_name, region FROM tm EXCEPT SELECT name, region FROM team)) AS teams_created, (SELECT count(*) FROM tm) AS teams_mapped,
+  count(DISTINCT pick) FILTER (starts_with(pick, 'new')) AS athletes_created, count(*) FILTER (pick IS DISTINCT FROM CAST(before AS VARCHAR)) AS athletes_mapped FROM chosen""")
+def _(t):
+    return registration.bulk_register(t, COMP)[1]
+
+
+@_query("registered_notes", f"""{_REGISTERED},
+k AS (SELECT r.name, r.gender, g.team, ce.region, r.i FROM r JOIN g ON g.name = r.name AND g.gender = r.gender AND g.i = r.i JOIN competition_entry ce ON ce.id = g.first WHERE r.pick = 'new ' || g.first)
+SELECT name, gender, CASE WHEN trim(n) <> '' THEN n END AS notes FROM (
+  SELECT name, gender, CASE WHEN EXISTS (SELECT 1 FROM athlete a WHERE a.name = k.name AND a.gender = k.gender) OR row_number() OVER (PARTITION BY name, gender ORDER BY i) > 1 THEN coalesce(region || ' ', '') || team END AS n FROM k)""")
 def _(t):
-    done, counts = identity.bulk_register(t, COMP)
-    mapped = facts.individual_entries(done, COMP).where("athlete_id IS NOT NULL").join(done["athlete"].select(F.col("id").alias("athlete_id")), "athlete_id", "left_semi")
-    return counts.select("athletes_mapped", "teams_created").crossJoin(mapped.agg(F.count("*").alias("entries_with_athlete")))
+    """The athletes that registration makes."""
+    done, _ = registration.bulk_register(t, COMP)
+    return done["athlete"].join(t["athlete"].select("id"), "id", "left_anti").select("name", "gender", "notes")
 
 
 @_query("found_entries", " SELECT ce.id AS asked, (SELECT min(o.id) FROM competition_entry o WHERE o.competition_id = ce.competition_id AND o.athlete_name = ce.athlete_name AND o.gender = ce.gender AND coalesce(o.team_name, '') = coalesce(ce.team_name, '')) AS found FROM competition_entry ce")

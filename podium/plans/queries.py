@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from podium.functions import exprs as x
-from podium.operators import athletes, facts, identity, medals, mutate, rounds, schedule, stats
+from podium.operators import athletes, facts, identity, medals, mutate, registration, rounds, schedule, stats
 from podium.plans import star
 from podium.sources import listings
 from podium.tables import Catalog
@@ -268,7 +268,7 @@ def _(t):
 
 @_query("auto_match_teams", f""" SELECT ce.id, coalesce(ce.team_id, CASE WHEN {_SEEN.replace('region', 'ce.region')} THEN (SELECT min(t.id) FROM team t WHERE t.name = ce.team_name AND t.region = ce.region) END) AS team_id FROM competition_entry ce""")
 def _(t):
-    return _pick(identity.auto_match_teams(t)[0]["competition_entry"], "id team_id")
+    return _pick(registration.auto_match_teams(t)[0]["competition_entry"], "id team_id")
 
 
 @_query("mapping_counts", " SELECT competition_id, count(*) AS total, count(athlete_id) AS mapped, count(*) - count(athlete_id) AS unmapped FROM ind GROUP BY ALL")

