@@ -10,6 +10,10 @@ paths and names that the surroundings or the dictionary hold cost little; keys c
 about their length.  Copies of the candidate itself aren't counted among its
 surroundings, and a value found so is reported wherever it stands in the text.
 
+A value of more than LONG characters is measured in pieces, each against the characters
+before it, and a run's pieces are measured once for all places where its value may
+begin; so the work is in proportion to the text, whatever it holds.
+
 Spans are code points, end exclusive, in order of start, then of kind; of spans of
 one start and kind there is one.  A null or empty text has no spans.  Whole texts are
 searched, however long; rows that repeat are searched each, and ids may be of any
@@ -20,9 +24,10 @@ type.  An empty table gives no rows.  A column that bears the name of the result
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
+import ahocorasick
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
@@ -50,6 +55,9 @@ REACH, AROUND = 48, 160
 #: Marginal bytes per character from which a candidate is reported.
 NOVELTY = 0.7
 
+#: Characters from which a value is measured in pieces, and those of a piece.
+LONG, PIECE = 512, 256
+
 #: Identifiers taken from a table for the dictionary, at most, and the characters of one: fewer than a
 #: candidate's and no digits, so no key gets in.  The dictionary has some 32 kB.
 VOCABULARY = 2_000
@@ -72,6 +80,8 @@ documentation example placeholder changeme your-token-here insert_your_key_here
 the and of to in is that for with as on by this from are be was it not have which or an at internationalization
 """
 _CODECS: dict[str, zstandard.ZstdCompressor] = {}
+#: Measures of late by dictionary, surroundings and value: repetitive texts ask for the same ones again.
+_LATE: dict[tuple[str, str, str], int] = {}
 
 
 def vocabulary(docs: DataFrame, text_col: str = "text", size: int = VOCABULARY) -> str:
@@ -117,9 +127,14 @@ def _around(text: str, start: int, end: int) -> tuple[str, str]:
 
 def marginal_bytes(text: str, start: int, end: int, dictionary: str = IDENTIFIERS) -> int:
     """Compressed bytes that text[start:end] adds to what surrounds it, other copies of it left out."""
-    codec = _codec(dictionary)
-    before, after = (x.encode("utf-8", "replace") for x in _around(text, start, end))
-    return len(codec.compress(after + before + text[start:end].encode("utf-8", "replace"))) - len(codec.compress(after + before))
+    before, after = _around(text, start, end)
+    asked = dictionary, after + before, text[start:end]
+    if asked not in _LATE:
+        codec, around = _codec(dictionary), asked[1].encode("utf-8", "replace")
+        if len(_LATE) >= 4096:
+            _LATE.clear()
+        _LATE[asked] = len(codec.compress(around + asked[2].encode("utf-8", "replace"))) - len(codec.compress(around))
+    return _LATE[asked]
 
 
 def _starts(text: str, lower: str, start: int, end: int) -> list[int]:
@@ -149,34 +164,93 @@ def _joined(spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
     return starts, ends
 
 
+_RUN = re.compile(r"[A-Za-z0-9+/_=.~-]+")
+
+
+class _Run:
+    """A longest stretch of a candidate's characters: what its suffixes hold and cost."""
+
+    def __init__(self, text: str, start: int, end: int):
+        self.text, self.start, self.end = text, start, end
+        run = text[start:end]
+        self.digit = start + max(map(run.rfind, "0123456789"))
+        self.letter = start + max(map(run.rfind, "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"))
+        self.sums: list[int] | None = None
+
+    def mixed(self, start: int) -> bool:
+        """Whether a digit and a letter stand from ``start`` on."""
+        return min(self.digit, self.letter) >= start
+
+    def cost(self, start: int, dictionary: str) -> float:
+        """Marginal bytes per character of the run from ``start`` on."""
+        size = self.end - start
+        if size <= LONG:
+            return marginal_bytes(self.text, start, self.end, dictionary) / size
+        if self.sums is None:
+            self.sums = [0]
+            for at in range(self.end - PIECE, self.start - 1, -PIECE):
+                self.sums.append(self.sums[-1] + _piece_bytes(self.text, at, at + PIECE, dictionary))
+        pieces, front = divmod(size, PIECE)
+        if self.sums[pieces] + front + 16 < NOVELTY * size:  # whatever the front costs
+            return self.sums[pieces] / size
+        return (self.sums[pieces] + (_piece_bytes(self.text, start, start + front, dictionary) if front else 0)) / size
+
+
+def _piece_bytes(text: str, start: int, end: int, dictionary: str) -> int:
+    codec = _codec(dictionary)
+    before = text[max(0, start - AROUND) : start].encode("utf-8", "replace")
+    return len(codec.compress(before + text[start:end].encode("utf-8", "replace"))) - len(codec.compress(before))
+
+
 def _novel(text: str, lower: str, base: list[tuple[int, int]], dictionary: str) -> Iterator[tuple[int, int, float]]:
     seen = -1
     taken, until = _joined(base)
+    spans = [m.span() for m in _RUN.finditer(text) if m.end() - m.start() >= CANDIDATE_LENGTH]
+    ends = [end for _, end in spans]
+    runs: dict[int, _Run] = {}
     for word in _SENSITIVE.finditer(lower):
-        for m in CANDIDATE.finditer(text, word.end(), min(len(text), word.end() + REACH + 4096)):
-            if m.start() > word.end() + REACH:
+        for i in range(bisect_right(ends, word.end()), len(spans)):
+            first, end = max(spans[i][0], word.end()), ends[i]
+            if first > word.end() + REACH:
                 break
-            end = m.end()
-            starts = [x for x in _starts(text, lower, m.start(), min(end, word.end() + REACH + 1)) if x > seen]
-            if not starts:
-                continue
-            while end < len(text) and CANDIDATE.fullmatch(text[end] * 16):
-                end += 1
+            starts = [x for x in _starts(text, lower, first, min(end, word.end() + REACH + 1)) if x > seen] if end - first >= CANDIDATE_LENGTH else []
+            if starts and i not in runs:
+                runs = {i: _Run(text, *spans[i])}
             for start in starts:
                 seen = max(seen, start)
                 k = bisect_left(taken, end) - 1  # the last stretch that begins before the end
-                if end - start < CANDIDATE_LENGTH or k >= 0 and until[k] > start:
-                    continue
-                value = text[start:end]
-                if not (any(c.isdigit() for c in value) and any(c.isalpha() for c in value)):
+                if end - start < CANDIDATE_LENGTH or k >= 0 and until[k] > start or not runs[i].mixed(start):
                     continue
-                cost = marginal_bytes(text, start, end, dictionary) / len(value)
+                cost = runs[i].cost(start, dictionary)
                 if cost >= NOVELTY:
                     seen = end
                     yield start, end, cost
                     break
 
 
+def _places(text: str, values: list[str]) -> Iterator[tuple[str, list[int]]]:
+    """Each value, the longest first, with the places where it begins."""
+    if len(values) < 8:
+        for value in values:
+            found, at = [], text.find(value)
+            while at >= 0:
+                found.append(at)
+                at = text.find(value, at + len(value))
+            yield value, found
+        return
+    automaton = ahocorasick.Automaton()
+    for value in values:
+        automaton.add_word(value, value)
+    automaton.make_automaton()
+    places: dict[str, list[int]] = {}
+    for last, value in automaton.iter(text):
+        at, found = last + 1 - len(value), places.setdefault(value, [])
+        if not found or at >= found[-1] + len(value):
+            found.append(at)
+    for value in values:
+        yield value, places.get(value, [])
+
+
 def _everywhere(text: str, novel: list[tuple[int, int, float]], base: list[tuple[int, int]]) -> Iterator[tuple[int, int, float]]:
     """``novel`` and the other places of its values that no span holds yet."""
     yield from novel
@@ -184,14 +258,12 @@ def _everywhere(text: str, novel: list[tuple[int, int, float]], base: list[tuple
     for start, end in (*base, *(x[:2] for x in novel)):
         held[start:end] = b"\1" * (end - start)
     costs = {text[start:end]: cost for start, end, cost in reversed(novel)}
-    for value in sorted(costs, key=len, reverse=True):
-        at = text.find(value)
-        while at >= 0:
+    for value, places in _places(text, sorted(costs, key=len, reverse=True)):
+        for at in places:
             end = at + len(value)
             if held.find(0, at, end) >= 0:
                 held[at:end] = b"\1" * len(value)
                 yield at, end, costs[value]
-            at = text.find(value, end)
 
 
 def find(text: str | None, dictionary: str = IDENTIFIERS) -> list[tuple[str, int, int, float]]:

@@ -4,6 +4,7 @@ import math
 import random
 import re
 import struct
+import time
 import zlib
 from collections import Counter
 
@@ -83,6 +84,37 @@ def test_surroundings_leave_copies_out():
         assert secrets._around(text, 420, 440) == (left[-secrets.AROUND :], right[: secrets.AROUND])
 
 
+@pytest.mark.parametrize("unit", ["signature=", "session_id=a1", "token=", "token=a1 ", "secret a1=", "token"])
+def test_long_texts_of_sensitive_words_take_linear_time(unit):
+    """A megabyte of each; the time of a quadratic scan would be hours."""
+    text = unit * (1_000_000 // len(unit))
+    began = time.process_time()
+    spans = secrets.find(text)
+    assert time.process_time() - began < 10
+    assert [x[:3] for x in spans if x[0] != "novel"] == base_spans(text)
+
+
+def test_long_values_are_measured_in_pieces():
+    rng = random.Random(4)
+    drawn = lambda n: "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=n))
+    for size in (511, 512, 513, 700, 5000, 100_000):
+        text = f"authorization: {drawn(size)} and words"
+        assert [x[:3] for x in secrets.find(text)] == [("novel", 15, 15 + size)]
+        assert secrets.find(f"authorization: {'session_id=a1' * (size // 13)} and words") == []
+    # a random value behind a long name in the same run
+    kind, start, end, _ = secrets.find("secret x=" + drawn(600))[0]
+    assert kind == "novel" and start <= 9 and end == 609
+
+
+def test_many_values_are_found_again():
+    rng = random.Random(6)
+    keys = ["".join(rng.choices("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnpqrstuvwxyz23456789", k=40)) for _ in range(20)]
+    lines = "\n".join(f"authorization: {k} for number {i}" for i, k in enumerate(keys))
+    text = lines + "\nno word near: " + " and ".join(keys) + " " + keys[0] + keys[0]
+    places = [m.start() for k in keys for m in re.finditer(k, text)]
+    assert sorted(x[1] for x in secrets.find(text)) == sorted(places)
+
+
 def test_redaction(docs):
     row = secrets.redact(docs.where("doc_id = 900015")).first()
     assert row["text"] == "[REDACTED]\" [REDACTED] [REDACTED]"
