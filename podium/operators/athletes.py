@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from podium.functions.exprs import blank_to_null, competition_label, record_ms
 from podium.operators import facts
+from podium.operators.names import NameIndex
 from podium.tables import Catalog
 
 
@@ -36,8 +37,10 @@ def entry_divisions(t: Catalog) -> DataFrame:
     return athlete_entries(t).join(starts, "entry_id").groupBy(F.col("master_id").alias("athlete_id")).agg(F.array_join(F.array_sort(F.collect_set("division_name")), ", ").alias("divisions"))
 
 
-def athletes_latest(t: Catalog, name_contains: str | None = None) -> DataFrame:
-    """Athletes by name with profile and divisions; a search adds their recent medals."""
+def athletes_latest(t: Catalog, name_contains: str | None = None, names: NameIndex | None = None) -> DataFrame:
+    """Athletes by name with profile and divisions; a search adds their recent medals.  ``names`` is an index of athletes' names by id."""
+    if names is not None and name_contains:
+        t = {**t, "athlete": names.narrowed(t["athlete"], name_contains, "id")}
     out = latest_profiles(t).join(entry_divisions(t), "athlete_id", "left")
     if name_contains is not None:
         recent = recent_medals(t).where(F.col("athlete_name").contains(name_contains)).groupBy(F.col("athlete_name").alias("name")).agg(F.array_sort(F.collect_list(F.struct("position", "label", "division_name", "event_name", "ranking", "record"))).alias("recent_medals"))
@@ -81,9 +84,12 @@ def recent_medals(t: Catalog, competitions: int = 5) -> DataFrame:
 
     The list stops there: later medals of competitions seen before are cut too.
     """
-    name = Window.partitionBy("athlete_name").orderBy(F.desc_nulls_last("start_date"), "division_name", "event_name", "result_id")
-    seen = F.size(F.collect_set("competition_id").over(name.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = facts.medals(t).withColumn("seen", seen).withColumn("position", F.row_number().over(name)).where(F.col("seen") <= competitions)
+    order = [F.desc_nulls_last("start_date"), "division_name", "event_name", "result_id"]
+    name, once = Window.partitionBy("athlete_name").orderBy(*order), Window.partitionBy("athlete_name", "competition_id").orderBy(*order)
+    # a competition's first medal counts one, so a running sum tells how many were seen; both windows use the one shuffle by name
+    flagged = facts.medals(t).repartition("athlete_name").withColumn("first", (F.row_number().over(once) == 1).cast("int"))
+    seen = F.sum("first").over(name.rowsBetween(Window.unboundedPreceding, 0))
+    rows = flagged.withColumn("seen", seen).withColumn("position", F.row_number().over(name)).where(F.col("seen") <= competitions)
     return rows.select("athlete_name", "position", "competition_id", competition_label(F.col("edition"), F.col("short_name"), F.col("competition_name")).alias("label"), "division_name", "event_name", "ranking", "record", "result_id")
 
 
@@ -94,9 +100,11 @@ def athlete_profile(t: Catalog, comp_id: int, name: str) -> DataFrame:
     return entry.join(recent, "name", "left")
 
 
-def search(t: Catalog, name: str | None = None, birth_year: int | None = None, notes: str | None = None) -> DataFrame:
-    """Athletes that meet every given condition; blank text asks for nothing."""
+def search(t: Catalog, name: str | None = None, birth_year: int | None = None, notes: str | None = None, names: NameIndex | None = None) -> DataFrame:
+    """Athletes that meet every given condition; blank text asks for nothing.  ``names`` is an index of their names by id."""
     out = t["athlete"]
+    if names is not None and name is not None and name.strip():
+        out = names.narrowed(out, name.strip(), "id")
     for column, text in (("name", name), ("notes", notes)):
         if text is not None and text.strip():
             out = out.where(F.col(column).contains(text.strip()))
@@ -116,8 +124,10 @@ def filter_list(listed: DataFrame, text: str = "", gender: str | None = None, re
     return listed.where(wanted), listed.agg(F.count_if(wanted).alias("visible"), F.count("*").alias("total"))
 
 
-def suggest_entries(t: Catalog, event_id: int | None = None, q: str = "") -> DataFrame:
-    """Entries of an event's starts whose name contains q, first of each name and team."""
+def suggest_entries(t: Catalog, event_id: int | None = None, q: str = "", names: NameIndex | None = None) -> DataFrame:
+    """Entries of an event's starts whose name contains q, first of each name and team.  ``names`` is an index of entries' names by id."""
+    if names is not None:
+        t = {**t, "competition_entry": names.narrowed(t["competition_entry"], q, "id")}
     starts = facts.entry_fact(t)
     starts = starts if event_id is None else starts.where(F.col("event_id") == event_id)
     team = F.coalesce("team_name", F.lit(""))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from podium.functions.exprs import division_category, is_blank
 from podium.operators import facts
 from podium.operators.mutate import map_entries
+from podium.operators.names import SIZE, grams
 from podium.tables import Catalog
 
 
@@ -69,24 +70,37 @@ def apply_match(t: Catalog, matched: DataFrame, column: str = "athlete_id") -> C
     return map_entries(t, matched.select("entry_id", F.col(column).alias("value")), column)
 
 
+def _rarest(short: DataFrame, long_grams: DataFrame, column: str) -> DataFrame:
+    """(column, gram): for each short name its gram that fewest of the long names hold; a name with a gram that none holds lies in none."""
+    counts = long_grams.groupBy("gram").agg(F.count("*").alias("n"))
+    own = short.select(column, F.explode(_name_grams(F.col(column))).alias("gram")).join(counts, "gram", "left")
+    best = own.groupBy(column).agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("gram"))).alias("best")).where("best.n > 0")
+    return best.select(column, "best.gram")
+
+
+def _name_grams(name: Column) -> Column:
+    """Pairs of neighbouring characters, or the one character there is."""
+    return F.when(F.length(name) < SIZE, F.array(name)).otherwise(grams(name))
+
+
 def team_candidates(t: Catalog, comp_id: int | None = None) -> DataFrame:
     """Distinct team names of entries without a team, with teams whose name contains theirs or is contained.
 
-    Names are compared by substring, which has no key to join on.  Both sides are distinct
-    names, and pairs meet on shared character pairs, so no full product is made.
+    The shorter of two such names lies within the longer one, so all its grams occur there.
+    Pairs meet on the one gram of the shorter name that fewest of the longer ones hold, by
+    counts taken before; a word that begins most names is the meeting place only of names
+    that have nothing else.
     """
     entries = t["competition_entry"].where("team_id IS NULL")
     entries = entries if comp_id is None else entries.where(F.col("competition_id") == comp_id)
     names = entries.where(~is_blank(F.col("team_name"))).select("team_name").distinct()
     teams = t["team"].where(~is_blank(F.col("name"))).select(F.col("id").alias("team_id"), "name", "region")
-    # The shorter name lies within the longer one, so its first two characters occur there too.
-    start = lambda c: F.left(F.col(c), F.lit(2))
-    pairs_in = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substr(F.col(c), i, F.lit(2))))
-    single = lambda c: F.array_distinct(F.split(F.col(c), ""))
-    grams = lambda c: F.explode(F.array_union(pairs_in(c), single(c)))
     distinct_names = teams.select("name").distinct()
-    inside_team = names.withColumn("g", start("team_name")).join(distinct_names.withColumn("g", grams("name")), "g").where(F.col("name").contains(F.col("team_name")))
-    inside_entry = distinct_names.withColumn("g", start("name")).join(names.withColumn("g", grams("team_name")), "g").where(F.col("team_name").contains(F.col("name")))
+    # single characters too, for names of one
+    all_grams = lambda c: F.explode(F.array_union(grams(F.col(c)), F.array_distinct(F.split(F.col(c), "")))).alias("gram")
+    of_teams, of_entries = distinct_names.select("name", all_grams("name")), names.select("team_name", all_grams("team_name"))
+    inside_team = _rarest(names, of_teams, "team_name").join(of_teams, "gram").where(F.col("name").contains(F.col("team_name")))
+    inside_entry = _rarest(distinct_names, of_entries, "name").join(of_entries, "gram").where(F.col("team_name").contains(F.col("name")))
     pairs = inside_team.select("team_name", "name").union(inside_entry.select("team_name", "name")).distinct()
     return pairs.join(teams, "name").select("team_name", "team_id", F.col("name").alias("candidate"), "region")
 

@@ -49,3 +49,9 @@ def schedule(t: Catalog, comp_id: int | None = None, day: int | None = None) ->
 
 def has_schedule(t: Catalog, comp_id: int) -> bool:
     return not t["schedule_entry"].where(F.col("competition_id") == comp_id).limit(1).isEmpty()
+
+
+def with_schedule(t: Catalog) -> DataFrame:
+    """(competition_id, found) of every competition: whether it has a schedule."""
+    has = t["schedule_entry"].select("competition_id").distinct().withColumn("found", F.lit(True))
+    return t["competition"].select(F.col("id").alias("competition_id")).join(has, "competition_id", "left").select("competition_id", F.coalesce("found", F.lit(False)).alias("found"))

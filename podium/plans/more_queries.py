@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from podium import tables
 from podium.functions import exprs as x
-from podium.operators import athletes, facts, identity, medals, mutate, registration, rounds, schedule, stats
+from podium.operators import athletes, facts, identity, medals, mutate, names, paging, registration, rounds, schedule, stats
 from podium.plans import sheets
 from podium.plans.queries import _CATEGORIES, _MEDALS, _MINE, _SEEN, _WON, _pick, _query
 from podium.schema import conform
@@ -189,9 +189,7 @@ def _string(column: str):
 
 @_query("competitions_with_schedule", " SELECT c.id AS competition_id, EXISTS (SELECT 1 FROM schedule_entry s WHERE s.competition_id = c.id) AS found FROM competition c")
 def _(t):
-    spark = t["competition"].sparkSession
-    ids = [r["id"] for r in t["competition"].select("id").collect()]  # as many as there are meets
-    return spark.createDataFrame([(i, schedule.has_schedule(t, i)) for i in ids], "competition_id long, found boolean")
+    return schedule.with_schedule(t)
 
 
 # Changes ------------------------------------------------------------------------
@@ -462,6 +460,38 @@ def _(t):
     return part.select("id", "name", F.lit(about["total_elements"]).cast("long").alias("total_elements"))
 
 
+@_query("page_of_a_stored_order", " SELECT id, name, CAST(row_number() OVER (ORDER BY name, id) AS INT) AS position, (SELECT count(*) FROM athlete) AS total_elements FROM athlete QUALIFY position BETWEEN 1001 AND 1020")
+def _(t):
+    """A deep page by name: one or two ranges of the stored order are read."""
+    spark = t["athlete"].sparkSession
+    pages = paging.Pages(spark, f"{tables.shared_dir(spark)}/pages-{uuid.uuid4().hex}", ["name", "id"]).build(t["athlete"], 16)
+    part, about = pages.page(50, 20)
+    return part.select("id", "name", "position", F.lit(about["total_elements"]).cast("long").alias("total_elements"))
+
+
+def _indexed(t, table: str, column: str) -> names.NameIndex:
+    spark = t[table].sparkSession
+    return names.NameIndex(spark, f"{tables.shared_dir(spark)}/names-{uuid.uuid4().hex}").build(t[table], "id", column)
+
+
+@_query("athlete_search_by_index", " SELECT id, name, gender, birth_year, notes FROM athlete WHERE name LIKE '%수17%' AND notes LIKE '%NATION%'")
+def _(t):
+    return _pick(athletes.search(t, "수17", notes="NATION", names=_indexed(t, "athlete", "name")), "id name gender birth_year notes")
+
+
+@_query("entry_suggest_by_index", """ SELECT event_id, athlete_name, team_name, region, gender, bib_number FROM sf WHERE athlete_name LIKE '%수12%'
+QUALIFY row_number() OVER (PARTITION BY event_id, athlete_name, coalesce(team_name, '') ORDER BY heat_id, bib_number, start_id) = 1""")
+def _(t):
+    return athletes.suggest_entries(t, q="수12", names=_indexed(t, "competition_entry", "athlete_name"))
+
+
+@_query("name_grams", """, g AS (SELECT DISTINCT id, name[i:i + 1] AS gram FROM (SELECT id, name, unnest(range(1, length(name))) AS i FROM athlete)) SELECT gram, count(*) AS names FROM g GROUP BY gram""")
+def _(t):
+    """How many names hold each gram, as the index counts them."""
+    index = _indexed(t, "athlete", "name")
+    return index.spark.read.parquet(f"{index.path}/grams").select("gram", "names")
+
+
 @_query("lookups", f" SELECT (SELECT name FROM competition WHERE id = {COMP}) AS name, EXISTS (SELECT 1 FROM event) AS has_events, false AS has_others")
 def _(t):
     row = tables.require_one(t["competition"], COMP)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from podium.functions.exprs import affiliation, affiliation_note, is_team_event, trimmed
 from podium.operators.mutate import find_or_create, with_ids
 from podium.schema import FINAL
-from podium.sources.text import group, lines, so_far
+from podium.sources.text import carried, group
 from podium.tables import Catalog, keep
 
 # The line formats.
@@ -34,16 +34,17 @@ def parse_start_list(docs: DataFrame, id_col: str = "path", text_col: str = "tex
     kind = F.when(line.rlike(DAY), "day").when(line.rlike(HEADER), "event").when(plain, "plain").when(line.rlike(HEAT), "heat").when(line.rlike(HEAT_FINAL), "heat0")
     pick = lambda n: F.when(F.col("kind") == "event", group(line, HEADER, n)).when(F.col("kind") == "plain", group(line, HEADER_PLAIN, n))
     is_header = F.col("kind").isin("event", "plain")
-    rows = lines(docs, id_col, text_col).withColumn("kind", kind).withColumns({
-        "day": F.when(F.col("kind") == "day", group(line, DAY, 1).cast("int")),
-        "number": pick(1).cast("int"), "sex": F.when(is_header, F.when(pick(2) == "여", "F").otherwise("M")), "division": F.concat(pick(2), pick(3)), "event": pick(4),
-        "round": F.when(F.col("kind") == "event", group(line, HEADER, 5)).when(F.col("kind") == "plain", F.lit(FINAL)),
-        "header_at": F.when(is_header, F.col("pos")),
-    })
-    rows = rows.withColumn("section", so_far(F.col("header_at")))
     heat = F.when(F.col("kind") == "heat", group(line, HEAT, 1).cast("int")).when(F.col("kind") == "heat0", 0)
-    state = rows.withColumns({"day_number": F.coalesce(so_far(F.col("day")), F.lit(0)), "event_number": so_far(F.col("number")), "gender": so_far(F.col("sex")), "division_name": so_far(F.col("division")), "event_name": so_far(F.col("event")), "round_name": so_far(F.col("round")), "heat_number": F.coalesce(so_far(heat, "section"), F.lit(0))})
-    state = state.withColumn("team_event", is_team_event(F.col("event_name"))).where(F.col("kind").isNull() & F.col("section").isNotNull())
+    state = {
+        "day_number": F.when(F.col("kind") == "day", group(line, DAY, 1).cast("int")),
+        "event_number": pick(1).cast("int"), "gender": F.when(is_header, F.when(pick(2) == "여", "F").otherwise("M")), "division_name": F.concat(pick(2), pick(3)), "event_name": pick(4),
+        "round_name": F.when(F.col("kind") == "event", group(line, HEADER, 5)).when(F.col("kind") == "plain", F.lit(FINAL)),
+        # a header ends the heat before it
+        "heat": F.when(is_header, F.struct(F.lit(0).alias("number"))).when(heat.isNotNull(), F.struct(heat.alias("number"))),
+    }
+    rows = carried(docs, lambda found: found.withColumn("kind", kind).withColumns(state), list(state), id_col, text_col)
+    rows = rows.withColumns({"day_number": F.coalesce("day_number", F.lit(0)), "heat_number": F.col("heat.number"), "team_event": is_team_event(F.col("event_name"))})
+    state = rows.where(F.col("kind").isNull() & F.col("event_name").isNotNull())
     single = ~F.col("team_event") & line.rlike(ATHLETE)
     team = F.col("team_event") & line.rlike(TEAM)
     info = affiliation(group(line, ATHLETE, 3))
@@ -59,8 +60,9 @@ def parse_roster(docs: DataFrame, id_col: str = "path", text_col: str = "text")
     """Distinct (doc, name, gender, notes) of the athletes in individual events of a start list."""
     raw = F.col("raw")
     header = raw.rlike(ROSTER_HEADER)
-    rows = lines(docs, id_col, text_col).withColumns({"sex": F.when(header, F.when(group(raw, ROSTER_HEADER, 2) == "여", "F").otherwise("M")), "team": F.when(header, is_team_event(raw)), "is_header": header})
-    state = rows.withColumns({"gender": so_far(F.col("sex")), "in_team": so_far(F.col("team"))}).where(~F.col("is_header") & F.col("gender").isNotNull() & ~F.col("in_team") & F.col("line").rlike(ATHLETE))
+    marks = {"gender": F.when(header, F.when(group(raw, ROSTER_HEADER, 2) == "여", "F").otherwise("M")), "in_team": F.when(header, is_team_event(raw)), "is_header": header}
+    rows = carried(docs, lambda found: found.withColumns(marks), ["gender", "in_team"], id_col, text_col)
+    state = rows.where(~F.col("is_header") & F.col("gender").isNotNull() & ~F.col("in_team") & F.col("line").rlike(ATHLETE))
     return state.select("doc", group(F.col("line"), ATHLETE, 2).alias("name"), "gender", affiliation_note(group(F.col("line"), ATHLETE, 3)).alias("notes")).distinct()
 
 

@@ -19,9 +19,33 @@ def load(spark: SparkSession, path: str) -> Catalog:
     return {t: spark.read.parquet(f"{path}/{t}.parquet") for t in schema._DDL}
 
 
-def load_jdbc(spark: SparkSession, url: str, properties: dict[str, str], tables: list[str] | None = None) -> Catalog:
-    """Tables from a database; credentials come from the caller only."""
-    return {t: schema.conform(spark.read.jdbc(url, t, properties=properties), t) for t in tables or list(schema._DDL)}
+#: Rows that one connection reads at a time, rows of a partition of a table read from a database, and connections at once.
+FETCH_ROWS, PARTITION_ROWS, CONNECTIONS = 10_000, 1_000_000, 64
+
+
+def load_jdbc(
+    spark: SparkSession, url: str, properties: dict[str, str], tables: list[str] | None = None, where: dict[str, str] | None = None,
+    partition_rows: int = PARTITION_ROWS, connections: int = CONNECTIONS, fetch_rows: int = FETCH_ROWS,
+) -> Catalog:
+    """Tables from a database; credentials come from the caller only.
+
+    A table is read in ranges of its id, as many as its rows need and at most ``connections``;
+    the database answers one small query for their bounds.  ``where`` holds a condition by table,
+    which the database evaluates; so do later filters and selections of columns.
+    """
+    quoted = spark._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(url).quoteIdentifier("id")
+    out = {}
+    for t in tables or list(schema._DDL):
+        about = f"(SELECT MIN({quoted}) AS low, MAX({quoted}) AS high, COUNT(*) AS n FROM {t}) bounds"
+        low, high, n = spark.read.jdbc(url, about, properties=properties).first()
+        parts = min(connections, -(-n // partition_rows))
+        given = properties | {"fetchsize": str(fetch_rows)}
+        if parts > 1:
+            df = spark.read.jdbc(url, t, column="id", lowerBound=low, upperBound=high + 1, numPartitions=parts, properties=given)
+        else:
+            df = spark.read.jdbc(url, t, properties=given)
+        out[t] = schema.conform(df.where(where[t]) if t in (where or {}) else df, t)
+    return out
 
 
 def save(t: Catalog, path: str, mode: str = "errorifexists") -> None:

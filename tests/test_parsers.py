@@ -92,7 +92,8 @@ def test_team_sheet_read_literally(spark):
 
 def test_pdf_without_the_program_or_of_no_use_is_null(spark, tmp_path):
     (tmp_path / "a.pdf").write_bytes(b"not a pdf")
-    assert [r["text"] for r in text.pdf_text(spark, str(tmp_path)).collect()] == [None]
+    found = text.pdf_text(spark, str(tmp_path)).first()
+    assert found["text"] is None and found["reason"]
 
 
 def test_csv_and_targets(spark, tmp_path):
