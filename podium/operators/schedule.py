@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from podium.functions.exprs import day_label, lenient_int
 from podium.schema import conform
-from podium.tables import Catalog
+from podium.tables import Catalog, Store
 
 # JSON keys and columns.
 _TEXT = {"startTime": "start_time", "divisionName": "division_name", "eventName": "event_name", "roundType": "round_type", "heatInfo": "heat_info", "notes": "notes"}
@@ -37,6 +37,15 @@ def replace_schedule(t: Catalog, comp_id: int, rows: DataFrame) -> Catalog:
     return {**t, "schedule_entry": kept.unionByName(conform(new, "schedule_entry"))}
 
 
+def replace_stored(store: Store, comp_id: int, rows: DataFrame) -> None:
+    """As ``replace_schedule``, in a store: the files of other competitions aren't written.  Ids follow the largest of the others."""
+    from podium.operators.mutate import allocate
+
+    others = store.table("schedule_entry").where(F.col("competition_id") != comp_id)
+    new = allocate(rows.withColumn("competition_id", F.lit(comp_id).cast("long")), others, ["day_number", "order_number", "start_time", "event_name", "division_name"])
+    store.replace("schedule_entry", comp_id, new)
+
+
 def schedule(t: Catalog, comp_id: int | None = None, day: int | None = None) -> DataFrame:
     """One row per day: label and nested entries in order."""
     rows = t["schedule_entry"]

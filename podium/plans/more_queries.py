@@ -9,6 +9,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from podium import tables
 from podium.functions import exprs as x
@@ -17,6 +18,7 @@ from podium.plans import sheets
 from podium.plans.queries import _CATEGORIES, _MEDALS, _MINE, _SEEN, _WON, _pick, _query
 from podium.schema import conform
 from podium.sources import listings, results, startlist
+from podium.sources.ledger import Ledger
 
 #: Competition of the queries that import one, and another one.
 COMP = 19951
@@ -92,14 +94,36 @@ def _(t):
     return startlist.import_counts(empty, done)
 
 
+#: Time trials are ranked anew over all heats; among equal records the order is one of new ids, so the first of their places stands for all.
+_PLACE = "CASE WHEN event_name NOT LIKE '%DTT%' THEN ranking WHEN record IS NOT NULL THEN CAST(rank() OVER (PARTITION BY round_id ORDER BY record NULLS LAST) AS INT) END"
+
+
 @_query("imported_results", f"""{sheets.SQL}
-SELECT division_name, event_name, round, heat_number, athlete_name, shown_team AS team_name, ranking, record, new_record, qualification, CASE WHEN ranking IS NULL THEN '실격' END AS note
-FROM pr WHERE competition_id = {COMP} AND result_id IS NOT NULL AND event_name NOT LIKE '%DTT%'""")
+SELECT division_name, event_name, round, heat_number, athlete_name, shown_team AS team_name, {_PLACE} AS ranking, record, new_record, qualification, CASE WHEN ranking IS NULL THEN '실격' END AS note
+FROM pr WHERE competition_id = {COMP} AND result_id IS NOT NULL""")
 def _(t):
-    """Start lists, then result sheets, into an archive that knows the competition only; time trials are ranked anew and left out."""
+    """Start lists, then result sheets, into an archive that knows the competition only."""
     done = startlist.apply_start_list(_bare(t, "competition"), startlist.parse_start_list(sheets.start_lists(t, COMP)), COMP)
     done = results.apply_results(done, results.parse_results(sheets.result_sheets(t, COMP)), COMP)
-    return _pick(facts.result_fact(done).where("event_name NOT LIKE '%DTT%'"), "division_name event_name round heat_number athlete_name team_name ranking record new_record qualification note")
+    first = F.min("ranking").over(Window.partitionBy("round_id", "record"))
+    found = facts.result_fact(done).withColumn("ranking", F.when(F.col("event_name").contains("DTT"), F.when(F.col("record").isNotNull(), first)).otherwise(F.col("ranking")))
+    return _pick(found, "division_name event_name round heat_number athlete_name team_name ranking record new_record qualification note")
+
+
+@_query("results_sent_again", f"""{sheets.SQL}, p AS (SELECT * FROM pr WHERE result_id IS NOT NULL)
+SELECT count(DISTINCT heat_id) AS files, count(*) AS results, CAST(0 AS BIGINT) AS files_again, (SELECT count(DISTINCT heat_id) FROM p WHERE competition_id = {COMP}) AS of_one FROM p""")
+def _(t):
+    """One competition's sheets, then all sheets twice, under other names: each is read once."""
+    spark = t["event"].sparkSession
+    ledger = Ledger(spark, f"{tables.shared_dir(spark)}/ledger-{uuid.uuid4().hex}")
+    some, every = sheets.result_sheets(t, COMP), sheets.result_sheets(t)
+    ledger.take("first", some, results.parse_results)
+    of_one = ledger.files().count()
+    ledger.take("second", every.withColumn("path", F.concat(F.lit("renamed "), "path")), results.parse_results)
+    again = ledger.take("third", every, results.parse_results)
+    assert ledger.take("second", every, results.parse_results) is None
+    counted = ledger.rows().agg(F.count_distinct("doc").alias("files"), F.count("*").alias("results"))
+    return counted.select("files", "results", F.lit(0 if again is None else 1).cast("long").alias("files_again"), F.lit(of_one).cast("long").alias("of_one"))
 
 
 @_query("result_import_counts", f"""{sheets.SQL}, p AS (SELECT * FROM pr WHERE competition_id = {COMP} AND result_id IS NOT NULL)
@@ -183,6 +207,18 @@ def _(t):
     return _pick(done["schedule_entry"], "competition_id day_number day_date order_number division_name event_name round_type entry_type")
 
 
+@_query("stored_schedule_import", f""" SELECT competition_id, count(*) AS n, CAST(sum(day_number) AS BIGINT) AS days, count(order_number) AS numbered, count(*) = count(DISTINCT id) AS told_apart FROM (
+  SELECT id, competition_id, day_number + CASE WHEN competition_id = {COMP} THEN 1 ELSE 0 END AS day_number, order_number FROM schedule_entry) GROUP BY competition_id""")
+def _(t):
+    """A competition's schedule moved by a day in a store that is partitioned by competition."""
+    spark = t["event"].sparkSession
+    store = tables.Store(spark, f"{tables.shared_dir(spark)}/store-{uuid.uuid4().hex}").save({"schedule_entry": t["schedule_entry"]})
+    mine = store.table("schedule_entry", COMP)
+    schedule.replace_stored(store, COMP, mine.drop("id", "competition_id").withColumn("day_number", F.col("day_number") + 1))
+    found = store.table("schedule_entry").groupBy("competition_id")
+    return found.agg(F.count("*").alias("n"), F.sum("day_number").alias("days"), F.count("order_number").alias("numbered"), (F.count("*") == F.count_distinct("id")).alias("told_apart"))
+
+
 def _string(column: str):
     return F.col(column).cast("string")
 
@@ -398,6 +434,31 @@ def _(t):
     return out.select("region", "gold", "silver", "bronze", "total", joined("by_competition", lambda e: F.concat_ws(":", e["edition"].cast("string"), e["label"], medal(e))), joined("top_teams", lambda e: F.concat_ws(":", e["team_name"], e["medals"].cast("string"))), joined("top_athletes", lambda e: F.concat_ws(":", e["athlete_name"], e["total"].cast("string"))))
 
 
+#: An entry's line in a history, and the order of lines.
+_PAST = """, past AS (SELECT ce.athlete_id, year(c.start_date) AS y, c.name AS competition, ce.region, ce.team_name, string_agg(DISTINCT division_name, ', ' ORDER BY division_name) AS d, string_agg(DISTINCT event_name, ', ' ORDER BY event_name) AS e
+  FROM competition_entry ce JOIN competition c ON c.id = ce.competition_id LEFT JOIN sf ON sf.entry_id = ce.id WHERE ce.athlete_id IS NOT NULL GROUP BY ce.id, ce.athlete_id, c.start_date, c.name, ce.region, ce.team_name),
+h AS (SELECT athlete_id, string_agg(concat_ws('/', coalesce(CAST(y AS VARCHAR), '-'), competition, coalesce(region, '-'), coalesce(team_name, '-'), coalesce(d, '-'), coalesce(e, '-')), '; '
+  ORDER BY y NULLS FIRST, competition, region NULLS FIRST, team_name NULLS FIRST, d NULLS FIRST, e NULLS FIRST) AS history FROM past GROUP BY athlete_id)"""
+
+
+def _told(history):
+    shown = lambda x: F.concat_ws("/", *[F.coalesce(x[c].cast("string"), F.lit("-")) for c in ("year", "competition", "region", "team_name", "division_names", "event_names")])
+    return F.array_join(F.transform(history, shown), "; ")
+
+
+@_query("candidate_histories", f"{_PAST} SELECT i.id AS entry_id, i.region, i.team_name, a.id AS athlete_id, a.birth_year, a.notes, h.history FROM ind i JOIN athlete a ON a.name = i.athlete_name AND a.gender = i.gender LEFT JOIN h ON h.athlete_id = a.id WHERE i.athlete_id IS NULL")
+def _(t):
+    """Every candidate with its nested history written out."""
+    return identity.candidates(t).withColumn("history", _told(F.col("history"))).select("entry_id", "region", "team_name", "athlete_id", "birth_year", "notes", "history")
+
+
+@_query("homonym_details", f"""{_PAST}, d AS (SELECT name, gender FROM athlete GROUP BY name, gender HAVING count(*) >= 2)
+SELECT a.name, a.gender, a.id AS athlete_id, a.birth_year, a.notes, h.history FROM athlete a JOIN d ON d.name = a.name AND d.gender = a.gender LEFT JOIN h ON h.athlete_id = a.id""")
+def _(t):
+    """Every athlete of a shared name with its nested history written out."""
+    return identity.homonyms(t).select("name", "gender", F.explode("candidates").alias("c")).select("name", "gender", "c.athlete_id", "c.birth_year", "c.notes", _told(F.col("c.history")).alias("history"))
+
+
 @_query("homonym_histories", """, h AS (SELECT athlete_id, count(*) AS n FROM competition_entry WHERE athlete_id IS NOT NULL GROUP BY athlete_id), d AS (SELECT name, gender FROM athlete GROUP BY name, gender HAVING count(*) >= 2)
 SELECT a.name, a.gender, a.id AS athlete_id, coalesce(h.n, -1) AS entries FROM athlete a JOIN d ON d.name = a.name AND d.gender = a.gender LEFT JOIN h ON h.athlete_id = a.id""")
 def _(t):

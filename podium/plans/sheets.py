@@ -21,13 +21,17 @@ def _string(column: str):
 
 
 def printed(t: Catalog, comp_id: int | None = None) -> DataFrame:
-    """Starts as sheets show them: one a heat, name and team, with numbers that are unique in the competition or heat, and their results."""
+    """Starts as sheets show them, with numbers that are unique in the competition or heat, and their results.
+
+    Of starts that share a heat, name and team all but the first have a number behind the name, as sheets have for namesakes.
+    """
     results = t["event_result"].select(F.col("heat_entry_id").alias("start_id"), F.col("id").alias("result_id"), "ranking", "record", "new_record", "qualification")
     team = F.when(F.col("team_event"), F.col("athlete_name")).otherwise(F.col("team_name"))
-    rows = facts.entry_fact(t).join(results, "start_id", "left").withColumn("shown_team", team)
+    rows = facts.entry_fact(t).join(results, "start_id", "left")
     rows = rows if comp_id is None else rows.where(F.col("competition_id") == comp_id)
-    once = Window.partitionBy("heat_id", "athlete_name", "shown_team").orderBy("start_id")
-    rows = rows.withColumn("_k", F.row_number().over(once)).where("_k = 1").drop("_k", "bib_number")
+    namesakes = Window.partitionBy("heat_id", "athlete_name", team).orderBy("start_id")
+    rows = rows.withColumn("_k", F.row_number().over(namesakes)).withColumn("athlete_name", F.when(F.col("_k") > 1, F.concat_ws("_", "athlete_name", "_k")).otherwise(F.col("athlete_name")))
+    rows = rows.withColumn("shown_team", team).drop("_k", "bib_number")
     number = F.pmod("event_id", F.lit(1000)) * 10 + F.pmod("round_id", F.lit(10))
     region = F.coalesce(F.nullif(F.trim("region"), F.lit("")), F.lit(NOWHERE))
     return rows.withColumns({"bib": F.row_number().over(Window.partitionBy("heat_id").orderBy("start_id")), "number": number.cast("int"), "shown_region": region, "city": F.when(F.col("start_id") % 2 == 0, "대구").otherwise("전북")})
@@ -133,4 +137,6 @@ pr0 AS (SELECT sf.*, r.id AS result_id, r.ranking, r.record, r.new_record, r.qua
   CASE WHEN sf.team_event THEN sf.athlete_name ELSE sf.team_name END AS shown_team, CAST(sf.event_id % 1000 * 10 + sf.round_id % 10 AS INT) AS number, coalesce(nullif(trim(sf.region), ''), '{NOWHERE}') AS shown_region,
   CASE WHEN sf.start_id % 2 = 0 THEN '대구' ELSE '전북' END AS city
   FROM sf JOIN event e ON e.id = sf.event_id JOIN competition_entry ce ON ce.id = sf.entry_id JOIN event_round er ON er.id = sf.round_id LEFT JOIN event_result r ON r.heat_entry_id = sf.start_id),
-pr AS (SELECT *, CAST(row_number() OVER (PARTITION BY heat_id ORDER BY start_id) AS INT) AS bib FROM (SELECT * FROM pr0 QUALIFY row_number() OVER (PARTITION BY heat_id, athlete_name, shown_team ORDER BY start_id) = 1))"""
+pr1 AS (SELECT *, row_number() OVER (PARTITION BY heat_id, athlete_name, shown_team ORDER BY start_id) AS k FROM pr0),
+pr AS (SELECT *, CAST(row_number() OVER (PARTITION BY heat_id ORDER BY start_id) AS INT) AS bib FROM (
+  SELECT * EXCLUDE (k) REPLACE (CASE WHEN k > 1 THEN athlete_name || '_' || k ELSE athlete_name END AS athlete_name, CASE WHEN k > 1 AND team_event THEN shown_team || '_' || k ELSE shown_team END AS shown_team) FROM pr1))"""

@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
+import pandas as pd
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,10 +26,28 @@ PARAMETERS = {"gameno": ("searchGameno", "gameno"), "kind": ("searchKindCd", "ki
 LABELS = {"종별": "division", "세부종목": "event", "경기구분": "round", "선수명/팀명": "athlete", "기록": "record", "일자": "day"}
 
 
+#: Charsets that Spark's readers decode themselves.
+DECODED = ("US-ASCII", "ISO-8859-1", "UTF-8", "UTF-16BE", "UTF-16LE", "UTF-16", "UTF-32")
+
+
 def read_csv(spark: SparkSession, path: str, charset: str = "UTF-8") -> DataFrame:
-    """Quoted CSV with a header line; columns c0, c1, ...  A charset like EUC-KR needs spark.sql.legacy.javaCharsets."""
-    df = spark.read.option("header", False).option("quote", '"').option("escape", '"').option("encoding", charset).csv(path)
-    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    """Quoted CSV with a header line; columns c0, c1, ...
+
+    Of a charset that Spark doesn't decode, such as EUC-KR, the bytes are read one to a character,
+    so that files are split as others, and each cell is decoded after that; it has to keep ASCII as
+    it is.  What isn't of the charset becomes a replacement character.
+    """
+    own = charset.upper() in DECODED
+    df = spark.read.option("header", False).option("quote", '"').option("escape", '"').option("encoding", charset if own else "ISO-8859-1").csv(path)
+    df = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    if own:
+        return df
+
+    @F.pandas_udf("string")
+    def decoded(cells: pd.Series) -> pd.Series:
+        return cells.map(lambda x: x.encode("latin-1").decode(charset, "replace"), na_action="ignore")
+
+    return df.select(*[decoded(c).alias(c) for c in df.columns])
 
 
 def keep_sport(rows: DataFrame, column: str = "c1") -> DataFrame:

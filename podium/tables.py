@@ -53,6 +53,57 @@ def save(t: Catalog, path: str, mode: str = "errorifexists") -> None:
         df.write.mode(mode).parquet(f"{path}/{name}.parquet")
 
 
+#: Column that names the folder of a competition's rows; the rows keep their own ``competition_id``.
+PART = "_competition"
+
+
+class Store:
+    """An archive whose tables of competitions are partitioned by competition, so that a change of one rewrites only its files.
+
+    Tables without a ``competition_id`` are stored whole.  One driver at a time may write to a store.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def _at(self, table: str) -> str:
+        return f"{self.path}/{table}.parquet"
+
+    def save(self, t: Catalog, mode: str = "errorifexists") -> Store:
+        for name, df in t.items():
+            if "competition_id" in df.columns:
+                df.withColumn(PART, F.col("competition_id")).repartition(PART).write.mode(mode).partitionBy(PART).parquet(self._at(name))
+            else:
+                df.write.mode(mode).parquet(self._at(name))
+        return self
+
+    def table(self, name: str, comp_id: int | None = None) -> DataFrame:
+        """A table, or one competition's rows of it: only their folder is read."""
+        fields = schema.ddl(name).replace(" NOT NULL", "")
+        if "competition_id" not in schema.columns(name):
+            return self.spark.read.schema(fields).parquet(self._at(name))
+        df = self.spark.read.schema(f"{fields}, {PART} long").parquet(self._at(name))
+        return (df if comp_id is None else df.where(F.col(PART) == comp_id)).drop(PART)
+
+    def load(self) -> Catalog:
+        return {name: self.table(name) for name in schema._DDL}
+
+    def replace(self, name: str, comp_id: int, rows: DataFrame) -> None:
+        """Stores ``rows`` in place of a competition's rows; no other file is touched.
+
+        Rows are written aside first, so they may be read from the table itself.
+        """
+        aside = keep(schema.conform(rows, name), name)
+        if not aside.where(F.col("competition_id").isNull() | (F.col("competition_id") != comp_id)).isEmpty():
+            raise ValueError(f"rows of another competition than {comp_id}")
+        if aside.isEmpty():
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self._at(name)}/{PART}={comp_id}")
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+        else:
+            part = aside.withColumn(PART, F.col("competition_id")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            part.partitionBy(PART).parquet(self._at(name))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share: ``spark.checkpoint.dir``; a local session without it gets one of its own."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
