@@ -38,7 +38,8 @@ def read_csv(spark: SparkSession, path: str, charset: str = "UTF-8") -> DataFram
     it is.  What isn't of the charset becomes a replacement character.
     """
     own = charset.upper() in DECODED
-    df = spark.read.option("header", False).option("quote", '"').option("escape", '"').option("encoding", charset if own else "ISO-8859-1").csv(path)
+    # lines of two- and four-byte charsets can't be told by one byte, so such a file is read as a whole
+    df = spark.read.option("header", False).option("quote", '"').option("escape", '"').option("encoding", charset if own else "ISO-8859-1").option("multiLine", charset.upper().startswith(("UTF-16", "UTF-32"))).csv(path)
     df = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
     if own:
         return df
