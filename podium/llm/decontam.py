@@ -118,9 +118,12 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     # Kept as a table: hits are found once, and few of them spare the texts a shuffle.  The words around each hit decide.
     hits = Scratch(docs.sparkSession, "decontam").keep(hits, "hits")
     hit = with_row_key(docs, id_col, text_col).join(hits.select("_d", "_h").distinct(), ["_d", "_h"], "left_semi")
-    met = hit.select(F.col("_id").alias("doc_id"), "_d", "_h", words(F.col("_text")).alias("own")).join(hits, ["_d", "_h"]).join(items, "_i")
-    equal = F.filter(F.sequence(F.lit(0), F.col("n_item_words") - 1), lambda p: F.get("own", p + F.col("diagonal")) == F.get("words", p))
-    grouped = met.select("doc_id", "_d", "_h", "item_id", "n_item_words", "diagonal", equal.alias("equal"))
+    # A document's words stand once beside an item, whatever the number of diagonals, and go before these become rows.
+    diagonals = hits.groupBy("_d", "_h", "_i").agg(F.collect_list("diagonal").alias("diagonals"))
+    met = hit.select(F.col("_id").alias("doc_id"), "_d", "_h", words(F.col("_text")).alias("own")).join(diagonals, ["_d", "_h"]).join(items, "_i")
+    equal = lambda d: F.filter(F.sequence(F.lit(0), F.col("n_item_words") - 1), lambda p: F.get("own", p + d) == F.get("words", p))
+    compared = F.transform("diagonals", lambda d: F.struct(d.alias("diagonal"), equal(d).alias("equal")))
+    grouped = met.select("doc_id", "_d", "_h", "item_id", "n_item_words", compared.alias("compared")).select("doc_id", "_d", "_h", "item_id", "n_item_words", F.inline("compared"))
     best = matched_in_stretch(F.col("equal"), F.col("n_item_words"))
     enough = F.element_at(F.array(*[F.lit(required(n)) for n in range(1, OVERLAP + 1)]), F.least(F.lit(OVERLAP), F.col("n_item_words")))
     return grouped.withColumn("best", best).where(F.col("best") >= enough).select("_d", "_h", "doc_id", "item_id", (F.col("diagonal") + F.array_min("equal")).alias("doc_word"), F.array_min("equal").alias("item_word"), F.size("equal").alias("n_matched"), "n_item_words").distinct()

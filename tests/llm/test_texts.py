@@ -422,6 +422,16 @@ def test_every_placement_of_two_substitutions_is_found(spark):
     assert sorted(x["doc_id"] for x in got) == list(range(78)) and {x["n_matched"] for x in got} == {11}
 
 
+def test_a_phrase_repeated_very_often(spark):
+    """Every fourth diagonal of a long text matches; the words stand once beside them."""
+    phrase = "alpha beta gamma delta"
+    docs = spark.createDataFrame([(1, " ".join([phrase] * 8000)), (2, " ".join([phrase] * 3)), (3, "clean words only " * 5000), (None, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(7, " ".join([phrase] * 5)), (8, phrase + " epsilon")], "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]): r["n_matched"] for r in decontam.contaminated(docs, items).collect()}
+    assert found == {(1, 7): 20, (2, 7): 12, (1, 8): 4, (2, 8): 4}
+    assert [r[0] for r in decontam.remove(docs, items).select("doc_id").orderBy("doc_id").collect()] == [None, 3]
+
+
 def test_short_items_stand_anywhere(spark):
     items = [(1, "alpha"), (2, "one two three four five six seven eight"), (3, "red green blue"), (4, "p q r s t")]
     docs = [(1, "before Alpha behind"), (2, "x one two three FIVE five six seven eight y"), (3, "two three four five six seven eight"), (4, "red green yellow"), (5, "so red green blue"), (6, "q r s t"), (7, "p q r x y"), (8, LONG_TEXT + " red, green, blue"), (8, "p q z s t"), (9, None), (10, "")]
