@@ -45,6 +45,10 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in set(shown) else chr(256 + hidden.index(b)) for b in range(256)]
 
 
+# Fixed value: the normalizer of a tokenizer file that ``split_words`` carries out.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+
+
 class WordBpe:
     """Encoder and decoder for a word-level BPE file of the ``tokenizers`` format."""
 
@@ -59,6 +63,8 @@ class WordBpe:
 
     def __init__(self, spec: dict, path: str | None = None):
         model = spec["model"]
+        if spec.get("normalizer") != NORMALIZER:
+            raise ValueError("texts are normalized by NFC, white space as blanks and lower case; the tokenizer file asks for another normalizer")
         self.path = path
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pattern_text = split["pattern"]["Regex"]

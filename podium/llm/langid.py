@@ -67,9 +67,20 @@ def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
 
+#: Bytes of a model at most: it is gathered by the driver and sent to every task.  512 languages at the usual buckets.
+MODEL_BYTES = 64 << 20
+
+
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", buckets: int = BUCKETS, smoothing: float = 0.5) -> Model:
-    """Learns from all rows whose text and language are not null."""
+    """Learns from all rows whose text and language are not null.
+
+    ValueError, before anything is counted, if they name more languages than a model of MODEL_BYTES
+    holds: such a column isn't one of languages, or needs fewer buckets.
+    """
     rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
+    most = MODEL_BYTES // (4 * buckets)
+    if docs.where(F.col(lang_col).isNotNull()).select(lang_col).distinct().limit(most + 1).count() > most:
+        raise ValueError(f"column {lang_col} names more than {most} languages")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}

@@ -40,7 +40,7 @@ from podium.llm.common import NULL_ID, Scratch, exists, map_arrow
 
 LINE, RECORD_END = "\r\n", "\r\n\r\n"
 #: Payload bytes of an archive file at most, and the largest payloads of the size classes.
-FILE_BYTES, CLASSES = 128 << 20, (1 << 16, 1 << 18, 1 << 20, 1 << 22, 1 << 24)
+FILE_BYTES, CLASSES = 128 << 20, (1 << 10, 1 << 12, 1 << 14, 1 << 16, 1 << 18, 1 << 20, 1 << 22, 1 << 24)
 #: Fixed value: the revisit profile of the WARC 1.1 standard.
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _HEX32, _BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -216,7 +216,7 @@ def captures(records: DataFrame) -> DataFrame:
 
 
 def digest(pages: DataFrame, **columns) -> DataFrame:
-    """Writes archives, reads them back, and describes each page as found there."""
+    """Writes archives, reads them back, and describes each page as found there; then the archives go."""
     spark = pages.sparkSession
     scratch = Scratch(spark, "warc")
     path = scratch.path("archives")
@@ -229,5 +229,7 @@ def digest(pages: DataFrame, **columns) -> DataFrame:
         answer["n_bytes"].cast("long").alias("_bytes"), F.get("metadata", F.lit(0))["pageId"].cast("long").alias("page_id"),
     )
     light = scratch.keep(light, "captures")
+    archives = spark._jvm.org.apache.hadoop.fs.Path(path)
+    archives.getFileSystem(spark._jsc.hadoopConfiguration()).delete(archives, True)
     stored = light.where("record_type = 'response'").select(F.col("record_id").alias("_to"), F.col("page_id").alias("_to_page"), F.col("_bytes").alias("_to_bytes"))
     return light.join(stored, "_to", "left").select("page_id", F.coalesce("_bytes", "_to_bytes").alias("payload_bytes"), "payload_digest", "record_type", F.when(F.col("record_type") == "revisit", F.col("_to_page")).alias("refers_to"))

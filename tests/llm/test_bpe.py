@@ -1,5 +1,7 @@
 import hashlib
+import json
 
+import pytest
 from tokenizers import Tokenizer
 
 from podium.llm import bpe
@@ -37,3 +39,11 @@ def test_words_by_random_symbols():
     for _ in range(3000):
         word = "".join(r.choice("aeinrstlohé'") for _ in range(r.randint(1, 40)))
         assert own.encode(word) == t.encode(word, add_special_tokens=False).ids, word
+
+
+def test_other_normalizers_are_refused():
+    with open(tokenizer_path()) as f:
+        spec = json.load(f)
+    bpe.WordBpe(spec)
+    with pytest.raises(ValueError):
+        bpe.WordBpe({**spec, "normalizer": {"type": "NFKC"}})

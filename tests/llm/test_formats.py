@@ -1,12 +1,13 @@
 import base64
 import hashlib
 import itertools
+from pathlib import Path
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from podium.llm import chat, queries, warc
+from podium.llm import chat, common, queries, warc
 
 from .conftest import SF, ordered
 
@@ -36,6 +37,13 @@ def test_archives_of_generated_pages(spark):
     assert ordered(queries.op2_warc(spark, SF).collect()) == ordered(described(rows))
 
 
+def test_archives_go_once_they_are_read(spark):
+    before = set(Path(common.shared_dir(spark)).glob("warc-*/*-archives"))
+    pages = spark.createDataFrame(HTML, "page_id long, url string, html string")
+    assert ordered(warc.digest(pages, least_bytes=0).collect()) == ordered(described(HTML))
+    assert set(Path(common.shared_dir(spark)).glob("warc-*/*-archives")) <= before
+
+
 def test_captures_join_their_records(spark, tmp_path):
     pages = spark.createDataFrame(HTML[:2], "page_id long, url string, html string")
     warc.write_archives(pages, str(tmp_path / "w"))

@@ -180,6 +180,14 @@ def test_languages_of_odd_documents(docs):
     assert langid.predict(docs.limit(0), model).collect() == []
 
 
+def test_models_have_a_bound(spark, monkeypatch):
+    rows = spark.range(40).select(F.lit("some words").alias("text"), F.col("id").cast("string").alias("lang"))
+    monkeypatch.setattr(langid, "MODEL_BYTES", 39 * 4 * langid.BUCKETS)
+    with pytest.raises(ValueError):
+        langid.train(rows)
+    assert len(langid.train(rows.where("id < 39")).langs) == 39
+
+
 def test_pieces_of_long_texts_count_alike(monkeypatch):
     text = "Grüße aus der Stadt, hello there " * 40
     count = lambda: np.bincount(np.concatenate(list(langid.features(text, 1 << 12))), minlength=1 << 12)
