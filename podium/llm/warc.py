@@ -40,7 +40,7 @@ from podium.llm.common import NULL_ID, Scratch, exists, map_arrow
 
 LINE, RECORD_END = "\r\n", "\r\n\r\n"
 #: Payload bytes of an archive file at most, and the largest payloads of the size classes.
-FILE_BYTES, CLASSES = 128 << 20, (1 << 10, 1 << 12, 1 << 14, 1 << 16, 1 << 18, 1 << 20, 1 << 22, 1 << 24)
+FILE_BYTES, CLASSES = 128 << 20, (1 << 12, 1 << 16, 1 << 18, 1 << 20, 1 << 22, 1 << 24)
 #: Fixed value: the revisit profile of the WARC 1.1 standard.
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _HEX32, _BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
