@@ -8,15 +8,19 @@ vector (``combine``).  A vector has two parts:
 
 * ``EXACT`` lanes modulo 2**32 for equality, two each from hashes of the whole
   paragraph under seeds of their own, so two paragraphs differ in 256 bits;
-* ``SIGNS`` lanes modulo 2**20, the sum of +1 or -1 vectors hashed from the
-  paragraph's runs of ``RUN`` words, for likeness: the squared length of the
-  difference of two such sums estimates how many runs two texts don't share.
+* one lane that counts the paragraph's runs of ``RUN`` words, and ``STABLE`` lanes
+  that add a Cauchy variate hashed from each run, in fixed point, all modulo 2**40,
+  for likeness.  Sums of Cauchy variates are Cauchy, their scale being the sum of the
+  absolute weights, so the median size of the lanes of a difference estimates how
+  many runs two texts don't share.  A run counts as often as it stands, and no more:
+  a line that is repeated a hundred times weighs a hundred lines, not their square.
   A run starts at every word that has ``RUN`` - 1 words behind it in the paragraph
   (a shorter paragraph is one run), so a word put in or taken out changes ``RUN``
   runs at most, wherever the paragraph goes on.
 
-``likeness`` is 1 - |a - b|^2 / (|a|^2 + |b|^2) on the sign lanes, held to 0..1;
-it is 1 for equal fingerprints, two texts without words included.
+``likeness`` is 1 - apart / (runs of a + runs of b), apart being that estimate, at
+least the difference of both counts; it is held to 0..1, and is 1 for equal
+fingerprints, two texts without words included.
 
 ``neighbours`` puts each row beside its successor in ascending (id, text) order,
 the last row beside the first.  Ids are cut into ranges whose first id is in the
@@ -41,13 +45,17 @@ from pyspark.sql.window import Window
 
 from podium.llm.common import NULL_ID
 
-#: Words in a run; lanes for equality and for likeness, with their moduli's bits.
-RUN, EXACT, SIGNS = 4, 8, 128
-EXACT_BITS, SIGN_BITS = 32, 20
+#: Words in a run; lanes for equality and for likeness, with their moduli's bits.  STABLE is odd, three times HASHES.
+RUN, EXACT, HASHES = 4, 8, 27
+STABLE = 3 * HASHES
+EXACT_BITS, STABLE_BITS = 32, 40
+#: Parts of a variate that one unit of a lane has, and the bits of a hash that decide it.
+UNIT, DRAW_BITS = 64, 20
 #: Id ranges: so many per shuffle partition, more if they would hold more than RANGE_BYTES, at most RANGES.
 PER_PARTITION, RANGE_BYTES, RANGES = 16, 128 << 20, 1 << 16
 
-_PAIR = (1 << 32) | 1  # two 32-bit counters in a long
+#: tan(pi x / 2) is x (_A - _B x^2) / (1 - x^2) to within one per cent: right slope at 0, right pole at 1.
+_A, _B = 1.5707963267948966, 0.2975568079742861
 
 
 def units(text: Column, tag: Column) -> Column:
@@ -70,19 +78,26 @@ def units(text: Column, tag: Column) -> Column:
 
 
 def sums() -> list[Column]:
-    """Aggregates over rows (whole, hash, more): the lanes, packed where counters are small."""
+    """Aggregates over rows (whole, hash, more): the lanes."""
     whole, run = F.coalesce(F.col("whole"), F.lit(False)), ~F.coalesce(F.col("whole"), F.lit(True))
     out = [F.count_if(run).alias("runs")]
     for k in range(EXACT // 2):
         h = F.col("hash") if k == 0 else F.get("more", F.lit(k - 1))
         out.append(F.sum(F.when(whole, h.bitwiseAND(F.lit(0xFFFFFFFF))).otherwise(0)).alias(f"x{2 * k}"))
         out.append(F.sum(F.when(whole, F.shiftrightunsigned(h, 32)).otherwise(0)).alias(f"x{2 * k + 1}"))
-    for k in range(SIGNS // 64):
+    for k in range(HASHES):
         h = F.col("hash") if k == 0 else F.xxhash64("hash", F.lit(1000 + k))
-        out += [F.sum(F.when(run, F.shiftrightunsigned(h, j).bitwiseAND(F.lit(_PAIR))).otherwise(0)).alias(f"s{k}_{j}") for j in range(32)]
+        out += [F.sum(F.when(run, _cauchy(h, j)).otherwise(0)).alias(f"s{3 * k + j}") for j in range(3)]
     return out
 
 
+def _cauchy(h: Column, part: int) -> Column:
+    """Cauchy variate in fixed point from one third of a hash: the tangent of an angle that ``DRAW_BITS`` bits choose."""
+    draw = F.shiftrightunsigned(h, DRAW_BITS * part).bitwiseAND(F.lit((1 << DRAW_BITS) - 1))
+    x = (2 * draw + 1).cast("double") / float(1 << DRAW_BITS) - 1.0
+    return F.floor(x * (_A - _B * (x * x)) / (1.0 - x * x) * float(UNIT) + 0.5)
+
+
 def _wrap(x: Column, bits: int) -> Column:
     return F.pmod(x, F.lit(1 << bits))
 
@@ -90,32 +105,29 @@ def _wrap(x: Column, bits: int) -> Column:
 def vector() -> Column:
     """array<long> of all lanes from the columns that ``sums`` made."""
     exact = [_wrap(F.col(f"x{k}"), EXACT_BITS) for k in range(EXACT)]
-    signs = []
-    for k in range(SIGNS // 64):
-        for j in range(32):
-            both = F.col(f"s{k}_{j}")
-            signs += [_wrap(2 * c - F.col("runs"), SIGN_BITS) for c in (both.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(both, 32))]
-    return F.array(*exact, *signs)
+    stable = [_wrap(F.col(c), STABLE_BITS) for c in ("runs", *(f"s{k}" for k in range(STABLE)))]
+    return F.array(*exact, *stable)
 
 
 def shown(lanes: Column) -> Column:
     """Hexadecimal text of a vector, all lanes in order."""
-    return F.lower(F.array_join(F.transform(lanes, lambda x, i: F.lpad(F.hex(x), F.when(i < EXACT, F.lit(EXACT_BITS // 4)).otherwise(F.lit(SIGN_BITS // 4)), F.lit("0"))), ""))
+    return F.lower(F.array_join(F.transform(lanes, lambda x, i: F.lpad(F.hex(x), F.when(i < EXACT, F.lit(EXACT_BITS // 4)).otherwise(F.lit(STABLE_BITS // 4)), F.lit("0"))), ""))
 
 
 def combine(a: Column, b: Column, sign: int = 1) -> Column:
     """Vector of the union of two multisets (sign 1), or of the first less the second (-1)."""
-    return F.transform(F.arrays_zip(a.alias("a"), b.alias("b")), lambda p, i: F.pmod(p["a"] + sign * p["b"], F.when(i < EXACT, F.lit(1 << EXACT_BITS)).otherwise(F.lit(1 << SIGN_BITS))))
+    return F.transform(F.arrays_zip(a.alias("a"), b.alias("b")), lambda p, i: F.pmod(p["a"] + sign * p["b"], F.when(i < EXACT, F.lit(1 << EXACT_BITS)).otherwise(F.lit(1 << STABLE_BITS))))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    signed = lambda x: F.when(x >= (1 << (SIGN_BITS - 1)), x - (1 << SIGN_BITS)).otherwise(x)
-    tail = lambda v: F.slice(v, EXACT + 1, SIGNS)
-    total = lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x)
-    square = lambda x: (signed(x) * signed(x)).cast("double")
-    apart = total(F.zip_with(tail(a), tail(b), lambda x, y: square(F.pmod(x - y, F.lit(1 << SIGN_BITS)))))
-    size = total(F.zip_with(tail(a), tail(b), lambda x, y: square(x) + square(y)))
-    return F.when(a == b, 1.0).when(size == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - apart / size)))
+    signed = lambda x: F.when(x >= (1 << (STABLE_BITS - 1)), x - (1 << STABLE_BITS)).otherwise(x)
+    tail = lambda v: F.slice(v, EXACT + 2, STABLE)
+    runs = lambda v: F.element_at(v, EXACT + 1)
+    apart = F.zip_with(tail(a), tail(b), lambda x, y: F.abs(signed(F.pmod(x - y, F.lit(1 << STABLE_BITS)))))
+    median = F.element_at(F.sort_array(apart), STABLE // 2 + 1).cast("double") / float(UNIT)
+    size = runs(a) + runs(b)
+    differ = F.greatest(F.abs(runs(a) - runs(b)).cast("double"), median)
+    return F.when(a == b, 1.0).when(size == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - differ / size)))
 
 
 def fingerprints(docs: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
