@@ -3,10 +3,10 @@
 Candidates.  Each ``length``-byte string has one anchor, which its own bytes decide:
 the place in it whose rolling hash over ``TRIGGER`` bytes is the least, leftmost
 first.  Consecutive start positions with one anchor make a piece: the bytes of all
-their strings.  Equal pieces are one entry with a count, and pieces are grouped by
-their anchor's bytes.  An anchor that occurs once has nothing repeated; a piece that
-occurs twice is repeated from end to end.  What is left, different pieces around one
-anchor, is where repeats begin, end or vary; only that is sorted.
+their strings.  Pieces are grouped by their anchor's bytes; an anchor that occurs once
+has nothing repeated and is dropped.  Of pieces that look equal, by two 64-bit hashes of
+the anchor and of all bytes, those of the first and the last document go on; what the
+sort finds in them holds for all.
 
 Sorting (``repeated_starts``).  The pieces of a batch, whole groups of them, are the
 text of a prefix-free parse.  A place whose hash of ``WINDOW`` bytes is divisible by
@@ -18,9 +18,11 @@ begins another, the two numbers combine into the order of all starts in the text
 Neighbours in it with ``length`` bytes in common, by the common lengths of both
 arrays, are the repeated strings.
 
-Groups of more than ``GROUP`` different pieces aren't given to one task: their
-strings are hashed, counted and joined by Spark instead, with the same result.
-Pieces count as equal if two 64-bit hashes, of the anchor and of all bytes, are.
+A group of more than ``GROUP`` different pieces is split by longer context before it is
+sorted (``_split``): pieces are cut where the distance of their starts to the anchor
+reaches a multiple of ``WIDTHS[0]``, and cuts meet only if the bytes that all strings of
+such a cut share are equal.  What is too large still is cut by ``WIDTHS[1]``, that is to
+single strings, of which equal ones alone meet.
 
 Every byte covered by a string that also starts elsewhere, in the same document
 too, is removed; strings are judged on the input.  Texts shorter than ``length``
@@ -42,8 +44,10 @@ from pyspark.sql import functions as F
 from podium.llm.common import Rolling, Scratch, map_arrow, mix, sliced, with_row_key
 
 LENGTH, TRIGGER = 400, 64
-#: Different pieces of one anchor that a task sorts at most, and pieces it sorts in one go.
-GROUP, BATCH = 8_000, 3_000
+#: Different pieces of one anchor that are sorted together at most, and pieces sorted in one go.
+GROUP, BATCH = 4_000, 3_000
+#: How many neighbouring starts of a piece stay together where larger groups are split, step by step.
+WIDTHS = (32, 1)
 #: Bytes of a trigger of the parse, and how many places there are to one of them.
 WINDOW, EVERY = 8, 32
 _BLOCK, _INDEX = 1 << 20, np.uint64((1 << 21) - 1)
@@ -108,23 +112,25 @@ def parse(rows: DataFrame, length: int) -> DataFrame:
 
 
 def _contents(wanted: DataFrame, length: int) -> DataFrame:
-    """(key, entry, n, m, left, content): the bytes of the entries in ``wanted.entries``; left is what precedes the anchor."""
+    """(key, entry, m, left, content): the bytes of the entries in ``wanted.entries``, of two places if ``twice``; left is what precedes the anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("key", pa.int64()), ("entry", pa.int64()), ("n", pa.int64()), ("m", pa.int64()), ("left", pa.int32()), ("content", pa.binary())])
+        schema = pa.schema([("key", pa.int64()), ("entry", pa.int64()), ("m", pa.int64()), ("left", pa.int32()), ("content", pa.binary())])
         for batch in sliced(batches, "_text"):
             out = []
             for text, entries in zip(batch.column("_text"), batch.column("entries"), strict=True):
                 asked = {x["entry"]: x for x in entries.as_py()}
+                places = {e: 1 + x["twice"] for e, x in asked.items()}
                 data = _bytes_of(text)
                 first, last, place, _, entry = pieces(data, length)
                 for i in np.flatnonzero(np.isin(entry, np.fromiter(asked, np.int64, len(asked)))):
-                    x = asked.pop(int(entry[i]), None)
-                    if x:
-                        out.append({**x, "left": int(place[i] - first[i]), "content": data[first[i] : last[i] + length]})
+                    e = int(entry[i])
+                    if places[e]:
+                        places[e] -= 1
+                        out.append({"key": asked[e]["key"], "entry": e, "m": asked[e]["m"], "left": int(place[i] - first[i]), "content": data[first[i] : last[i] + length]})
             yield pa.RecordBatch.from_pylist(out, schema)
 
-    return map_arrow(wanted, run, "key long, entry long, n long, m long, left int, content binary")
+    return map_arrow(wanted, run, "key long, entry long, m long, left int, content binary")
 
 
 class _Suffixes:
@@ -248,11 +254,12 @@ def _runs(flags: np.ndarray) -> list[int]:
 
 
 def _solved(contents: DataFrame, length: int) -> DataFrame:
-    """(entry, runs): the repeated starts of entries that occur once; rows of a key lie together, sorted."""
+    """(key, entry, runs): the repeated starts of each entry; all rows of a key are sorted together."""
 
     def flush(rows: list[dict]) -> Iterator[pa.RecordBatch]:
         found = repeated_starts([r["content"] for r in rows], length)
-        out = [{"key": r["key"], "entry": r["entry"], "runs": _runs(f)} for r, f in zip(rows, found, strict=True) if r["n"] == 1 and f.any()]
+        firsts = [k == 0 or r["entry"] != rows[k - 1]["entry"] or r["key"] != rows[k - 1]["key"] for k, r in enumerate(rows)]
+        out = [{"key": r["key"], "entry": r["entry"], "runs": _runs(f)} for r, f, is_first in zip(rows, found, firsts, strict=True) if is_first and f.any()]
         yield pa.RecordBatch.from_pylist(out, pa.schema([("key", pa.int64()), ("entry", pa.int64()), ("runs", pa.list_(pa.int32()))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,7 +272,7 @@ def _solved(contents: DataFrame, length: int) -> DataFrame:
                         yield from flush(rows)
                         rows = []
                     begun = len(rows)
-                elif any(r["entry"] == x["entry"] for x in rows[-1:]):
+                elif len(rows) - begun > 1 and r["entry"] == rows[-2]["entry"]:  # two places of an entry are enough
                     continue
                 rows.append(r)
                 if len(rows) > BATCH and begun:
@@ -274,25 +281,55 @@ def _solved(contents: DataFrame, length: int) -> DataFrame:
         if rows:
             yield from flush(rows)
 
-    return map_arrow(contents, run, "key long, entry long, runs array<int>")
+    return map_arrow(contents.repartition("key").sortWithinPartitions("key", "entry"), run, "key long, entry long, runs array<int>")
 
 
-def _counted(contents: DataFrame, length: int, scratch: Scratch) -> DataFrame:
-    """As ``_solved``, by hashing every string of every piece and joining."""
+def _split(contents: DataFrame, length: int, width: int) -> DataFrame:
+    """(key, entry, at, sub, part, left, content): pieces cut into up to ``width`` neighbouring starts, ``at`` being the first.
+
+    ``sub`` hashes the bytes that any string with a start in the same place before an anchor
+    has if it is equal to one of the cut, so equal strings share it; ``part`` hashes all bytes.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roll = Rolling.get()
-        for batch in batches:
+        schema = pa.schema([(c, pa.int64()) for c in ("key", "entry")] + [("at", pa.int32()), ("sub", pa.int64()), ("part", pa.int64()), ("left", pa.int32()), ("content", pa.binary())])
+        for batch in sliced(batches, "content", 1 << 18):
+            out = []
             for r in batch.to_pylist():
-                sums = roll.prefix(roll.table[np.frombuffer(r["content"], np.uint8)])
-                at = np.arange(len(r["content"]) - length + 1)
-                n = len(at)
-                yield pa.RecordBatch.from_arrays([pa.array([r["key"]] * n), pa.array([r["entry"]] * n), pa.array([r["n"]] * n), pa.array(r["left"] - at), pa.array(roll.of(sums, at, at + length).view(np.int64)), pa.array(at.astype(np.int32))], ["key", "entry", "n", "d", "string", "start"])
+                data, anchor = r["content"], r["left"]
+                sums = roll.prefix(roll.table[np.frombuffer(data, np.uint8)])
+                block = (anchor - np.arange(len(data) - length + 1)) // width
+                first = np.flatnonzero(np.diff(block, prepend=-1))
+                last = np.append(first[1:], len(block)) - 1
+                latest = anchor - block[first] * width
+                key = np.array([r["key"]]).view(np.uint64)
+                sub = mix(roll.of(sums, latest, latest - width + 1 + length) ^ key ^ (block[first].astype(np.uint64) * _SALT))
+                part = mix(roll.of(sums, first, last + length) ^ ((last - first).astype(np.uint64) * _SALT + (anchor - first).astype(np.uint64) * _SALT2))
+                for a, b, s, p in zip(first.tolist(), last.tolist(), sub.view(np.int64).tolist(), part.view(np.int64).tolist(), strict=True):
+                    out.append({"key": r["key"], "entry": r["entry"], "at": a, "sub": s, "part": p, "left": anchor - a, "content": data[a : b + length]})
+            yield pa.RecordBatch.from_pylist(out, schema)
+
+    return map_arrow(contents, run, "key long, entry long, at int, sub long, part long, left int, content binary")
 
-    strings = scratch.keep(map_arrow(contents.dropDuplicates(["key", "entry"]), run, "key long, entry long, n long, d long, string long, start int"), "strings")
-    by = ["key", "d", "string"]
-    twice = strings.groupBy(*by).agg(F.count("*").alias("c")).where("c > 1").drop("c")
-    return strings.where("n = 1").join(twice, by, "left_semi").groupBy("key", "entry").agg(F.flatten(F.transform(F.array_sort(F.collect_list("start")), lambda s: F.array(s, s))).alias("runs"))
+
+def _found(contents: DataFrame, length: int, group: int, scratch: Scratch, widths: tuple[int, ...] = WIDTHS) -> DataFrame:
+    """(key, entry, runs): the repeated starts of ``contents`` (key, entry, m, left, content), whatever the size of a group."""
+    if not widths:
+        return _solved(contents, length)
+    light, heavy = _solved(contents.where(F.col("m") <= group), length), contents.where(F.col("m") > group)
+    if heavy.isEmpty():
+        return light
+    cuts = scratch.keep(_split(heavy, length, widths[0]), "cuts")
+    # Of cuts that look equal the least and the greatest by their bytes go on, so all are equal if these are.
+    parts = scratch.keep(cuts.groupBy("sub", "part").agg(F.count("*").alias("n"), F.first("left").alias("left"), F.min("content").alias("least"), F.max("content").alias("greatest")), "parts")
+    groups = parts.groupBy("sub").agg(F.count("*").alias("m"), F.sum("n").alias("total")).where("total > 1").select("sub", "m")
+    places = F.when(F.col("n") > 1, F.array("least", "greatest")).otherwise(F.array("least"))
+    inner = scratch.keep(parts.join(groups, "sub").select(F.col("sub").alias("key"), F.col("part").alias("entry"), "m", "left", F.explode(places).alias("content")), "inner")
+    found = _found(inner, length, group, scratch, widths[1:]).select(F.col("key").alias("sub"), F.col("entry").alias("part"), "runs")
+    back = cuts.select("key", "entry", "at", "sub", "part").distinct().join(found, ["sub", "part"])
+    shifted = back.select("key", "entry", F.transform("runs", lambda x: x + F.col("at")).alias("runs"))
+    return light.unionByName(shifted.groupBy("key", "entry").agg(F.flatten(F.collect_list("runs")).alias("runs")))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, group: int = GROUP) -> DataFrame:
@@ -300,22 +337,20 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     scratch = Scratch(docs.sparkSession, "repeats")
     rows = with_row_key(docs, id_col, text_col)
     parsed = scratch.keep(parse(rows, length), "parsed")
-    triggers = parsed.groupBy("key").agg((F.min("entry") != F.max("entry")).alias("varied"), F.sum("n").alias("total")).where("total > 1").drop("total")
-    live = scratch.keep(parsed.join(triggers, "key"), "live")
-
+    twice = parsed.groupBy("key").agg(F.sum("n").alias("total")).where("total > 1").select("key")
     # A new name for the key keeps what follows from relying on the join's partitioning, so the join may split hot keys.
-    varied = live.where("varied").withColumn("key", F.col("key").bitwiseXOR(F.lit(1)))
-    entries = scratch.keep(varied.groupBy("key", "entry").agg(F.sum("n").alias("n"), F.min(F.struct("_d", "_h")).alias("owner")), "entries")
-    sizes = entries.groupBy("key").agg(F.count("*").alias("m"), F.min("n").alias("least")).where("m > 1 AND least = 1").select("key", "m")
-    asked = entries.join(sizes, "key").groupBy("owner._d", "owner._h").agg(F.collect_list(F.struct("key", "entry", "n", "m")).alias("entries"))
+    live = scratch.keep(parsed.join(twice, "key", "left_semi").withColumn("key", F.col("key").bitwiseXOR(F.lit(1))), "live")
+
+    owner = F.struct("_d", "_h")
+    entries = scratch.keep(live.groupBy("key", "entry").agg(F.sum("n").alias("n"), F.min(owner).alias("owner"), F.max(owner).alias("other")), "entries")
+    sizes = entries.groupBy("key").agg(F.count("*").alias("m"))
+    wanted = F.struct("key", "entry", "m", "twice")
+    asked = entries.join(sizes, "key").withColumn("twice", (F.col("n") > 1) & (F.col("owner") == F.col("other"))).select(F.explode(F.array_distinct(F.array("owner", "other"))).alias("o"), wanted.alias("wanted"))
+    asked = asked.groupBy("o._d", "o._h").agg(F.collect_list("wanted").alias("entries"))
     contents = scratch.keep(_contents(rows.join(asked, ["_d", "_h"]).select("_id", "_text", "_d", "_h", "entries"), length), "contents")
-    light = _solved(contents.where(F.col("m") <= group).repartition("key").sortWithinPartitions("key", "entry"), length)
-    partly = light.unionByName(_counted(contents.where(F.col("m") > group), length, scratch))
 
-    whole = live.where("NOT varied").select("_d", "_h", "entry")
-    whole = whole.union(varied.join(entries.where("n > 1").select("key", "entry"), ["key", "entry"], "left_semi").select("_d", "_h", "entry"))
-    part = partly.join(entries, ["key", "entry"]).select("owner._d", "owner._h", "entry", "runs")
-    marks = whole.withColumn("runs", F.lit(None).cast("array<int>")).unionByName(part).groupBy("_d", "_h").agg(F.collect_list(F.struct("entry", "runs")).alias("marks"))
+    found = _found(contents, length, group, scratch)
+    marks = live.select("key", "entry", "_d", "_h").join(found, ["key", "entry"]).groupBy("_d", "_h").agg(F.collect_list(F.struct("entry", "runs")).alias("marks"))
     marks = scratch.keep(marks, "marks")
     scratch.drop_others(marks)
 
@@ -339,12 +374,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return map_arrow(met, run, f"doc_id {dict(docs.dtypes)[id_col]}, n_bytes long, removed array<struct<start:long,end:long>>, kept binary")
 
 
-def _cuts(data: bytes, marks: dict[int, list[int] | None], length: int) -> list[tuple[int, int]]:
+def _cuts(data: bytes, marks: dict[int, list[int]], length: int) -> list[tuple[int, int]]:
     first, last, _, _, entry = pieces(data, length)
     step = np.zeros(len(data) + 1, np.int32)
     for i in np.flatnonzero(np.isin(entry, np.fromiter(marks, np.int64, len(marks)))):
         runs = marks[int(entry[i])]
-        for a, b in [(0, int(last[i] - first[i]))] if runs is None else zip(runs[::2], runs[1::2], strict=True):
+        for a, b in zip(runs[::2], runs[1::2], strict=True):
             step[first[i] + a] += 1
             step[first[i] + b + length] -= 1
     edges = np.flatnonzero(np.diff(np.concatenate([[0], (np.cumsum(step) > 0).astype(np.int8), [0]])))

@@ -10,6 +10,8 @@ from podium.llm import minhash, suffix_dedup
 
 from .conftest import ordered
 
+LONG_LINE = "".join(chr(97 + i * i % 23) for i in range(500))
+
 
 def shingles(text, k):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
@@ -144,14 +146,51 @@ def test_repeats_as_brute_force(docs, texts):
     assert ordered(first_five(suffix_dedup.digest(some))) == ordered(removed(rows, 400))
 
 
-def test_both_ways_of_large_groups_agree(spark):
-    """Groups above the limit go by counting; the result is that of brute force."""
-    words = [f"w{i % 7}{i % 3}" for i in range(60)]
-    rows = [(n, " ".join(words[: 20 + n] + [f"v{n % 4}"] + words[5 : 40 - n])) for n in range(12)]
+def around(n, length, seed):
+    """n texts that hold one passage between words of their own, some of them equal, some with a longer passage."""
+    r = random.Random(seed)
+    own = lambda k: "".join(r.choices("abcdefghij", k=k))
+    passage = own(length + length // 4)
+    rows = [(i, own(length // 5) + passage[i % 3 :] + r.choice(["", "y" * 20, "z" * 31]) + own(length // 5)) for i in range(n)]
+    return rows + [(n + k, t) for k, (_, t) in enumerate(rows[: n // 10])]
+
+
+def test_groups_of_any_size_are_split_and_sorted(spark):
+    """A group above the bound is cut by longer context, at last to single strings; the result is that of brute force."""
+    rows = around(60, 100, 1)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = ordered(removed(rows, 100))
+    for group in (1, 2, 7, 1000):
+        assert ordered(first_five(suffix_dedup.digest(df, length=100, group=group))) == want
+
+
+def test_a_group_of_ten_thousand_pieces(spark):
+    rows = around(10_000, 100, 2)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert ordered(first_five(suffix_dedup.digest(df, length=100))) == ordered(removed(rows, 100))
+
+
+def test_cuts_of_equal_strings_meet(spark):
+    """A string cut out of two pieces has the same ``sub`` in both, whatever stands around it."""
+    r = random.Random(5)
+    core = bytes(r.choices(b"abcdefgh", k=140))
+    contents = [(k, k, 5, 60 + k, bytes(r.choices(b"xyz", k=k)) + core + bytes(r.choices(b"xyz", k=9))) for k in (0, 3, 17)]
+    df = spark.createDataFrame(contents, "key long, entry long, m long, left int, content binary").withColumn("key", F.lit(1).cast("long"))
+    for width in suffix_dedup.WIDTHS:
+        subs = {}
+        for c in suffix_dedup._split(df, 100, width).collect():
+            for at in range(len(c["content"]) - 99):
+                subs.setdefault((bytes(c["content"][at : at + 100]), c["left"] - at), set()).add(c["sub"])
+        assert len(subs) > 40 and all(len(x) == 1 for x in subs.values())
+
+
+def test_repeats_are_found_by_the_sort(spark, monkeypatch):
+    """Without the sort nothing is removed, equal documents neither: no count stands in for it."""
+    rows = [(1, LONG_LINE), (2, LONG_LINE), (3, LONG_LINE + "tail")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    want = ordered(removed(rows, 40))
-    assert ordered(first_five(suffix_dedup.digest(df, length=40))) == want
-    assert ordered(first_five(suffix_dedup.digest(df, length=40, group=2))) == want
+    found = suffix_dedup._found
+    monkeypatch.setattr(suffix_dedup, "_found", lambda contents, *rest: found(contents.where("false"), *rest))
+    assert [r["n_removed"] for r in suffix_dedup.digest(df).collect()] == [0, 0, 0]
 
 
 def test_spans_are_what_was_removed(spark):
