@@ -34,6 +34,7 @@ as other copies are; ids are whole numbers or null.  Other columns, also such as
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -136,7 +137,7 @@ def _contents(wanted: DataFrame, length: int) -> DataFrame:
 class _Suffixes:
     """Ranks of all suffixes of a sequence by their first w, 2w, 4w, ... symbols, w being ``width``, up to ``depth``.
 
-    Symbol 0 ends a string, and nothing behind it counts; ``left`` is each place's distance
+    A rank is the number of smaller suffixes; only those that share theirs are sorted again.  Symbol 0 ends a string, and nothing behind it counts; ``left`` is each place's distance
     to it.  The first ``width`` symbols are packed into one number, 9 bits each if several.
     """
 
@@ -146,16 +147,37 @@ class _Suffixes:
         for k in range(1, width):
             packed <<= 9
             packed[:-k] |= np.where(left[:-k] >= k, symbols[k:], 0)
-        self.levels = [np.unique(packed, return_inverse=True)[1].astype(np.int32)]
-        step, kinds = width, 0
-        while step < depth and int(self.levels[-1].max()) + 1 != kinds:
-            r = self.levels[-1]
-            kinds = int(r.max()) + 1
-            pair = r * np.int64(kinds + 1)
-            pair[:-step] += np.where(left[:-step] >= step, r[step:].astype(np.int64) + 1, 0)
-            self.levels.append(np.unique(pair, return_inverse=True)[1].astype(np.int32))
+        order = np.argsort(packed)
+        begin, tied = self._classes(packed[order], np.zeros(len(order), np.int64), order)
+        rank = np.empty(len(order), np.int32)
+        rank[order] = begin
+        self.levels = [rank]
+        step = width
+        while step < depth:
+            # suffixes that end within the symbols compared so far have equals only, those that are alone have none
+            tied = tied[left[tied] >= step]
+            pair = rank[tied] * np.int64(len(rank)) + rank[tied + step]
+            by = np.argsort(pair)
+            order, pair = tied[by], pair[by]
+            head = rank[order].astype(np.int64)
+            begin, tied = self._classes(pair, head, order)
+            if np.array_equal(begin, head):
+                break
+            rank = rank.copy()
+            rank[order] = begin
+            self.levels.append(rank)
             step *= 2
 
+    @staticmethod
+    def _classes(keys: np.ndarray, head: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rank of each, those of ``order`` whose rank another has): equal keys lie together, from ``head`` on those of a former class."""
+        at = np.arange(len(keys))
+        new, former = np.ones(len(keys), bool), np.ones(len(keys), bool)
+        new[1:], former[1:] = keys[1:] != keys[:-1], head[1:] != head[:-1]
+        begin = head + np.maximum.accumulate(np.where(new, at, 0)) - np.maximum.accumulate(np.where(former, at, 0))
+        alone = new & np.append(new[1:], True)[: len(new)]
+        return begin, order[~alone]
+
     @property
     def rank(self) -> np.ndarray:
         return self.levels[-1]
@@ -190,7 +212,12 @@ def repeated_starts(contents: list[bytes], length: int = LENGTH) -> list[np.ndar
     """For each piece, which of its starts begin a string that another start of the batch begins too.
 
     Pieces have at least ``length`` bytes; strings that overlap a piece's end aren't looked at.
+    Equal pieces have equal parses, so one of them is sorted for all; all their starts are repeated.
     """
+    copies = Counter(contents)
+    if len(copies) < len(contents):
+        flags = dict(zip(copies, repeated_starts(list(copies), length), strict=True))
+        return [flags[c] | (copies[c] > 1) for c in contents]
     whole = b"".join(contents)
     data = np.frombuffer(whole, np.uint8)
     sizes = np.fromiter(map(len, contents), np.int64, len(contents))
@@ -225,7 +252,7 @@ def repeated_starts(contents: list[bytes], length: int = LENGTH) -> list[np.ndar
     starts = np.concatenate([np.arange(e - n, e - length + 1) for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)])
     phrase = np.searchsorted(first, starts, "right") - 1
     inside, behind = opens[rank[phrase]] + starts - first[phrase], place[phrase] + 1
-    order = np.lexsort((sentences.rank[behind], words.rank[inside]))
+    order = np.argsort(words.rank[inside] * (int(sentences.rank.max()) + np.int64(1)) + sentences.rank[behind])
     a, b = order[:-1], order[1:]
     same = words.rank[inside[a]] == words.rank[inside[b]]
     # what differs within two phrases shorter than a string, or is equal in longer ones, needs no count
