@@ -96,3 +96,15 @@ def test_places_come_with_the_starts(spark):
         assert "Exchange" not in archive[name]._jdf.queryExecution().executedPlan().toString()
     large = star.starts_of(spark, SF)
     assert sorted(rows(large)) == sorted(rows(starts.select(*[F.col(c).cast(large.schema[c].dataType) for c in large.columns])))
+
+
+def test_sheets_are_printed_once(spark):
+    """What parsers read several times is stored text, and a sheet holds its lines in order."""
+    from podium.plans import sheets
+
+    t = meet(spark, [{"name": "가", "rank": 2, "record": "01.000", "heat": 1}, {"name": "나", "rank": 1, "record": "00.900", "heat": 1}, {"name": "다", "rank": 1, "comp": 2}])
+    printed = sheets.result_sheets(t, 1)
+    plan = printed._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan
+    [(_, text)] = rows(printed)
+    assert [line.split()[0] for line in text.split("\n")] == ["11-1", "순위", "1", "2", "심판장"]
