@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from podium import tables
-from podium.operators import athletes, facts
+from podium.operators import athletes, facts, identity
 from podium.plans import star
 from tests.small import catalog, meet, rows
 
@@ -108,3 +108,10 @@ def test_sheets_are_printed_once(spark):
     assert "Exchange" not in plan and "Window" not in plan
     [(_, text)] = rows(printed)
     assert [line.split()[0] for line in text.split("\n")] == ["11-1", "순위", "1", "2", "심판장"]
+
+
+def test_candidates_are_not_shuffled_by_pairs(spark, no_large_broadcast):
+    n = 300
+    t = {name: tables.keep(df, name) for name, df in _shared_name(spark, n).items()}
+    found, moved = shuffled(spark, identity.candidates(t).select("entry_id", "athlete_id"))
+    assert len(found) == (n - 1) * (n + 1) and moved < 20 * n
