@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from podium import tables
 from podium.operators import athletes, facts, identity, registration
+from podium.operators.names import NameIndex
 from podium.plans import star
 from tests.small import catalog, meet, rows
 
@@ -146,3 +147,25 @@ def _written(spark, work):
     before = written()
     work()
     return written() - before
+
+
+def test_entries_come_from_a_row_for_each_order(spark, no_large_broadcast):
+    """Entries of the archive shuffle the rows that lead an order, not all starts."""
+    starts = star.with_ids(tables.keep(star.starts_of(spark, SF), "starts"))
+    found, moved = shuffled(spark, star.derive(spark, SF, starts)["competition_entry"].select("id"))
+    assert sorted(map(tuple, found)) == sorted(rows(starts.select("entry_id").distinct()))
+    people = spark.read.parquet(f"{SF}/customer.parquet").count()
+    assert moved <= spark.read.parquet(f"{SF}/orders.parquet").count() + people < starts.count()
+
+
+def test_an_index_shuffles_a_row_once(spark, tmp_path, no_large_broadcast):
+    n = 5000
+    t = _shared_name(spark, n)
+    entries = tables.keep(t["competition_entry"].withColumn("athlete_name", F.concat(F.lit("선수가나"), (F.col("id") % 7).cast("string"))), "entries")
+    t = {**{name: tables.keep(df.coalesce(1), name) for name, df in t.items()}, "competition_entry": entries}
+    made = []
+    moved = _written(spark, lambda: made.append(NameIndex(spark, str(tmp_path / "i")).build(entries, "id", "athlete_name")))
+    assert moved < 1.5 * n and dict(made[0].rarest("가나")) == {"가나": n}
+    assert made[0].keys("나3").count() == len(range(3, n, 7))
+    moved = _written(spark, lambda: made.append(rows(athletes.suggest_entries(t, q="나3", names=made[0]), "event_id", "athlete_name")))
+    assert len(made[1]) == len({(i % 2, f"팀{i}") for i in range(3, n, 7)}) and moved < n
