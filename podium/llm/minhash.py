@@ -59,7 +59,11 @@ _MIXERS = np.random.RandomState(7).randint(1, 2**62, (2, 2 * SIDE * ROWS), dtype
 
 def word_hashes(text: str) -> np.ndarray:
     """A 64-bit hash of each word, in order."""
-    data = np.frombuffer(text.encode("utf-8", "replace").lower(), np.uint8)
+    return word_hashes_of(text.encode("utf-8", "replace"))
+
+
+def word_hashes_of(text: bytes) -> np.ndarray:
+    data = np.frombuffer(text.lower(), np.uint8)
     roll, out, at = Rolling.get(), [], 0
     while at < len(data):
         end = min(len(data), at + _CHUNK)

@@ -30,6 +30,12 @@ bytes and null texts keep all they have, a very long text is cut into overlappin
 blocks of 1 MiB on the way.  Rows with equal id and text are repeats of each other,
 as other copies are; ids are whole numbers or null.  Other columns, also such as
 ``removed``, are ignored.  An empty table gives an empty result.
+
+Passages.  A passage of many short words has fewer than ``length`` bytes, so nothing of
+it is removed.  ``shared`` tells whether a run of ``words`` words of a row, A-Z in lower
+case, stands in another row too.  Runs make pieces as byte strings do, with words in
+place of bytes.  A piece that two rows have settles both.  For the rows not settled the
+runs of the pieces under their anchors are counted one by one.
 """
 
 from __future__ import annotations
@@ -43,8 +49,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from podium.llm.common import Rolling, Scratch, map_arrow, mix, sliced, with_row_key
+from podium.llm.minhash import word_hashes_of
 
 LENGTH, TRIGGER = 400, 64
+#: Words of a passage that is told as shared, and of its anchor; what stands between texts, as no byte of theirs is 0xFF.
+WORDS, SEED, BETWEEN = 51, 8, b" \xff "
 #: Different pieces of one anchor that are sorted together at most, and pieces sorted in one go.
 GROUP, BATCH = 4_000, 3_000
 #: How many neighbouring starts of a piece stay together where larger groups are split, step by step.
@@ -76,19 +85,68 @@ def pieces(data: bytes, length: int = LENGTH) -> tuple[np.ndarray, ...]:
     roll, found = Rolling.get(), []
     for base in range(0, max(0, len(data) - length + 1), _BLOCK):
         b = np.frombuffer(data, np.uint8)[base : base + _BLOCK + length - 1]
-        sums = roll.prefix(roll.table[b])
-        at = np.arange(len(b) - trigger + 1)
-        h = roll.of(sums, at, at + trigger)
-        least = _least(h, length - trigger + 1)
-        change = np.flatnonzero(least[1:] != least[:-1]) + 1
-        first, last = np.concatenate([[0], change]), np.concatenate([change - 1, [len(least) - 1]])
-        place = least[first]
-        shape = (last - first).astype(np.uint64) * _SALT + (place - first).astype(np.uint64) * _SALT2
-        entry = mix(roll.of(sums, first, last + length) ^ shape)
-        found.append((first + base, last + base, place + base, mix(h[place] + _SALT).view(np.int64), entry.view(np.int64)))
+        found.append(_pieces(roll.table[b], length, trigger, base)[:5])
     return tuple(map(np.concatenate, zip(*found, strict=True))) if found else tuple(np.zeros(0, np.int64) for _ in range(5))
 
 
+def _pieces(values: np.ndarray, length: int, trigger: int, base: int, whole: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """What ``pieces`` tells, of one block of 64-bit values whose first one is in place ``base``; then the block's prefix sums.
+
+    ``whole`` tells which starts count; a piece holds none but those.
+    """
+    roll = Rolling.get()
+    sums = roll.prefix(values)
+    at = np.arange(len(values) - trigger + 1)
+    h = roll.of(sums, at, at + trigger)
+    least = _least(h, length - trigger + 1)
+    new = least[1:] != least[:-1]
+    if whole is not None:
+        new |= whole[1:] != whole[:-1]
+    change = np.flatnonzero(new) + 1
+    first, last = np.concatenate([[0], change]), np.concatenate([change - 1, [len(least) - 1]])
+    if whole is not None:
+        first, last = first[whole[first]], last[whole[first]]
+    place = least[first]
+    shape = (last - first).astype(np.uint64) * _SALT + (place - first).astype(np.uint64) * _SALT2
+    entry = mix(roll.of(sums, first, last + length) ^ shape)
+    return first + base, last + base, place + base, mix(h[place] + _SALT).view(np.int64), entry.view(np.int64), sums
+
+
+def word_pieces(texts: list[bytes], words: int = WORDS) -> tuple[np.ndarray, ...]:
+    """(text, key, entry) of the different pieces of runs of ``words`` words that each text has."""
+    found = [(text, f[3], f[4]) for text, f in _word_blocks(texts, words)]
+    text, key, entry = map(np.concatenate, zip(*found, strict=True)) if found else [np.zeros(0, np.int64)] * 3
+    order = np.lexsort((entry, text))
+    text, key, entry = text[order], key[order], entry[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (entry[1:] != entry[:-1]) | (text[1:] != text[:-1])
+    return text[new], key[new], entry[new]
+
+
+def word_runs(text: bytes, asked: np.ndarray, words: int = WORDS) -> np.ndarray:
+    """Distinct hashes of the runs of ``words`` words in the pieces whose entries are asked for."""
+    roll, out = Rolling.get(), [np.zeros(0, np.int64)]
+    for n, (_, (first, last, _, _, entry, sums)) in enumerate(_word_blocks([text], words)):
+        for i in np.flatnonzero(np.isin(entry, asked)):
+            at = np.arange(first[i], last[i] + 1) - n * _BLOCK
+            out.append(roll.of(sums, at, at + words).view(np.int64))
+    return np.unique(np.concatenate(out))
+
+
+def _word_blocks(texts: list[bytes], words: int) -> Iterator[tuple[np.ndarray, tuple[np.ndarray, ...]]]:
+    """The texts' pieces by words, block by block, and before them the place of each piece's text; no run reaches over a text's end."""
+    w = word_hashes_of(BETWEEN.join(texts))
+    ends = np.flatnonzero(w == word_hashes_of(BETWEEN)[0])
+    before = np.zeros(len(w) + 1, np.int32)
+    before[ends + 1] = 1
+    before = np.cumsum(before)
+    for base in range(0, max(0, len(w) - words + 1), _BLOCK):
+        b = w[base : base + _BLOCK + words - 1]
+        at = np.arange(base, base + len(b) - words + 1)
+        found = _pieces(b, words, min(SEED, words), base, before[at + words] == before[at])
+        yield before[found[0]], found
+
+
 def _bytes_of(text) -> bytes:
     return text.as_py().encode("utf-8", "replace")
 
@@ -112,15 +170,51 @@ def parse(rows: DataFrame, length: int) -> DataFrame:
     return map_arrow(rows, run, "key long, entry long, _d long, _h long, n long")
 
 
-def _contents(wanted: DataFrame, length: int) -> DataFrame:
-    """(key, entry, m, left, content): the bytes of the entries in ``wanted.entries``, of two places if ``twice``; left is what precedes the anchor."""
+def parse_words(rows: DataFrame, words: int) -> DataFrame:
+    """(key, entry, _d, _h): each row's different pieces of runs of words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("key", pa.int64()), ("entry", pa.int64()), ("m", pa.int64()), ("left", pa.int32()), ("content", pa.binary())])
+        for batch in sliced(batches, "_text", 1 << 18):
+            text, key, entry = word_pieces([_bytes_of(t) for t in batch.column("_text")], words)
+            take = pa.array(text)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(entry), batch.column("_d").take(take), batch.column("_h").take(take)], ["key", "entry", "_d", "_h"])
+
+    return map_arrow(rows, run, "key long, entry long, _d long, _h long")
+
+
+def _settled(rows: DataFrame, words: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(_d, _h) of rows that have a piece of words in common with another; (_d, _h, runs), the entries whose runs are to be counted for the others.
+
+    An entry that several rows have is asked of one of them and is ``many``: its runs are shared whatever else has them.
+    """
+    parsed = scratch.keep(parse_words(rows, words), "word-pieces")
+    twice = parsed.groupBy("key").agg(F.count("*").alias("total")).where("total > 1").select("key")
+    live = scratch.keep(parsed.join(twice, "key", "left_semi").withColumn("key", F.col("key").bitwiseXOR(F.lit(1))), "word-live")
+    scratch.drop(parsed)
+    entries = scratch.keep(live.groupBy("key", "entry").agg(F.count("*").alias("n"), F.min(F.struct("_d", "_h")).alias("owner")), "word-entries")
+    settled = scratch.keep(live.join(entries.where("n > 1").select("key", "entry"), ["key", "entry"], "left_semi").select("_d", "_h").distinct(), "settled")
+    open_ = entries.where("n = 1").select("key", "owner.*").join(settled, ["_d", "_h"], "left_anti").select("key").distinct()
+    wanted = entries.join(open_, "key", "left_semi").select("owner.*", F.struct("entry", (F.col("n") > 1).alias("many")).alias("run"))
+    return settled, wanted.groupBy("_d", "_h").agg(F.collect_list("run").alias("runs"))
+
+
+def _contents(wanted: DataFrame, length: int, words: int) -> DataFrame:
+    """(key, entry, m, left, content): the bytes of the entries in ``wanted.entries``, of two places if ``twice``; left is what precedes the anchor.
+
+    Beside them (key, many, _d, _h) without content: the runs of words in the entries of ``wanted.runs``, hashed.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("key", pa.int64()), ("entry", pa.int64()), ("m", pa.int64()), ("left", pa.int32()), ("content", pa.binary()), ("many", pa.bool_()), ("_d", pa.int64()), ("_h", pa.int64())])
         for batch in sliced(batches, "_text"):
             out = []
-            for text, entries in zip(batch.column("_text"), batch.column("entries"), strict=True):
-                asked = {x["entry"]: x for x in entries.as_py()}
+            for text, entries, runs, d, h in zip(*(batch.column(c) for c in ("_text", "entries", "runs", "_d", "_h")), strict=True):
+                for many in (False, True):
+                    if of := [x["entry"] for x in runs.as_py() or [] if x["many"] == many]:
+                        out += [{"key": k, "many": many, "_d": d.as_py(), "_h": h.as_py()} for k in word_runs(_bytes_of(text), np.array(of), words).tolist()]
+                asked = {x["entry"]: x for x in entries.as_py() or []}
+                if not asked:
+                    continue
                 places = {e: 1 + x["twice"] for e, x in asked.items()}
                 data = _bytes_of(text)
                 first, last, place, _, entry = pieces(data, length)
@@ -131,7 +225,7 @@ def _contents(wanted: DataFrame, length: int) -> DataFrame:
                         out.append({"key": asked[e]["key"], "entry": e, "m": asked[e]["m"], "left": int(place[i] - first[i]), "content": data[first[i] : last[i] + length]})
             yield pa.RecordBatch.from_pylist(out, schema)
 
-    return map_arrow(wanted, run, "key long, entry long, m long, left int, content binary")
+    return map_arrow(wanted, run, "key long, entry long, m long, left int, content binary, many boolean, _d long, _h long")
 
 
 class _Suffixes:
@@ -359,8 +453,8 @@ def _found(contents: DataFrame, length: int, group: int, scratch: Scratch, width
     return light.unionByName(shifted.groupBy("key", "entry").agg(F.flatten(F.collect_list("runs")).alias("runs")))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, group: int = GROUP) -> DataFrame:
-    """(doc_id, n_bytes, removed array<struct<start, end>>, kept binary), one row per input row; byte offsets."""
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, group: int = GROUP, words: int = WORDS) -> DataFrame:
+    """(doc_id, n_bytes, removed array<struct<start, end>>, kept binary, shared boolean), one row per input row; byte offsets."""
     scratch = Scratch(docs.sparkSession, "repeats")
     rows = with_row_key(docs, id_col, text_col)
     parsed = scratch.keep(parse(rows, length), "parsed")
@@ -374,11 +468,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     wanted = F.struct("key", "entry", "m", "twice")
     asked = entries.join(sizes, "key").withColumn("twice", (F.col("n") > 1) & (F.col("owner") == F.col("other"))).select(F.explode(F.array_distinct(F.array("owner", "other"))).alias("o"), wanted.alias("wanted"))
     asked = asked.groupBy("o._d", "o._h").agg(F.collect_list("wanted").alias("entries"))
-    contents = scratch.keep(_contents(rows.join(asked, ["_d", "_h"]).select("_id", "_text", "_d", "_h", "entries"), length), "contents")
+    settled, runs = _settled(rows, words, scratch)
+    asked = asked.join(runs, ["_d", "_h"], "full_outer")
+    fetched = scratch.keep(_contents(rows.join(asked, ["_d", "_h"]).select("_id", "_text", "_d", "_h", "entries", "runs"), length, words), "contents")
 
+    contents = fetched.where("content is not null").select("key", "entry", "m", "left", "content")
     found = _found(contents, length, group, scratch)
     marks = live.select("key", "entry", "_d", "_h").join(found, ["key", "entry"]).groupBy("_d", "_h").agg(F.collect_list(F.struct("entry", "runs")).alias("marks"))
-    marks = scratch.keep(marks, "marks")
+    single = fetched.where("content is null").select("key", "many", "_d", "_h")
+    several = single.groupBy("key").agg(F.min(owner).alias("least"), F.max(owner).alias("greatest"), F.max("many").alias("many")).where("least < greatest or many").select("key")
+    shared = settled.unionByName(single.where("not many").join(several, "key", "left_semi").select("_d", "_h")).distinct().withColumn("shared", F.lit(True))
+    marks = scratch.keep(marks.join(shared, ["_d", "_h"], "full_outer"), "marks")
     scratch.drop_others(marks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -395,10 +495,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 sizes.append(len(data))
                 spans.append([{"start": a, "end": b} for a, b in cuts])
                 kept.append(b"".join([*left, data[at:]]))
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(sizes, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "removed", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(sizes, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary()), batch.column("shared")], ["doc_id", "n_bytes", "removed", "kept", "shared"])
 
-    met = rows.join(marks, ["_d", "_h"], "left").select("_id", "_text", "_d", "_h", "marks")
-    return map_arrow(met, run, f"doc_id {dict(docs.dtypes)[id_col]}, n_bytes long, removed array<struct<start:long,end:long>>, kept binary")
+    met = rows.join(marks, ["_d", "_h"], "left").select("_id", "_text", "_d", "_h", "marks", F.coalesce("shared", F.lit(False)).alias("shared"))
+    return map_arrow(met, run, f"doc_id {dict(docs.dtypes)[id_col]}, n_bytes long, removed array<struct<start:long,end:long>>, kept binary, shared boolean")
 
 
 def _cuts(data: bytes, marks: dict[int, list[int]], length: int) -> list[tuple[int, int]]:
@@ -414,11 +514,11 @@ def _cuts(data: bytes, marks: dict[int, list[int]], length: int) -> list[tuple[i
 
 
 def digest(docs: DataFrame, **options) -> DataFrame:
-    """Per row: bytes, removed bytes, removed runs, the SHA-256 of what is left, whether anything was removed, and what is left as text.
+    """Per row: bytes, removed bytes, removed runs, the SHA-256 of what is left, whether anything was removed, what is left as text, and whether a passage stands in another row too.
 
     A character that a cut went through shows as U+FFFD in the text; the digest is of the bytes.
     """
     found = remove_repeats(docs, **options)
     removed = F.aggregate("removed", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"])
     kept = F.make_valid_utf8(F.col("kept").cast("string")).alias("kept_text")
-    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), (F.size("removed") > 0).alias("repeats"), kept)
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), (F.size("removed") > 0).alias("repeats"), kept, F.col("shared").alias("shares_passage"))

@@ -146,6 +146,45 @@ def test_repeats_as_brute_force(docs, texts):
     assert ordered(first_five(suffix_dedup.digest(some))) == ordered(removed(rows, 400))
 
 
+def sharing(rows, k):
+    """Brute force: rows of which a run of k words stands in another row."""
+    runs = [{r for r in shingles(t, k) if len(r) == k} for _, t in rows]
+    seen = Counter(r for x in runs for r in x)
+    return [(i, any(seen[r] > 1 for r in x)) for (i, _), x in zip(rows, runs, strict=True)]
+
+
+def test_shared_passages_as_brute_force(docs, texts):
+    assert ordered(suffix_dedup.digest(docs).select("doc_id", "shares_passage").collect()) == ordered(sharing(texts, 51))
+
+
+def test_passages_shorter_than_the_strings_removed(spark):
+    """Passages of 51 words have fewer than 400 bytes: they are told of in every place, nothing is removed; of 50 words they aren't."""
+    r = random.Random(7)
+    own = lambda n: ["".join(r.choices("abcdefgh", k=r.randint(3, 6))) for _ in range(n)]
+    long, short = own(51), own(50)
+    rows = [(i, " ".join(own(r.randint(0, 90)) + (long if i % 2 else short) + own(r.randint(0, 90)))) for i in range(40)]
+    rows += [(40, " ".join(long[:1] + own(200))), (41, "\n".join(long).upper()), (42, " ".join((own(1) + short) * 3)), (43, "twice " * 120), (44, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = suffix_dedup.digest(df).collect()
+    assert {x["doc_id"] for x in got if x["shares_passage"]} == {*range(1, 40, 2), 41}
+    assert all(x["n_removed"] == 0 for x in got if x["doc_id"] < 42)
+    for words in (1, 9, 50):
+        assert ordered(suffix_dedup.remove_repeats(df, words=words).select("doc_id", "shared").collect()) == ordered(sharing(rows, words))
+
+
+def test_blocks_of_words(monkeypatch):
+    """Every run of words is in some piece, whatever the size of a block; equal pieces have equal runs."""
+    text = " ".join(f"w{i * i % 389}x{i % 7}" for i in range(900)).encode()
+    texts = [b"", text, b"one", text[:2000], text + b" end"]
+    found = lambda: [x.tolist() for t in texts for x in [suffix_dedup.word_runs(t, suffix_dedup.word_pieces([t])[2])]]
+    alone = found()
+    assert [len(x) for x in alone] == [len({r for r in shingles(t.decode(), 51) if len(r) == 51}) for t in texts]
+    of, _, entry = suffix_dedup.word_pieces(texts)
+    assert [(i, e) for i, t in enumerate(texts) for e in suffix_dedup.word_pieces([t])[2]] == list(zip(of, entry, strict=True))
+    monkeypatch.setattr(suffix_dedup, "_BLOCK", 100)
+    assert found() == alone
+
+
 def around(n, length, seed):
     """n texts that hold one passage between words of their own, some of them equal, some with a longer passage."""
     r = random.Random(seed)
