@@ -114,7 +114,7 @@ def _pieces(values: np.ndarray, length: int, trigger: int, base: int, whole: np.
 
 def word_pieces(texts: list[bytes], words: int = WORDS) -> tuple[np.ndarray, ...]:
     """(text, key, entry) of the different pieces of runs of ``words`` words that each text has."""
-    found = [(text, f[3], f[4]) for text, f in _word_blocks(texts, words)]
+    found = [(text, f[3], f[4]) for text, _, f in _word_blocks(texts, words)]
     text, key, entry = map(np.concatenate, zip(*found, strict=True)) if found else [np.zeros(0, np.int64)] * 3
     order = np.lexsort((entry, text))
     text, key, entry = text[order], key[order], entry[order]
@@ -123,28 +123,45 @@ def word_pieces(texts: list[bytes], words: int = WORDS) -> tuple[np.ndarray, ...
     return text[new], key[new], entry[new]
 
 
-def word_runs(text: bytes, asked: np.ndarray, words: int = WORDS) -> np.ndarray:
-    """Distinct hashes of the runs of ``words`` words in the pieces whose entries are asked for."""
-    roll, out = Rolling.get(), [np.zeros(0, np.int64)]
-    for n, (_, (first, last, _, _, entry, sums)) in enumerate(_word_blocks([text], words)):
-        for i in np.flatnonzero(np.isin(entry, asked)):
-            at = np.arange(first[i], last[i] + 1) - n * _BLOCK
-            out.append(roll.of(sums, at, at + words).view(np.int64))
-    return np.unique(np.concatenate(out))
+def word_runs(texts: list[bytes], asked: list[dict[int, bool]], words: int = WORDS) -> tuple[np.ndarray, ...]:
+    """(text, run, many): hashes of the runs of ``words`` words in the pieces whose entries are asked of a text, each once, with what is noted there."""
+    roll, every = Rolling.get(), np.fromiter({e for x in asked for e in x}, np.int64)
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))]
+    for of, base, (first, last, _, _, entry, sums) in _word_blocks(texts, words):
+        at = np.array([i for i in np.flatnonzero(np.isin(entry, every)) if int(entry[i]) in asked[of[i]]], np.int64)
+        many = np.fromiter((asked[t][e] for t, e in zip(of[at].tolist(), entry[at].tolist(), strict=True)), bool, len(at))
+        sizes = last[at] - first[at] + 1
+        start = np.repeat(first[at] - base - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        out.append((np.repeat(of[at], sizes), roll.of(sums, start, start + words).view(np.int64), np.repeat(many, sizes)))
+    text, run, many = map(np.concatenate, zip(*out, strict=True))
+    order = np.lexsort((~many, run, text))
+    text, run, many = text[order], run[order], many[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (run[1:] != run[:-1]) | (text[1:] != text[:-1])
+    return text[new], run[new], many[new]
+
 
+def _word_blocks(texts: list[bytes], words: int) -> Iterator[tuple[np.ndarray, int, tuple[np.ndarray, ...]]]:
+    """The texts' pieces by words, block by block, and before them the place of each piece's text and the block's first word.
 
-def _word_blocks(texts: list[bytes], words: int) -> Iterator[tuple[np.ndarray, tuple[np.ndarray, ...]]]:
-    """The texts' pieces by words, block by block, and before them the place of each piece's text; no run reaches over a text's end."""
-    w = word_hashes_of(BETWEEN.join(texts))
-    ends = np.flatnonzero(w == word_hashes_of(BETWEEN)[0])
-    before = np.zeros(len(w) + 1, np.int32)
-    before[ends + 1] = 1
-    before = np.cumsum(before)
-    for base in range(0, max(0, len(w) - words + 1), _BLOCK):
-        b = w[base : base + _BLOCK + words - 1]
-        at = np.arange(base, base + len(b) - words + 1)
-        found = _pieces(b, words, min(SEED, words), base, before[at + words] == before[at])
-        yield before[found[0]], found
+    No run reaches over a text's end.  Blocks begin at a text's start or in a text that has several of its own, so a text
+    has the same pieces whatever lies beside it.
+    """
+    between, at = word_hashes_of(BETWEEN)[0], 0
+    while at < len(texts):
+        end, size = at + 1, len(texts[at])
+        while end < len(texts) and size + len(BETWEEN) + len(texts[end]) <= _BLOCK:
+            size += len(BETWEEN) + len(texts[end])
+            end += 1
+        w = word_hashes_of(BETWEEN.join(texts[at:end]))
+        before = np.zeros(len(w) + 1, np.int64)
+        before[1:] = np.cumsum(w == between)
+        for base in range(0, max(0, len(w) - words + 1), _BLOCK):
+            b = w[base : base + _BLOCK + words - 1]
+            start = np.arange(base, base + len(b) - words + 1)
+            found = _pieces(b, words, min(SEED, words), base, before[start + words] == before[start])
+            yield at + before[found[0]], base, found
+        at = end
 
 
 def _bytes_of(text) -> bytes:
@@ -193,7 +210,8 @@ def _settled(rows: DataFrame, words: int, scratch: Scratch) -> tuple[DataFrame,
     scratch.drop(parsed)
     entries = scratch.keep(live.groupBy("key", "entry").agg(F.count("*").alias("n"), F.min(F.struct("_d", "_h")).alias("owner")), "word-entries")
     settled = scratch.keep(live.join(entries.where("n > 1").select("key", "entry"), ["key", "entry"], "left_semi").select("_d", "_h").distinct(), "settled")
-    open_ = entries.where("n = 1").select("key", "owner.*").join(settled, ["_d", "_h"], "left_anti").select("key").distinct()
+    several = entries.groupBy("key").agg(F.min("owner").alias("least"), F.max("owner").alias("greatest"), F.max("n").alias("n")).where("least < greatest or n > 1").select("key")
+    open_ = entries.where("n = 1").select("key", "owner.*").join(settled, ["_d", "_h"], "left_anti").select("key").distinct().join(several, "key", "left_semi")
     wanted = entries.join(open_, "key", "left_semi").select("owner.*", F.struct("entry", (F.col("n") > 1).alias("many")).alias("run"))
     return settled, wanted.groupBy("_d", "_h").agg(F.collect_list("run").alias("runs"))
 
@@ -206,12 +224,9 @@ def _contents(wanted: DataFrame, length: int, words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("key", pa.int64()), ("entry", pa.int64()), ("m", pa.int64()), ("left", pa.int32()), ("content", pa.binary()), ("many", pa.bool_()), ("_d", pa.int64()), ("_h", pa.int64())])
-        for batch in sliced(batches, "_text"):
+        for batch in sliced(batches, "_text", 1 << 19):
             out = []
-            for text, entries, runs, d, h in zip(*(batch.column(c) for c in ("_text", "entries", "runs", "_d", "_h")), strict=True):
-                for many in (False, True):
-                    if of := [x["entry"] for x in runs.as_py() or [] if x["many"] == many]:
-                        out += [{"key": k, "many": many, "_d": d.as_py(), "_h": h.as_py()} for k in word_runs(_bytes_of(text), np.array(of), words).tolist()]
+            for text, entries in zip(batch.column("_text"), batch.column("entries"), strict=True):
                 asked = {x["entry"]: x for x in entries.as_py() or []}
                 if not asked:
                     continue
@@ -224,6 +239,10 @@ def _contents(wanted: DataFrame, length: int, words: int) -> DataFrame:
                         places[e] -= 1
                         out.append({"key": asked[e]["key"], "entry": e, "m": asked[e]["m"], "left": int(place[i] - first[i]), "content": data[first[i] : last[i] + length]})
             yield pa.RecordBatch.from_pylist(out, schema)
+            batch = batch.filter(batch.column("runs").is_valid())
+            of, runs, many = word_runs([_bytes_of(t) for t in batch.column("_text")], [{x["entry"]: x["many"] for x in r} for r in batch.column("runs").to_pylist()], words)
+            take, none = pa.array(of), {f.name: pa.nulls(len(of), f.type) for f in schema}
+            yield pa.RecordBatch.from_pydict(none | {"key": pa.array(runs), "many": pa.array(many), "_d": batch.column("_d").take(take), "_h": batch.column("_h").take(take)}, schema)
 
     return map_arrow(wanted, run, "key long, entry long, m long, left int, content binary, many boolean, _d long, _h long")
 

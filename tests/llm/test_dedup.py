@@ -176,7 +176,12 @@ def test_blocks_of_words(monkeypatch):
     """Every run of words is in some piece, whatever the size of a block; equal pieces have equal runs."""
     text = " ".join(f"w{i * i % 389}x{i % 7}" for i in range(900)).encode()
     texts = [b"", text, b"one", text[:2000], text + b" end"]
-    found = lambda: [x.tolist() for t in texts for x in [suffix_dedup.word_runs(t, suffix_dedup.word_pieces([t])[2])]]
+
+    def found():
+        asked = [dict.fromkeys(suffix_dedup.word_pieces([t])[2].tolist(), False) for t in texts]
+        of, runs, _ = suffix_dedup.word_runs(texts, asked)
+        return [runs[of == i].tolist() for i in range(len(texts))]
+
     alone = found()
     assert [len(x) for x in alone] == [len({r for r in shingles(t.decode(), 51) if len(r) == 51}) for t in texts]
     of, _, entry = suffix_dedup.word_pieces(texts)
