@@ -118,6 +118,20 @@ def test_candidates_are_not_shuffled_by_pairs(spark, no_large_broadcast):
     assert len(found) == (n - 1) * (n + 1) and moved < 20 * n
 
 
+def test_candidates_come_athlete_by_athlete(spark, no_large_broadcast):
+    """A history is written out before the pairs are formed, and its many rows lie together."""
+    from podium.plans.more_queries import _told
+
+    n = 40
+    t = {name: tables.keep(df, name) for name, df in _shared_name(spark, n).items()}
+    found = identity.candidates(t, shown=_told)
+    athletes_in_order = [r.athlete_id for r in found.collect()]
+    assert sum(a != b for a, b in zip(athletes_in_order, athletes_in_order[1:])) == n
+    assert {r.history for r in found.where("athlete_id = -1").collect()} == {"-/이/-/팀7/남2/500m"}
+    above_join = found._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
+    assert "array_join" not in above_join
+
+
 def test_registration_does_not_shuffle_athletes_in_each_round(spark, no_large_broadcast):
     """n athletes of one name and team; groups of seven level sets are decided one after the other."""
     n, levels = 600, ("남초부", "남중부", "남고부")
