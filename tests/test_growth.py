@@ -80,6 +80,15 @@ def test_performances_are_not_shuffled_by_pairs(spark, no_large_broadcast):
         assert [x[1] for x in got] == ([7] if athlete == -1 else order)
 
 
+def test_performances_by_start_lie_together(spark, no_large_broadcast):
+    n = 300
+    t = {name: df.localCheckpoint() for name, df in _shared_name(spark, n).items()}
+    found, moved = shuffled(spark, athletes.performances(t, by_start=True).select("athlete_id", "start_id"))
+    assert sorted(found) == sorted(athletes.performances(t).select("athlete_id", "start_id").collect()) and moved < 20 * n
+    starts = [start for athlete, start in found if athlete != -1]
+    assert sum(a != b for a, b in zip(starts, starts[1:])) == n - 1
+
+
 def test_medals_shuffle_starts_of_finals_only(spark, no_large_broadcast):
     for conf in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"):
         spark.conf.set(conf, 6_000)
