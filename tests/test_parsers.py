@@ -116,6 +116,29 @@ def test_html_tables(spark):
     assert rows(got.orderBy("pos"), "division", "event", "round", "a5") == [("남고", "500m", "예선", "5"), ("남고", "500m", "결승", "6")]
 
 
+def test_pages_are_read_in_pieces(spark, monkeypatch):
+    """Rows of a page are the same however it is cut, and leave before it is read to its end."""
+    cell = '<td onclick="f(\'7\')">가 &amp; 나</td>'
+    page = '<table class="a pcView">' + f"<tr>{cell}<td>ㄱ<table><tr>ㄴ<td>ㄷ</td></tr></table>x</td></tr><script>if (a < 1) b = '<td>'</script><!-- <tr> --><tr></tr><tr><th>h</th>{cell}</tr>" * 50 + "</table> <td>끝</td> <td>auf"
+    pages = spark.createDataFrame([("p", page), ("q", None), ("r", ""), ("s", cell)], "path string, html string").coalesce(1)
+    parser = listings._Cells()
+    parser.feed(page)
+    wanted = [("p", k, r["table"], [" ".join(c["text"].split()) for c in r["cells"] if c["tag"] == "td"]) for k, r in enumerate(parser.rows)]
+    wanted = [x for x in wanted if x[3]] + [("s", 0, "", ["가 & 나"])]
+    for piece, feed, given in ((3, 1, 1), (64, 200, 7), (listings.PIECE, listings.FEED, listings.GIVEN)):
+        for name, value in (("PIECE", piece), ("FEED", feed), ("GIVEN", given)):
+            monkeypatch.setattr(listings, name, value)
+        got = [(r.doc, r.pos, r.in_table, [c.text for c in r.cells]) for r in listings.table_rows(pages).collect()]
+        assert got == wanted
+
+    parser, most = listings._Cells(), 0
+    for _ in range(1000):
+        parser.feed(f"<tr>{cell * 5}</tr>")
+        most = max(most, len(parser.rows))
+        parser.finished()
+    assert most <= 2
+
+
 def test_record_list_and_marks(spark):
     cell = lambda label, value: f'<td data-label="{label}">{value}</td>'
     first = "".join(cell(*x) for x in (("종별", "남자중학부"), ("세부종목", "1,000m"), ("경기구분", "예선2조"), ("선수명/팀명", "가"), ("기록", "50.000"), ("일자", "1")))
