@@ -10,10 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from podium.functions.exprs import affiliation, affiliation_note, is_team_event, trimmed
+from podium.functions.exprs import affiliation_note, is_team_event, trimmed, with_affiliation
 from podium.operators.mutate import find_or_create, with_ids
 from podium.schema import FINAL
-from podium.sources.text import carried, group
+from podium.sources.text import carried, group, groups
 from podium.tables import Catalog, keep
 
 # The line formats.
@@ -44,15 +44,16 @@ def parse_start_list(docs: DataFrame, id_col: str = "path", text_col: str = "tex
     }
     rows = carried(docs, lambda found: found.withColumn("kind", kind).withColumns(state), list(state), id_col, text_col)
     rows = rows.withColumns({"day_number": F.coalesce("day_number", F.lit(0)), "heat_number": F.col("heat.number"), "team_event": is_team_event(F.col("event_name"))})
-    state = rows.where(F.col("kind").isNull() & F.col("event_name").isNotNull())
-    single = ~F.col("team_event") & line.rlike(ATHLETE)
-    team = F.col("team_event") & line.rlike(TEAM)
-    info = affiliation(group(line, ATHLETE, 3))
-    team_name, team_info = trimmed(group(line, TEAM, 1)), group(line, TEAM, 2)
-    return state.where(single | team).select(
+    rows = rows.where(F.col("kind").isNull() & F.col("event_name").isNotNull())
+    # one pattern a line, and each step of an affiliation a column
+    rows = rows.withColumn("parts", F.when(F.col("team_event"), groups(line, TEAM, 2)).otherwise(groups(line, ATHLETE, 3))).where(F.size("parts") > 1)
+    part = lambda n: F.get("parts", F.lit(n))
+    rows = with_affiliation(rows, F.when(~F.col("team_event"), part(2)), "own_").withColumn("team_name", trimmed(part(0)))
+    single = ~F.col("team_event")
+    return rows.select(
         "doc", "pos", "day_number", "event_number", "division_name", "gender", "event_name", "team_event", F.col("round_name").alias("round"), "heat_number",
-        F.when(single, group(line, ATHLETE, 1).cast("int")).otherwise(0).alias("bib_number"), F.when(single, trimmed(group(line, ATHLETE, 2))).otherwise(team_name).alias("athlete_name"),
-        F.when(single, info["region"]).otherwise(trimmed(F.substring_index(trimmed(team_info), " ", 1))).alias("region"), F.when(single, info["team"]).otherwise(team_name).alias("team_name"), F.when(single, info["grade"]).alias("grade"),
+        F.when(single, part(0).cast("int")).otherwise(0).alias("bib_number"), F.when(single, trimmed(part(1))).otherwise(F.col("team_name")).alias("athlete_name"),
+        F.when(single, F.col("own_region")).otherwise(trimmed(F.substring_index(trimmed(part(1)), " ", 1))).alias("region"), F.when(single, F.col("own_team")).otherwise(F.col("team_name")).alias("team_name"), F.col("own_grade").alias("grade"),
     )
 
 
@@ -62,8 +63,9 @@ def parse_roster(docs: DataFrame, id_col: str = "path", text_col: str = "text")
     header = raw.rlike(ROSTER_HEADER)
     marks = {"gender": F.when(header, F.when(group(raw, ROSTER_HEADER, 2) == "여", "F").otherwise("M")), "in_team": F.when(header, is_team_event(raw)), "is_header": header}
     rows = carried(docs, lambda found: found.withColumns(marks), ["gender", "in_team"], id_col, text_col)
-    state = rows.where(~F.col("is_header") & F.col("gender").isNotNull() & ~F.col("in_team") & F.col("line").rlike(ATHLETE))
-    return state.select("doc", group(F.col("line"), ATHLETE, 2).alias("name"), "gender", affiliation_note(group(F.col("line"), ATHLETE, 3)).alias("notes")).distinct()
+    rows = rows.where(~F.col("is_header") & F.col("gender").isNotNull() & ~F.col("in_team")).withColumn("parts", groups(F.col("line"), ATHLETE, 3)).where(F.size("parts") > 1)
+    rows = rows.withColumn("info", F.get("parts", F.lit(2)))
+    return rows.select("doc", F.get("parts", F.lit(1)).alias("name"), "gender", affiliation_note(F.col("info")).alias("notes")).distinct()
 
 
 def apply_roster(t: Catalog, roster: DataFrame) -> tuple[Catalog, DataFrame]:
@@ -71,7 +73,8 @@ def apply_roster(t: Catalog, roster: DataFrame) -> tuple[Catalog, DataFrame]:
     from podium.operators.mutate import allocate
     from podium.schema import conform
 
-    rows = roster.select("name", "gender", "notes").distinct()
+    # stored: lists are parsed once for the counts and the table
+    rows = keep(roster.select("name", "gender", "notes").distinct(), "roster")
     known = t["athlete"].select("name", "gender", "notes").distinct()
     created = rows.join(known, ["name", "gender", "notes"], "left_anti")
     counts = created.agg(F.count("*").alias("created")).crossJoin(rows.agg(F.count("*").alias("n"))).select("created", (F.col("n") - F.col("created")).alias("skipped"))

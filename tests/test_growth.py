@@ -120,6 +120,35 @@ def test_sheets_are_printed_once(spark):
     assert [line.split()[0] for line in text.split("\n")] == ["11-1", "순위", "1", "2", "심판장"]
 
 
+def test_start_lists_run_a_pattern_once_a_line(spark):
+    from podium.functions import exprs
+    from podium.sources import startlist, text
+
+    texts = ["제1일차", "11 남중부 500m 결승", "< 1조 >", "1 가 (대구 대구 ㄱ중3)", "2 나\u2028 (대구 ㄱ)", "3 다 (대구)\u2028", "4 라 (대구 12)", "12 남중부 계주3,000m 결승", "5 마 (대구 마)"]
+    docs = spark.createDataFrame([("d", "\n".join(texts))], "path string, text string")
+    parsed = startlist.parse_start_list(docs)
+    assert parsed._jdf.queryExecution().optimizedPlan().toString().count(startlist.ATHLETE.removesuffix("$")) <= 2
+    assert [(r.bib_number, r.athlete_name, r.region, r.team_name, r.grade) for r in parsed.orderBy("pos").collect()] == [(1, "가", "대구", "ㄱ중", 3), (2, "나\u2028", "대구", "ㄱ", None), (3, "다", "대구", "", None), (4, "라", "대구", "", 12), (0, "마", "대구", "마", None)]
+
+    infos = spark.createDataFrame([(x,) for x in ("대구 대구 ㄱ중3", "대구 ㄱ", " 대구  ", "", None, "12", "대구 대구", "a a a 7")], "info string")
+    both = exprs.with_affiliation(infos, F.col("info"), "x_").select(exprs.affiliation(F.col("info")).alias("a"), F.struct(F.col("x_region").alias("region"), F.col("x_team").alias("team"), F.col("x_grade").alias("grade")).alias("b"))
+    assert both.where("NOT a <=> b").isEmpty()
+    # blocks of a list are met by state, not by lines that are shuffled again
+    long = spark.createDataFrame([("d", "\n".join(texts[:3] + texts[3:4] * 500))], "path string, text string")
+    found, moved = shuffled(spark, text.carried(long, lambda x: x.withColumn("day", F.when(F.col("line").startswith("제"), F.col("line"))), ["day"], block=100).select("day"))
+    assert len(found) == 503 and {r.day for r in found} == {"제1일차"} and moved < 503 + 20
+
+
+def test_a_roster_is_parsed_once(spark):
+    from podium.sources import startlist
+
+    docs = spark.createDataFrame([("d", "11 남중부 500m 결승\n1 가 (대구 ㄱ3)\n2 나 (대구 ㄱ)")], "path string, text string")
+    out, counts = startlist.apply_roster(catalog(spark, athlete=[{"id": 1, "name": "가", "gender": "M", "notes": "대구 ㄱ"}]), startlist.parse_roster(docs))
+    assert rows(counts) == [(1, 1)] and out["athlete"].count() == 2
+    for df in (counts, out["athlete"]):
+        assert "Generate" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_candidates_are_not_shuffled_by_pairs(spark, no_large_broadcast):
     n = 300
     t = {name: tables.keep(df, name) for name, df in _shared_name(spark, n).items()}
