@@ -221,3 +221,16 @@ def test_an_index_shuffles_a_row_once(spark, tmp_path, no_large_broadcast):
     assert made[0].keys("나3").count() == len(range(3, n, 7))
     moved = _written(spark, lambda: made.append(rows(athletes.suggest_entries(t, q="나3", names=made[0]), "event_id", "athlete_name")))
     assert len(made[1]) == len({(i % 2, f"팀{i}") for i in range(3, n, 7)}) and moved < n
+
+
+def test_a_long_sheet_is_shuffled_once(spark):
+    """A time below a row counts for it, in a later block too; no line is shuffled to meet its header or its row."""
+    from podium.sources import results
+
+    line = lambda k: f"{k} {k}   가{k}   대구   ㄱ   1:00.{k % 1000:03d}"
+    sheet = ["11 남중부 500m 결승", "순위", *(line(k) for k in range(2, 10_000)), "      9:59.999   Q", line(10_001), "      8:00.001", "      8:00.002   대회신"]
+    docs = spark.createDataFrame([("d", "\n".join(sheet))], "path string, text string")
+    found, moved = shuffled(spark, results.parse_results(docs))
+    got = {r.pos: (r.record, r.new_record, r.qualification) for r in found}
+    assert len(found) == len(got) == 9999 and moved < len(sheet) + 100
+    assert got[9998] == ("1:00.998", None, None) and got[9999] == ("9:59.999", None, "Q") and got[10_001] == ("8:00.002", "대회신", None)
